@@ -1,9 +1,8 @@
 """Label mapping, form normalisation, rollup, filtering and the counts reported along the way."""
 
-from __future__ import annotations
-
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -105,7 +104,7 @@ def map_distinct(
         return df.where(F.col(column).isNotNull()).withColumn(target, fn(F.col(column)))
 
     @F.pandas_udf(returns)
-    def apply(values: "pd.Series") -> "pd.Series":  # noqa: F821
+    def apply(values: pd.Series) -> pd.Series:
         return values.map(fn)
 
     apply_to = df.where(F.col(column).isNotNull()).select(column).distinct()
