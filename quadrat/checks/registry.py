@@ -1,5 +1,5 @@
 """All registered queries: name to (Spark function, SQL text or None)."""
 
-from quadrat.checks import dataset
+from quadrat.checks import dataset, evaluation, models
 
-QUERIES = {**dataset.QUERIES}
+QUERIES = {**dataset.QUERIES, **evaluation.QUERIES, **models.QUERIES}

@@ -14,9 +14,12 @@ MAPPING = (
 )
 
 
-def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes (id, name, parent) of export files with a ``results`` array; a root has no parent."""
-    df = spark.read.schema(f"results array<{NODE}>").json(path, multiLine=True)
+def read_taxonomy(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Nodes (id, name, parent) of export files with a ``results`` array; a root has no parent.
+
+    ``multi_line`` reads one document per file, otherwise one per line.
+    """
+    df = spark.read.schema(f"results array<{NODE}>").json(path, multiLine=multi_line)
     return df.select(F.explode("results").alias("r")).select("r.*")
 
 
@@ -29,9 +32,9 @@ def read_forms(spark: SparkSession, path: str, list_name: str = "growthforms") -
     return entries.select(F.explode("data").alias("d")).select("d.*")
 
 
-def read_label_mapping(spark: SparkSession, path: str) -> DataFrame:
+def read_label_mapping(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Provider label to class; a missing form reads as ``''``. One row per label, the last winning."""
-    df = spark.read.schema(f"results array<{MAPPING}>").json(path, multiLine=True)
+    df = spark.read.schema(f"results array<{MAPPING}>").json(path, multiLine=multi_line)
     rows = df.select(F.explode("results").alias("r"), F.monotonically_increasing_id().alias("_line"))
     rows = rows.groupBy("r.provider_id").agg(F.max_by("r", "_line").alias("r"))
     return rows.select(

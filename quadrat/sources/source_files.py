@@ -1,7 +1,8 @@
 """Per-source annotation and image-list CSV files below one root.
 
-Layout: ``<root>/s<id>/annotations.csv`` and ``<root>/s<id>/image_list.csv``. Headers differ from
-source to source, so the files are grouped by header and each layout is one scan.
+Layout: ``<root>/s<id>/annotations.csv`` and ``<root>/s<id>/image_list.csv``, or folders named
+``source_id=<id>`` as Spark writes them. Headers differ from source to source, so the files are
+grouped by header and each layout is one scan.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ IMAGE_ID = "Image ID"
 NAME = "Name"
 PAGE = "Image Page"
 
-_SOURCE_OF_FILE = r"/s([^/]+)/[^/]+$"
+_SOURCE_OF_FILE = r"/(?:s|source_id=)([^/=]+)/[^/]+$"
 _LINE = "_line"
 
 
@@ -51,9 +52,9 @@ def with_usability(headers: DataFrame) -> DataFrame:
     return headers.withColumn("reason", reason)
 
 
-def read_source_annotations(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """All usable annotation rows, and the skipped sources with their reason."""
-    headers = with_usability(read_headers(spark, f"{root}/s*/annotations.csv"))
+def read_source_annotations(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
+    """All usable annotation rows (``<root>/s*/annotations.csv``), and the skipped sources with why."""
+    headers = with_usability(read_headers(spark, glob))
     skipped = headers.where(F.col("reason").isNotNull()).select("source_id", "reason")
     layouts = (
         headers.where(F.col("reason").isNull())
@@ -73,12 +74,12 @@ def read_source_annotations(spark: SparkSession, root: str) -> tuple[DataFrame,
     return rows, skipped
 
 
-def read_image_lists(spark: SparkSession, root: str) -> DataFrame:
-    """(source_id, name_norm, image_id) of all image lists, the last row of a name winning."""
-    df = spark.read.csv(f"{root}/s*/image_list.csv", header=True)
+def read_image_lists(spark: SparkSession, glob: str) -> DataFrame:
+    """(source_id, name_norm, image_id) of ``<root>/s*/image_list.csv``, the last row of a name winning."""
+    df = spark.read.csv(glob, header=True)
     missing = [c for c in (NAME, PAGE) if c not in df.columns]
     if missing:
-        raise ValueError(f"{root}: image_list.csv lacks the columns {missing}")
+        raise ValueError(f"{glob}: image_list.csv lacks the columns {missing}")
     return name_map(df.withColumn("source_id", source_of_file()))
 
 
