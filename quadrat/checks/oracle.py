@@ -1,6 +1,6 @@
 """Run registered queries in Spark and DuckDB side by side.
 
-    python -m quadrat.checks.oracle [sf_dir] [name ...]
+    python -m quadrat.checks.oracle [sf_dir] [name ...] [quadrat.taskRows=500] [quadrat.pinRows=10]
 """
 
 from __future__ import annotations
@@ -71,9 +71,13 @@ def main(argv: list[str]) -> int:
     from quadrat.checks.registry import QUERIES
     from quadrat.session import build_session
 
+    conf = dict(a.split("=", 1) for a in argv if "=" in a)
+    argv = [a for a in argv if "=" not in a]
     sf = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or list(QUERIES)
     spark = build_session("local[8]", shuffle_partitions=8)
+    for key, value in conf.items():
+        spark.conf.set(key, value)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     failed = 0

@@ -41,8 +41,12 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pin(df: DataFrame, max_rows: int = PIN_ROWS) -> DataFrame:
-    """Evaluate a table that is expected to be small, keeping all of its rows either way."""
+def pin(df: DataFrame) -> DataFrame:
+    """Evaluate a table that is expected to be small, keeping all of its rows either way.
+
+    The setting ``quadrat.pinRows`` moves the limit for what may pass through the driver.
+    """
+    max_rows = int(df.sparkSession.conf.get("quadrat.pinRows", str(PIN_ROWS)))
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows > max_rows:
         return stage(df, "pinned")
