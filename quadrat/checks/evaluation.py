@@ -38,7 +38,7 @@ from quadrat.evaluation import (
 )
 
 from quadrat.operators import rollup_builder, runs, taxonomy
-from quadrat.operators.staging import pin, staging_root
+from quadrat.operators.staging import pin, stage, staging_root
 from quadrat.plans import evaluate as plan
 from quadrat.sources import sinks, specs
 
@@ -871,8 +871,9 @@ def _(spark, sf):
 
 
 def _all_metrics(spark, sf):
+    # All groups read the predictions, so the joins that make them run once.
     ctx = plan.Evaluation(
-        predictions(spark, sf, scored=True),
+        stage(predictions(spark, sf, scored=True), "predictions"),
         nation_classes(spark, sf),
         nation_walk(spark, sf),
         PREDICTION_KEY,
@@ -936,7 +937,9 @@ def _log(spark, sf):
     events = table(spark, sf, "events").select(
         text("user_id").alias("run_id"), "ts", "event_id", F.col("value").alias("val_loss")
     )
-    return runs.numbered_epochs(events, "run_id", ["ts", "event_id"]).select("run_id", "epoch", "val_loss")
+    longest = runs.longest_run(events)
+    log = runs.numbered_epochs(events, "run_id", ["ts", "event_id"], longest)
+    return log.select("run_id", "epoch", "val_loss"), longest
 
 
 @query(
@@ -944,7 +947,7 @@ def _log(spark, sf):
     f"WITH {LOG} SELECT run_id, epoch, val_loss, best_loss, best_epoch, since_best FROM best",
 )
 def _(spark, sf):
-    return runs.best_so_far(_log(spark, sf))
+    return runs.best_so_far(*_log(spark, sf))
 
 
 @query(
@@ -955,7 +958,8 @@ def _(spark, sf):
           best_loss AS best_val_loss FROM stops s JOIN best b ON b.run_id = s.run_id AND b.epoch = coalesce(stop, last)""",
 )
 def _(spark, sf):
-    return runs.early_stopping(_log(spark, sf), patience=5)
+    log, longest = _log(spark, sf)
+    return runs.early_stopping(log, 5, longest)
 
 
 @query(

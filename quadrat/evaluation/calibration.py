@@ -25,14 +25,19 @@ def scored_rows(predictions: DataFrame, key: Sequence[str | Column], by: Sequenc
     )
 
 
-def equal_mass_bins(rows: DataFrame, n_bins: Column, by: Sequence[str] = ()) -> DataFrame:
+def equal_mass_bins(
+    rows: DataFrame, n_bins: Column, by: Sequence[str] = (), sizes: DataFrame | None = None
+) -> DataFrame:
     """(by..., bin, count, sums and bounds): bin ``i`` holds ranks floor(i*n/B) to floor((i+1)*n/B).
 
+    ``n_bins`` may use the group size ``_n``. ``sizes(by..., _n)``, if given, says which groups count.
+
     The rows are ranked over range-partitioned chunks when there are too many for one task, so
     neither the whole table nor a large category is sorted in one place.
     """
     if by:
-        sizes = pin(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
+        if sizes is None:
+            sizes = pin(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
         largest = largest_group(sizes, "_n")
         sized = rows.join(sizes, list(by))
     else:
@@ -85,12 +90,10 @@ def category_ece(rows: DataFrame, classes: DataFrame, min_samples: int = MIN_CAT
     """
     cats = classes.select(F.col("class_id").alias("gt"), "root", F.col("root_name").alias("category"))
     named = rows.join(cats, "gt").drop("gt")
-    sizes = pin(
-        named.groupBy("root").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= min_samples)
-    )
-    sized = named.join(sizes, "root")
+    sizes = named.groupBy("root", "category").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = pin(sizes.where(F.col("_n") >= min_samples))
     n_bins = F.least(F.lit(N_BINS), F.greatest(F.lit(2), F.floor(F.col("_n") / 10)))
-    bins = equal_mass_bins(sized.drop("_size"), n_bins, ["root", "category"])
+    bins = equal_mass_bins(named, n_bins, ["root", "category"], sizes)
     return (
         bins.groupBy("root", "category")
         .agg(

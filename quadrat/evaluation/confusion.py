@@ -17,23 +17,33 @@ def confusion(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return predictions.groupBy(*by, "gt", "est").agg(F.count(F.lit(1)).alias("n"))
 
 
-def marginals(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., label, support, predicted, correct) for labels in gt or est, in one aggregation."""
+def marginals(cells: DataFrame, by: Sequence[str] = (), carried: Sequence[str] = ()) -> DataFrame:
+    """(by..., label, support, predicted, correct) for labels in gt or est, in one aggregation.
+
+    ``carried`` columns are further counts of a cell; their sums go to the true label.
+    """
+    none = F.lit(0).cast("long")
     hit = F.when(F.col("gt") == F.col("est"), F.col("n")).otherwise(0)
     sides = F.array(
         F.struct(
-            F.col("gt").alias("label"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"), hit.alias("c")
+            F.col("gt").alias("label"), F.col("n").alias("t"), none.alias("p"), hit.alias("c"), *carried
         ),
         F.struct(
-            F.col("est").alias("label"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"),
-            F.lit(0).cast("long").alias("c"),
+            F.col("est").alias("label"),
+            none.alias("t"),
+            F.col("n").alias("p"),
+            none.alias("c"),
+            *[none.alias(c) for c in carried],
         ),
     )
     return (
         cells.select(*by, F.inline(sides))
         .groupBy(*by, "label")
         .agg(
-            F.sum("t").alias("support"), F.sum("p").alias("predicted"), F.sum("c").alias("correct")
+            F.sum("t").alias("support"),
+            F.sum("p").alias("predicted"),
+            F.sum("c").alias("correct"),
+            *[F.sum(c).alias(c) for c in carried],
         )
     )
 

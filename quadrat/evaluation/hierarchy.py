@@ -11,12 +11,13 @@ from quadrat.operators.taxonomy import lca
 CROSS_BRANCH = "(cross-branch)"
 
 
-def with_lca(cells: DataFrame, classes: DataFrame) -> DataFrame:
-    """Wrong cells with the last common ancestor ``lca`` of their attributes."""
+def with_lca(cells: DataFrame, classes: DataFrame, errors_only: bool = True) -> DataFrame:
+    """Wrong cells (or all) with the last common ancestor ``lca`` of their attributes."""
     a = classes.select(F.col("class_id").alias("gt"), F.col("path").alias("_gt_path"))
     b = classes.select(F.col("class_id").alias("est"), F.col("path").alias("_est_path"))
-    errors = cells.where(F.col("gt") != F.col("est")).join(a, "gt").join(b, "est")
-    return errors.withColumn("lca", lca(F.col("_gt_path"), F.col("_est_path"))).drop(
+    if errors_only:
+        cells = cells.where(F.col("gt") != F.col("est"))
+    return cells.join(a, "gt").join(b, "est").withColumn("lca", lca(F.col("_gt_path"), F.col("_est_path"))).drop(
         "_gt_path", "_est_path"
     )
 

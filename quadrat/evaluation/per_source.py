@@ -14,28 +14,25 @@ from quadrat.functions.numbers import half_even
 
 def source_scores(predictions: DataFrame, classes: DataFrame) -> DataFrame:
     """Unrounded metrics per source. This macro F1 is the mean of the labels' F1."""
-    cells = confusion(predictions, ["source_key"])
-    scored = label_scores(marginals(cells, ["source_key"]))
+    cells = with_lca(confusion(predictions, ["source_key"]), classes, errors_only=False)
+    wrong = F.col("gt") != F.col("est")
+    errors = F.when(wrong, F.col("n")).otherwise(0)
+    cross = F.when(wrong & F.col("lca").isNull(), F.col("n")).otherwise(0)
+    marked = cells.withColumn("errors", errors).withColumn("cross", cross)
+    scored = label_scores(marginals(marked, ["source_key"], ["errors", "cross"]))
     per_source = scored.groupBy("source_key").agg(
         F.sum("support").alias("num_val_annotations"),
+        ratio(F.sum("cross"), F.sum("errors")).alias("cross_branch_error_rate"),
         (F.sum("correct") / F.sum("support")).alias("accuracy"),
         F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
         F.avg("f1_score").alias("f1_macro"),
         F.avg("precision").alias("precision_macro"),
         F.avg("recall").alias("recall_macro"),
     )
-    cross = F.sum(F.when(F.col("lca").isNull(), F.col("n")).otherwise(0))
-    errors = with_lca(cells, classes).groupBy("source_key").agg(
-        ratio(cross, F.sum("n")).alias("cross_branch_error_rate")
-    )
     images = predictions.groupBy("source_key").agg(
         F.count_distinct("image_key").alias("num_val_images")
     )
-    return (
-        per_source.join(errors, "source_key", "left")
-        .join(images, "source_key")
-        .na.fill(0.0, ["cross_branch_error_rate"])
-    )
+    return per_source.join(images, "source_key")
 
 
 def per_source(scores: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import keys
 from quadrat.functions.numbers import cosine, max_abs_difference
-from quadrat.operators.ranking import exact_percentile, ranked
+from quadrat.operators.ranking import exact_percentile, largest_group, ranked
+from quadrat.operators.staging import pin
 
 logger = logging.getLogger(__name__)
 
@@ -74,17 +75,27 @@ def grouped_points(
     distinct: bool = False,
     per_row: int = POINTS_PER_ROW,
 ) -> DataFrame:
-    """Per group the sorted array ``points`` of its points, in parts of at most ``per_row``."""
+    """Per group the sorted array ``points`` of its points, in parts of at most ``per_row``.
+
+    Groups within ``per_row`` take one aggregation (part 0). Larger groups are counted out first
+    and ranked on their own, so no task holds more than ``per_row`` points of a group at once.
+    """
     cols = [F.col(c) if isinstance(c, str) else c for c in point]
     rows = df.select(*by, F.struct(*cols).alias("_point"))
+    gather = F.collect_set if distinct else F.collect_list
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    large = pin(counts.where(F.col("_n") > per_row))
+    points = F.sort_array(gather("_point")).alias("points")
+    if large.isEmpty():
+        return rows.groupBy(*by).agg(points).select(*by, F.lit(0).alias("part"), "points")
+    small = rows.join(large, list(by), "left_anti").groupBy(*by).agg(points)
+    big = rows.join(large, list(by), "left_semi")
     if distinct:
-        rows = rows.distinct()
-    numbered = ranked(rows, by, ["_point"], "_rn")
+        big = big.distinct()
+    numbered = ranked(big, by, ["_point"], "_rn", largest=largest_group(large, "_n"))
     part = F.floor((F.col("_rn") - 1) / per_row).cast("int")
-    return (
-        numbered.groupBy(*by, part.alias("part"))
-        .agg(F.sort_array(F.collect_list("_point")).alias("points"))
-    )
+    parts = numbered.groupBy(*by, part.alias("part")).agg(points)
+    return small.select(*by, F.lit(0).alias("part"), "points").unionByName(parts)
 
 
 def image_labels(df: DataFrame) -> DataFrame:

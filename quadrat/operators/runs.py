@@ -48,7 +48,7 @@ def best_so_far(log: DataFrame, largest: int | None = None) -> DataFrame:
     usable = F.col("val_loss").isNotNull() & ~F.isnan("val_loss")
     state = F.when(usable, F.struct(F.col("val_loss").alias("loss"), F.col("epoch").alias("epoch")))
     if largest is None:
-        largest = largest_group(log.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")))
+        largest = longest_run(log)
     if largest <= task_rows(log):
         upto = Window.partitionBy("run_id").orderBy("epoch").rowsBetween(
             Window.unboundedPreceding, Window.currentRow
@@ -106,9 +106,15 @@ def early_stopping(log: DataFrame, patience: int, largest: int | None = None) ->
     )
 
 
-def numbered_epochs(log: DataFrame, run: str, order: Sequence[str | Column]) -> DataFrame:
+def longest_run(log: DataFrame, run: str = "run_id") -> int:
+    return largest_group(log.groupBy(run).agg(F.count(F.lit(1)).alias("n")))
+
+
+def numbered_epochs(
+    log: DataFrame, run: str, order: Sequence[str | Column], largest: int | None = None
+) -> DataFrame:
     """Number the entries of each run from 0 in the given order."""
-    numbered = ranked(log, [run], order, "_rn")
+    numbered = ranked(log, [run], order, "_rn", largest)
     return numbered.withColumn("epoch", F.col("_rn") - 1).drop("_rn")
 
 

@@ -56,15 +56,14 @@ def read_source_annotations(spark: SparkSession, glob: str) -> tuple[DataFrame,
     """All usable annotation rows (``<root>/s*/annotations.csv``), and the skipped sources with why."""
     headers = with_usability(read_headers(spark, glob))
     skipped = headers.where(F.col("reason").isNotNull()).select("source_id", "reason")
-    layouts = (
-        headers.where(F.col("reason").isNull())
-        .groupBy("columns")
-        .agg(F.sort_array(F.collect_list("file")).alias("files"))
-        .toLocalIterator()
-    )
+    # File names of each layout: as many as the scans below list anyway.
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    usable = headers.where(F.col("reason").isNull()).select("columns", "file")
+    for header in usable.toLocalIterator():
+        layouts.setdefault(tuple(header["columns"]), []).append(header["file"])
     rows = None
-    for layout in layouts:
-        scan = spark.read.csv(layout["files"], header=True).withColumn("source_id", source_of_file())
+    for files in layouts.values():
+        scan = spark.read.csv(sorted(files), header=True).withColumn("source_id", source_of_file())
         rows = scan if rows is None else rows.unionByName(scan, allowMissingColumns=True)
     if rows is None:
         rows = spark.createDataFrame([], "source_id string, Row string, Column string, `Label ID` string")
