@@ -40,14 +40,14 @@ def kinds_of(arrow) -> dict[str, str]:
     out = {}
     for f in arrow.schema:
         kind = str(f.type)
-        out[f.name] = {"large_string": "string", "int32": "int", "int64": "int"}.get(kind, kind)
+        out[f.name] = {"large_string": "string"}.get(kind, kind)
     return out
 
 
 def differences(spark, con, sf: str, fn, sql: str) -> list[str]:
     """Empty when columns, types, row counts and values agree."""
     got = fn(spark, sf).toArrow()
-    want = con.execute(sql).to_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     problems = []
     if sorted(got.schema.names) != sorted(want.schema.names):
         return [f"columns {sorted(got.schema.names)} != {sorted(want.schema.names)}"]
