@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.checks.bindings import (
@@ -764,6 +766,23 @@ def _(spark, sf):
     return tables.existing_images(bare_points(spark, sf).select(keys.full_path().alias("feature_full")))
 
 
+@query(
+    "listings_united",
+    """SELECT 'd/' || doc_id AS feature_full FROM labels UNION SELECT 'd/' || doc_id FROM documents WHERE lang = 'en'
+       UNION SELECT 'p/' || page_id FROM pages""",
+)
+def _(spark, sf):
+    def listed(name, prefix, key):
+        return table(spark, sf, name).select(F.concat(F.lit(prefix), key).alias("feature_full"))
+
+    english = table(spark, sf, "documents").where("lang = 'en'")
+    return tables.all_listings(
+        listed("labels", "d/", "doc_id"),
+        english.select(F.concat(F.lit("d/"), "doc_id").alias("feature_full")),
+        listed("pages", "p/", "page_id"),
+    )
+
+
 # --- split ------------------------------------------------------------------------------------
 
 SPLIT = f"""{POINTS}, sizes AS (
@@ -990,6 +1009,35 @@ final AS (SELECT attribute_id, form_id, source_id, count(*) OVER (PARTITION BY a
           r AS ref, r AS val, CASE WHEN r = 0 THEN n ELSE 0 END AS dropped, attribute_id, form_id FROM sized""",
 )
 def _(spark, sf):
+    return _build(spark, sf).tables["class_counts"]
+
+
+@query(
+    "dataset_build_tables",
+    f"""WITH {BUILD}, sized AS (SELECT attribute_id, form_id, count(*) AS n FROM final GROUP BY 1, 2)
+        SELECT 'included_sources' AS name, count(DISTINCT source_id) AS rows FROM manifest
+        UNION ALL SELECT 'project_stats_raw', count(DISTINCT source_id) FROM manifest
+        UNION ALL SELECT 'label_mapping', count(*) FROM mapping
+        UNION ALL SELECT 'unmapped_labels', count(DISTINCT label_id) FROM manifest
+          WHERE CAST(label_id AS VARCHAR) NOT IN (SELECT provider_id FROM mapping)
+        UNION ALL SELECT 'rollup_spec', count(*) FROM rules
+        UNION ALL SELECT 'labels_excluded', 1
+        UNION ALL SELECT 'retention', 1
+        UNION ALL SELECT 'project_stats_train_data', count(DISTINCT source_id) FROM final
+        UNION ALL SELECT 'attribute_counts', count(DISTINCT attribute_id) FROM final
+        UNION ALL SELECT 'class_counts', count(*) FROM sized
+        UNION ALL SELECT 'train_summary', 1
+        UNION ALL SELECT 'annotations_val', CAST(sum(CAST(floor(n * 0.1) AS BIGINT)) AS BIGINT) FROM sized""",
+)
+def _(spark, sf):
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        for name, df in _build(spark, sf).tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _build(spark, sf):
     root = _path(spark, "build")
     built = manifest.build_manifest(raw_annotations(spark, sf), raw_images(spark, sf))
     sinks.write_manifest(built, f"{root}/manifest")
@@ -1009,7 +1057,7 @@ def _(spark, sf):
             F.lit("features/"), keys.provider_feature_path(F.col("source_id"), F.col("image_id"))
         ).alias("feature_full")
     )
-    data = build_dataset(
+    return build_dataset(
         spark,
         options,
         label_mapping(spark, sf),
@@ -1017,4 +1065,3 @@ def _(spark, sf):
         _type_names(spark, sf),
         brands.withColumn("name", F.concat(F.lit("f-"), "id")),
     )
-    return data.tables["class_counts"]

@@ -737,6 +737,21 @@ def _(spark, sf):
     )
 
 
+@query(
+    "sources_attached",
+    f"""WITH {PREDS}, img AS (SELECT CAST(o_orderkey AS VARCHAR) AS image_key, o_orderpriority AS project_id FROM orders
+          WHERE o_orderstatus <> 'P')
+        SELECT CASE WHEN project_id IS NOT NULL THEN 'site:' || project_id END AS source_key, count(*) AS n
+        FROM preds LEFT JOIN img USING (image_key) GROUP BY 1""",
+)
+def _(spark, sf):
+    images = table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(
+        text("o_orderkey").alias("image_key"), F.lit("site").alias("site"), F.col("o_orderpriority").alias("project_id")
+    )
+    found = per_source.attach_sources(predictions(spark, sf).drop("source_key"), images)
+    return found.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "per_source_range",
     f"""WITH {PER_SOURCE} SELECT count(*) AS n_sources, {q('min(acc)')} AS min_accuracy, {q('max(acc)')} AS max_accuracy FROM sm""",

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from quadrat.evaluation.classification import label_scores, ratio
 from quadrat.evaluation.confusion import confusion, marginals
 from quadrat.evaluation.hierarchy import with_lca
-from quadrat.functions.keys import source_parts
+from quadrat.functions.keys import source_key, source_parts
 from quadrat.functions.numbers import half_even
 
 
+def attach_sources(predictions: DataFrame, images: DataFrame) -> DataFrame:
+    """Add ``source_key`` from an image table (image_key, site, project_id); unknown images get NULL."""
+    lookup = images.select("image_key", source_key("site", "project_id").alias("source_key"))
+    return predictions.join(lookup, "image_key", "left")
+
+
 def source_scores(predictions: DataFrame, classes: DataFrame) -> DataFrame:
     """Unrounded metrics per source. This macro F1 is the mean of the labels' F1."""
     cells = with_lca(confusion(predictions, ["source_key"]), classes, errors_only=False)

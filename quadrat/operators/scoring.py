@@ -7,7 +7,8 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -73,23 +74,26 @@ def score(features: DataFrame, head: Head, column: str = "features") -> DataFram
     model = features.sparkSession.sparkContext.broadcast(head)
     kept = [c for c in features.columns if c != column]
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = model.value
         for batch in batches:
-            out = batch[kept].copy()
-            if len(batch):
-                x = np.array(batch[column].to_list(), dtype=np.float64)
-                if x.ndim != 2 or x.shape[1] != head.input_dim:
-                    raise ValueError(f"features must have {head.input_dim} values; got {x.shape}.")
-                out["proba"] = list(head.predict(x))
-            else:
-                out["proba"] = pd.Series(dtype=object)
-            yield out
+            vectors = batch.column(column)
+            sizes = pc.unique(pc.list_value_length(vectors)).to_pylist()
+            if sizes not in ([], [head.input_dim]):
+                raise ValueError(f"features must have {head.input_dim} values; got {sizes}.")
+            # The vectors of a batch lie one after another in memory: no value becomes an object.
+            x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            proba = head.predict(x.reshape(len(batch), head.input_dim))
+            ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * proba.shape[1])
+            scored = pa.ListArray.from_arrays(ends, pa.array(proba.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in kept] + [scored], names=[*kept, "proba"]
+            )
 
     schema = StructType(
         [f for f in features.schema if f.name != column] + [StructField("proba", ArrayType(DoubleType()))]
     )
-    return features.mapInPandas(apply, schema)
+    return features.select(*kept, column).mapInArrow(apply, schema)
 
 
 def renormalised(probs: DataFrame) -> DataFrame:

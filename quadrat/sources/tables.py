@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -140,6 +141,11 @@ def list_feature_files(spark: SparkSession, path: str, glob: str = "*") -> DataF
     )
 
 
+def all_listings(*listings: DataFrame) -> DataFrame:
+    """The distinct paths of several listings, one per site."""
+    return reduce(DataFrame.union, [x.select("feature_full") for x in listings]).distinct()
+
+
 def existing_images(listing: DataFrame, path: str = "feature_full") -> DataFrame:
     """(source_id, image_id) of the feature files in a listing."""
     source = F.nullif(F.regexp_extract(path, r"(?:^|/)s([^/]+)/features/i[^/]+\.featurevector$", 1), F.lit(""))
