@@ -42,12 +42,18 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Evaluate a table that is expected to be small, keeping all of its rows either way.
+    """Evaluate a table that is expected to be small, keeping all of its rows either way."""
+    return pin_counted(df)[0]
+
+
+def pin_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``pin`` with the number of rows.
 
     The setting ``quadrat.pinRows`` moves the limit for what may pass through the driver.
     """
     max_rows = int(df.sparkSession.conf.get("quadrat.pinRows", str(PIN_ROWS)))
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows > max_rows:
-        return stage(df, "pinned")
-    return df.sparkSession.createDataFrame(head, schema=df.schema)
+        written = stage(df, "pinned")
+        return written, written.count()
+    return df.sparkSession.createDataFrame(head, schema=df.schema), head.num_rows

@@ -12,30 +12,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.keys import NO_FORM, class_parts, display_name
-from quadrat.operators.staging import pin
+from quadrat.operators.staging import pin, pin_counted
 
 
 def paths(nodes: DataFrame) -> DataFrame:
     """(id, name, parent, path, root): ``path`` runs from the root to the node itself."""
-    nodes = pin(nodes.select("id", "name", "parent"))
-    level = pin(
+    nodes, expected = pin_counted(nodes.select("id", "name", "parent"))
+    level, found = pin_counted(
         nodes.where(F.col("parent").isNull()).select("*", F.array("id").alias("path"))
     )
-    levels = []
-    while not level.isEmpty():
-        levels.append(level)
+    if expected and not found:
+        raise ValueError("The taxonomy has no root.")
+    levels, total = [level], found
+    while found and total < expected:
         above = level.select(F.col("id").alias("parent"), F.col("path").alias("_above"))
         below = nodes.join(above, "parent").select(
             "id", "name", "parent", F.concat("_above", F.array("id")).alias("path")
         )
-        level = pin(below)
-    if not levels:
-        if nodes.isEmpty():
-            return level.withColumn("root", F.col("id"))
-        raise ValueError("The taxonomy has no root.")
+        level, found = pin_counted(below)
+        levels.append(level)
+        total += found
     walked = reduce(DataFrame.unionByName, levels).withColumn("root", F.col("path")[0])
-    lost = nodes.join(walked.select("id"), "id", "left_anti").limit(3).collect()
-    if lost:
+    if total < expected:
+        lost = nodes.join(walked.select("id"), "id", "left_anti").limit(3).collect()
         raise ValueError(f"Nodes with an unknown parent or in a cycle: {[r['id'] for r in lost]}")
     return walked
 
