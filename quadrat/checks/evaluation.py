@@ -790,7 +790,7 @@ def _(spark, sf):
 def _(spark, sf):
     samples = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("gt"))
     keyed = samples.select(F.concat("gt", F.lit("::")).alias("class_id"))
-    classes = taxonomy.class_list(keyed).withColumn("class_id", F.col("attribute_id"))
+    classes = pin(taxonomy.class_list(keyed).withColumn("class_id", F.col("attribute_id")))
     probability.require_known_labels(samples, classes)
     return probability.encode_labels(samples, classes).select("p_partkey", "gt", "gt_idx")
 

@@ -316,6 +316,29 @@ def _(spark, sf):
     return exports.read_label_mapping(spark, path, multi_line=False)
 
 
+@query("form_export", "SELECT DISTINCT p_brand AS id, lower(p_brand) AS name FROM part")
+def _(spark, sf):
+    path = _path(spark, "export")
+    forms = table(spark, sf, "part").select(F.col("p_brand").alias("id"), F.lower("p_brand").alias("name")).distinct()
+    choices = forms.groupBy(F.lit("growthforms").alias("name"), F.length("id").alias("_page")).agg(
+        F.collect_list(F.struct("id", "name")).alias("data")
+    )
+    other = choices.select(F.lit("depths").alias("name"), "data")
+    choices.select("name", "data").union(other).write.json(path)
+    return exports.read_forms(spark, path, multi_line=False)
+
+
+@query(
+    "feature_files_listed",
+    "SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS source_id FROM supplier",
+)
+def _(spark, sf):
+    path = _path(spark, "features")
+    table(spark, sf, "supplier").repartition("s_nationkey").write.partitionBy("s_nationkey").parquet(path)
+    listing = tables.list_feature_files(spark, path, "*.parquet")
+    return listing.select(F.regexp_extract("feature_full", r"/s_nationkey=(\d+)/", 1).alias("source_id")).distinct()
+
+
 @query(
     "label_names_in_use",
     """SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name FROM part

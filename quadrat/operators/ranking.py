@@ -33,13 +33,14 @@ def largest_group(counts: DataFrame, n: str = "n") -> int:
     return counts.agg(F.max(n)).first()[0] or 0
 
 
-def range_chunks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def range_chunks(df: DataFrame, order: Sequence[Column], largest: int = 0) -> DataFrame:
     """``df`` range-partitioned and sorted by ``order``, with ``_chunk`` and ``_pos`` columns.
 
-    The chunks are written out: range bounds come from sampling, so two evaluations of the same
+    There are at least as many chunks as the largest group needs to stay within a task. The chunks are written out: range bounds come from sampling, so two evaluations of the same
     expression could cut at different keys.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, -(-largest // task_rows(df)))
     cut = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     cut = stage(cut.withColumn("_mid", F.monotonically_increasing_id()), "chunks")
     return (
@@ -67,9 +68,9 @@ def chunk_offsets(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def ranked_by_range(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], rn: str = "rn"
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], rn: str = "rn", largest: int = 0
 ) -> DataFrame:
-    chunks = range_chunks(df, [F.col(c) for c in by] + list(order))
+    chunks = range_chunks(df, [F.col(c) for c in by] + list(order), largest)
     offsets = chunk_offsets(chunks, by)
     keys = [*by, "_chunk"]
     renamed = offsets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first", "_before")
@@ -92,7 +93,7 @@ def ranked(
     if largest is None:
         largest = largest_group(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
     if largest > task_rows(df):
-        return ranked_by_range(df, by, cols, rn)
+        return ranked_by_range(df, by, cols, rn, largest)
     window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*cols)
     return df.withColumn(rn, F.row_number().over(window).cast("long"))
 
@@ -107,7 +108,7 @@ def exact_percentile(df: DataFrame, value: str, p: float, n: int | None = None)
         return known.agg(F.percentile(value, p)).first()[0]
     at = (n - 1) * p
     low = int(at)
-    spots = ranked_by_range(known, [], [F.col(value)]).where(F.col("rn").isin(low + 1, low + 2))
+    spots = ranked_by_range(known, [], [F.col(value)], largest=n).where(F.col("rn").isin(low + 1, low + 2))
     found = {r["rn"]: r[value] for r in spots.collect()}
     first = found[low + 1]
     return first + (found.get(low + 2, first) - first) * (at - low)

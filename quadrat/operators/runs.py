@@ -55,7 +55,7 @@ def best_so_far(log: DataFrame, largest: int | None = None) -> DataFrame:
         )
         marked = log.withColumn("_best", F.min(state).over(upto))
     else:
-        chunks = range_chunks(log, [F.col("run_id"), F.col("epoch")])
+        chunks = range_chunks(log, [F.col("run_id"), F.col("epoch")], largest)
         earlier = Window.partitionBy("run_id").orderBy("_chunk").rowsBetween(
             Window.unboundedPreceding, -1
         )

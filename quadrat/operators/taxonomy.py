@@ -79,8 +79,11 @@ def similarity(path_a: Column, path_b: Column) -> Column:
 
 
 def class_list(keys: DataFrame, key: str = "class_id") -> DataFrame:
-    """(idx, class_id, attribute_id, form_id) in class order from distinct class keys."""
-    distinct = pin(keys.select(F.col(key).alias("class_id")).distinct())
+    """(idx, class_id, attribute_id, form_id) in class order from distinct class keys.
+
+    Pin it (or make it a class table, which is pinned) before joining it to samples.
+    """
+    distinct = keys.select(F.col(key).alias("class_id")).distinct()
     order = Window.partitionBy(F.lit(0)).orderBy("class_id")
     parts = class_parts("class_id")
     return distinct.select(

@@ -23,10 +23,13 @@ def read_taxonomy(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return df.select(F.explode("results").alias("r")).select("r.*")
 
 
-def read_forms(spark: SparkSession, path: str, list_name: str = "growthforms") -> DataFrame:
+def read_forms(
+    spark: SparkSession, path: str, list_name: str = "growthforms", multi_line: bool = True
+) -> DataFrame:
     """Forms (id, name) from the named entry of a choices export."""
     schema = "name string, data array<struct<id:string,name:string>>"
-    entries = spark.read.schema(schema).json(path, multiLine=True).where(F.col("name") == list_name)
+    lists = spark.read.schema(schema).json(path, multiLine=multi_line)
+    entries = lists.where(F.col("name") == list_name)
     if entries.isEmpty():
         raise ValueError(f"'{list_name}' not found in {path}")
     return entries.select(F.explode("data").alias("d")).select("d.*")

@@ -103,6 +103,7 @@ def test_whole_classes_need_no_ranking(spark, skewed):
 
 
 def test_ranks_over_chunks(spark, skewed, small_tasks):
+    spark.conf.set("quadrat.taskRows", "40")
     by_range = ranked(skewed, ["attribute_id"], POINT_KEY)
     spark.conf.set("quadrat.taskRows", "100000")
     plain = ranked(skewed, ["attribute_id"], POINT_KEY)
