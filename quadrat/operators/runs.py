@@ -63,15 +63,16 @@ def best_so_far(log: DataFrame, largest: int | None = None) -> DataFrame:
             chunks.groupBy("run_id", "_chunk")
             .agg(F.min(state).alias("_chunk_best"))
             .withColumn("_carried", F.min("_chunk_best").over(earlier))
-            .drop("_chunk_best")
+            .select("run_id", "_chunk", "_carried.loss", F.col("_carried.epoch").alias("_epoch"))
         )
+        carried_best = F.when(F.col("loss").isNotNull(), F.struct("loss", F.col("_epoch").alias("epoch")))
         upto = Window.partitionBy("run_id", "_chunk").orderBy("epoch").rowsBetween(
             Window.unboundedPreceding, Window.currentRow
         )
         marked = (
             chunks.join(carried, ["run_id", "_chunk"])
             .withColumn("_own", F.min(state).over(upto))
-            .withColumn("_best", F.array_min(F.array_compact(F.array("_own", "_carried"))))
+            .withColumn("_best", F.array_min(F.array_compact(F.array("_own", carried_best))))
         )
     best_epoch = F.col("_best.epoch")
     return marked.select(

@@ -49,7 +49,7 @@ def pin(df: DataFrame) -> DataFrame:
 def pin_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``pin`` with the number of rows.
 
-    The setting ``quadrat.pinRows`` moves the limit for what may pass through the driver.
+    Columns should not be structs that may be NULL. The setting ``quadrat.pinRows`` moves the limit for what may pass through the driver.
     """
     max_rows = int(df.sparkSession.conf.get("quadrat.pinRows", str(PIN_ROWS)))
     head = df.limit(max_rows + 1).toArrow()
