@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import decontaminate, mixing, sharding, simhash, toxicity
+from quadrat.llm import chat, decontaminate, mixing, sharding, simhash, toxicity
 
 QUERIES: dict[str, tuple] = {}
 
@@ -54,6 +54,42 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_read(spark, sf_dir, "documents"))
 
 
+_MARKED = r"\### Assistant: </turn> ok"
+
+_CHAT_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_MARKED}' UNION ALL SELECT -7, 1, 'assistant', '{_MARKED}'
+), measured AS (
+  SELECT *, 16 + length(replace(replace(role, '<', '<_'), '>', '<.')) + length(replace(text, '<', '<_')) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+    count(*) OVER (PARTITION BY conv_id) AS n
+  FROM turns
+), summed AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM measured
+)
+SELECT conv_id, max(n) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR place = n) AS BIGINT) AS formatted_chars
+FROM summed GROUP BY conv_id
+"""
+
+
+@query("op7_chat_formatting", _CHAT_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = F.lit(_MARKED)
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        marked.alias("text"),
+    )
+    return chat.read_back(chat.expand(turns.unionByName(extra)))
+
+
 @query("op8_sharding")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))

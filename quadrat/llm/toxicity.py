@@ -32,10 +32,10 @@ _PAIRS = ((1, 0x8CB92BA72F3D8DD7), (2, 0xC2B2AE3D27D4EB4F), (3, 0x165667B19E3779
 class Ftrl:
     """Settings of the learner; ``alpha`` and ``beta`` set the rates, ``l1`` and ``l2`` the penalties."""
 
-    alpha: float = 0.1
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.5
-    l2: float = 1.0
+    l1: float = 4.0
+    l2: float = 0.0
     epochs: int = 3
 
 
