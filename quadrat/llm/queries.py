@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import chat, decontaminate, mixing, sharding, simhash, toxicity
+from quadrat.llm import chat, decontaminate, mixing, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, tuple] = {}
 
@@ -93,3 +93,27 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_sharding")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+m AS (
+  SELECT *, strlen(html) AS bytes, min(page_id) OVER (PARTITION BY html) AS first FROM p
+)
+SELECT page_id, bytes AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM m
+"""
+
+
+@query("op9_warc", _WARC_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_archives(warc.write_archives(_read(spark, sf_dir, "pages")), payloads=False)
+    return read.select(
+        F.col("page_key").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
