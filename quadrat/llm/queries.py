@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import chat, decontaminate, mixing, sharding, simhash, toxicity, warc
+from quadrat.llm import chat, decontaminate, embeddings, mixing, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, tuple] = {}
 
@@ -117,3 +117,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+@query("op6_embedding_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.find_near_duplicates(_read(spark, sf_dir, "embeddings"))
+    return found.select(
+        "vec_id",
+        F.col("__links").alias("n_links"),
+        F.col("__component").alias("component_id"),
+        F.col("__kept").alias("kept"),
+    )
