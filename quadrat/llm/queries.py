@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import chat, decontaminate, embeddings, mixing, sharding, simhash, toxicity, warc
+from quadrat.llm import chat, decontaminate, embeddings, mixing, quality, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, tuple] = {}
 
@@ -128,3 +128,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__component").alias("component_id"),
         F.col("__kept").alias("kept"),
     )
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = quality.fit(documents, labels)
+    return _predictions(quality.score(documents.select("doc_id", "text"), model), 0.3)
