@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import chat, decontaminate, embeddings, mixing, quality, sharding, simhash, toxicity, warc
+from quadrat.llm import chat, context_mixing, decontaminate, embeddings, mixing, quality, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, tuple] = {}
 
@@ -22,6 +22,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return context_mixing.score_texts(documents, held_out)
+
+
 @query("op2_benchmark_decontamination")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")

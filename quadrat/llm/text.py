@@ -93,3 +93,11 @@ def hashed_words(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarr
     if not hashes:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(hashes), np.searchsorted(bounds, np.concatenate(positions), side="right")
+
+
+def prefix_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each position the hash of the bytes from ``starts`` up to it, itself not included."""
+    power, inverse = _power_tables(len(data))
+    total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)
+    before = np.concatenate([[np.uint64(0)], total[:-1]])
+    return mixed((before - before[starts]) * inverse[starts])
