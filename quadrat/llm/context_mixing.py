@@ -1,14 +1,15 @@
 """Language model scoring by logistic context mixing.
 
 A text is its lower-cased words and one end, each spelled as bytes with a space behind. Every bit of every byte is predicted in six
-hashed contexts (bytes before it in the word, the word so far, and both with a class of the word before). A context's slot holds how often 0 and
+hashed contexts (bytes before it in the word, the word so far, and both with a class of the text). A context's slot holds how often 0 and
 1 followed. The six predictions are mixed in the logistic domain by a set of weights, which a gate picks by how much the two contexts of the whole
-word have seen; the mix is then refined by an adaptive table over (bits so far, mixed prediction). The text's score is the sum over its bits.
+word have seen; the mix is then refined by an adaptive table over (bits so far, mixed prediction). The text's score is the sum over its bits, and
+the cost of naming its class, which is a hash of its most frequent word.
 
 Learning from the training documents takes three steps over all of them:
 
-1. Documents are dealt into blocks of about ``BLOCK_BYTES`` by a hash of the id. A block's distinct words and its counts of (word, class of the word
-   before) are packed by bucket of the word's hash, and each bucket adds up the counts of all blocks. This gives exact word counts, which go back
+1. Documents are dealt into blocks of about ``BLOCK_BYTES`` by a hash of the id. A block's distinct words and its counts of (word, class)
+   are packed by bucket of the word's hash, and each bucket adds up the counts of all blocks. This gives exact word counts, which go back
    to the blocks that hold the words, and the counts of all distinct pairs.
 2. Contexts are counted bit by bit over the distinct pairs; tables of trainers are added up in pieces.
 3. Each trainer goes through its pairs in small batches and moves the weights online after each one, always predicting with the pair's own last
@@ -32,19 +33,19 @@ from quadrat.llm.text import blobs, mixed, prefix_hashes
 from quadrat.operators.staging import stage
 
 BLOCK_BYTES = 8 << 20
-CLASSES = 16
+CLASSES = 32
 #: Slots of each context, as powers of two; the last two contexts are the word so far, without and with the class.
 TABLE_BITS = (16, 18, 20, 20, 22, 22)
 LEAST_SEEN = 2
 TRAINER_PAIRS = 1_500_000
-_BATCH = 4096
+_BATCH = 2048
 _PIECE = 1 << 16
 _STEPS = 24
 _SPLIT = 12.0
 _CODES = np.expm1(np.arange(256) / _SPLIT * np.log(2.0))
 _LOG = np.log(_CODES + 0.4).astype(np.float32)
 _LOG_BUT_ONE = np.log(np.maximum(_CODES - 1.0, 0.0) + 0.4).astype(np.float32)
-_SEEN = np.minimum(np.arange(256) // 24, 7).astype(np.int64)
+_SEEN = np.minimum(np.arange(256) // 12, 7).astype(np.int64)
 _SETS = 64
 
 
@@ -53,21 +54,9 @@ def split_tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), b""]
 
 
-def class_of(token: bytes) -> int:
-    """Class of a word as the one before: 0 is the start, 1 and 2 closing marks, others a hash of the last two bytes."""
-    if not token:
-        return 0
-    last = token[-1]
-    if last in b".!?":
-        return 1
-    if last in b",;:":
-        return 2
-    return 3 + (last * 31 + (token[-2] if len(token) > 1 else 0)) % (CLASSES - 3)
-
-
 @dataclass
 class Numbered:
-    """The words of some texts: the distinct ones, and each occurrence as (word number, class before, text)."""
+    """The words of some texts: the distinct ones, and each occurrence as (word number, class of its text, text)."""
 
     tokens: list[bytes]
     ids: np.ndarray
@@ -76,18 +65,22 @@ class Numbered:
 
 
 def number_tokens(texts: list[bytes]) -> Numbered:
-    numbers: dict[bytes, int] = {}
+    """A text's class is a hash of its most frequent word (of equals, that with the least checksum), 0 without words."""
+    numbers: dict[bytes, int] = {b"": 0}
     ids, sizes = [], []
     for text in texts:
         words = split_tokens(text)
         sizes.append(len(words))
         ids += [numbers.setdefault(w, len(numbers)) for w in words]
     tokens = list(numbers)
-    flat = np.array(ids, dtype=np.int64)
-    kind = np.array([class_of(t) for t in tokens], dtype=np.int64)
-    classes = np.zeros(len(flat), dtype=np.int64)
-    classes[1:] = kind[flat[:-1]]  # the end has class 0, so a text's first word has it too
-    return Numbered(tokens, flat, classes, np.repeat(np.arange(len(texts)), sizes))
+    flat, owners = np.array(ids, dtype=np.int64), np.repeat(np.arange(len(texts)), sizes)
+    sums = np.array([zlib.crc32(t) for t in tokens], dtype=np.int64)
+    pair, often = np.unique(owners * len(tokens) + flat, return_counts=True)
+    owner, word = pair // len(tokens), pair % len(tokens)
+    order = np.lexsort((sums[word], -often, word == 0, owner))
+    first = order[np.searchsorted(owner, np.arange(len(texts)))] if len(texts) else order
+    kind = np.where(word[first] == 0, 0, 1 + sums[word[first]] % (CLASSES - 1))
+    return Numbered(tokens, flat, kind[owners], owners)
 
 
 # --- counts of words --------------------------------------------------------------------------------
@@ -228,15 +221,14 @@ def spell(tokens: list[bytes], classes: np.ndarray) -> Spelled:
 
 def count_bits(spelled: Spelled, counts: np.ndarray, tables: list[np.ndarray]) -> None:
     """Add the words' bits, ``counts`` times each, to the (2, slots) tables."""
-    weight = np.repeat(counts[spelled.owner].astype(np.float64), 8)
+    weight = np.repeat(counts[spelled.owner].astype(np.float32), 8)
     often = np.repeat(counts[spelled.owner] >= LEAST_SEEN, 8)
     bits = spelled.bits.ravel().astype(np.int64)
     for k, (table, slots) in enumerate(zip(tables, spelled.slots)):
-        flat, w, b = slots.ravel(), weight, bits
+        place, w = bits * table.shape[1] + slots.ravel(), weight
         if k >= len(TABLE_BITS) - 2:
-            flat, w, b = flat[often], w[often], b[often]
-        key, back = np.unique(flat * 2 + b, return_inverse=True)
-        table[key & 1, key >> 1] += np.bincount(back, w, len(key)).astype(table.dtype)
+            place, w = place[often], w[often]
+        np.add.at(table.reshape(-1), place, w)
 
 
 def encode_counts(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -312,7 +304,7 @@ def fit_batch(spelled: Spelled, counts: np.ndarray, slots: list, state: dict) ->
 
 
 def score_tokens(tokens: list[bytes], classes: np.ndarray, model: Model) -> np.ndarray:
-    """log10 probability of each word after a word of its class."""
+    """log10 probability of each word in a text of its class."""
     out = np.empty(len(tokens))
     for start in range(0, len(tokens), _BATCH):
         spelled = spell(tokens[start : start + _BATCH], classes[start : start + _BATCH])
@@ -428,7 +420,7 @@ def score_texts(
         by_pair = score_tokens([numbered.tokens[k] for k in (pair // CLASSES).tolist()], pair % CLASSES, shared.value)
         n_docs, owner = len(texts), numbered.owners
         base = np.log10((c + 1.0) / (total + distinct + 1.0))
-        scores = np.bincount(owner, by_pair[back], n_docs)
+        scores = np.bincount(owner, by_pair[back], n_docs) - np.log10(CLASSES)
         sizes = np.bincount(owner, np.array([len(t) + 1.0 for t in numbered.tokens])[numbered.ids], n_docs)
         return pa.table(
             {
