@@ -2,7 +2,7 @@
 
 Points are line items (image = order, row = part, col = line number, source = supplier, class =
 part type and return flag); the taxonomy is region, nation, supplier; predictions compare supplier
-and customer nations; probabilities are the softmax of the first ten embedding values.
+and customer nations; probabilities are the softmax of ten logits, logit k being the sum of the embedding values j with j % 10 = k.
 """
 
 from __future__ import annotations
@@ -280,9 +280,15 @@ scores AS (
 
 
 def probs(spark: SparkSession, sf: str) -> DataFrame:
-    """(vec_id, gt_idx, proba) over ten classes."""
+    """(vec_id, gt_idx, proba) over ten classes; every value of a vector counts."""
+
+    def logit(k: int) -> Column:
+        own = F.filter("embedding", lambda _, j: j % 10 == k)
+        return F.aggregate(own, F.lit(0.0), lambda total, x: total + x)
+
+    logits = F.array(*[logit(k) for k in range(10)])
     return table(spark, sf, "embeddings").select(
-        "vec_id", F.col("label").alias("gt_idx"), softmax(F.slice("embedding", 1, 10)).alias("proba")
+        "vec_id", F.col("label").alias("gt_idx"), softmax(logits).alias("proba")
     )
 
 
@@ -295,8 +301,9 @@ def prob_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PROBS = """emb AS (
-  SELECT vec_id, label AS gt, generate_subscripts(embedding[1:10], 1) - 1 AS k,
-         CAST(unnest(embedding[1:10]) AS DOUBLE) AS x FROM embeddings),
+  SELECT vec_id, gt, j % 10 AS k, sum(v) AS x FROM (
+    SELECT vec_id, label AS gt, generate_subscripts(embedding, 1) - 1 AS j,
+           CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) e GROUP BY 1, 2, 3),
 expd AS (SELECT vec_id, gt, k, exp(x - max(x) OVER (PARTITION BY vec_id)) AS u FROM emb),
 probs AS (SELECT vec_id, gt, k, u / sum(u) OVER (PARTITION BY vec_id) AS p FROM expd)"""
 RANKS = (

@@ -224,12 +224,14 @@ def _(spark, sf):
 
 @query(
     "source_list_csv",
-    "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS source_id FROM orders WHERE o_totalprice >= 5000",
+    """SELECT DISTINCT CASE WHEN o_custkey % 3 = 0 THEN o_custkey || 'd' ELSE CAST(o_custkey AS VARCHAR) END AS source_id
+       FROM orders WHERE o_totalprice >= 5000""",
 )
 def _(spark, sf):
     path = _path(spark, "csv")
     listed = table(spark, sf, "orders").select(
         F.when(F.col("o_totalprice") < 5000, "nan")
+        .when(F.col("o_custkey") % 3 == 0, F.concat(text("o_custkey"), F.lit("d")))
         .when(F.col("o_orderstatus") == "F", F.concat(text("o_custkey"), F.lit(".0")))
         .otherwise(F.concat(F.lit(" "), text("o_custkey")))
         .alias("Source ID"),
@@ -386,11 +388,16 @@ def _(spark, sf):
 @query(
     "id_normalisation",
     """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN CAST(o_custkey AS VARCHAR)
-       WHEN 'O' THEN 'c' || o_custkey ELSE NULL END AS id FROM orders""",
+       WHEN 'O' THEN CASE o_custkey % 4 WHEN 0 THEN 'c' || o_custkey WHEN 1 THEN o_custkey || 'd' WHEN 2 THEN o_custkey || 'F'
+         ELSE CAST(10 * o_custkey AS VARCHAR) END ELSE NULL END AS id FROM orders""",
 )
 def _(spark, sf):
     raw = F.when(F.col("o_orderstatus") == "F", F.concat(text("o_custkey"), F.lit(".0 "))).when(
-        F.col("o_orderstatus") == "O", F.concat(F.lit(" c"), text("o_custkey"))
+        F.col("o_orderstatus") == "O",
+        F.when(F.col("o_custkey") % 4 == 0, F.concat(F.lit(" c"), text("o_custkey")))
+        .when(F.col("o_custkey") % 4 == 1, F.concat(text("o_custkey"), F.lit("d ")))
+        .when(F.col("o_custkey") % 4 == 2, F.concat(text("o_custkey"), F.lit("F")))
+        .otherwise(F.concat(text("o_custkey"), F.lit("e1"))),
     ).otherwise(F.lit(" NaN"))
     return table(spark, sf, "orders").select("o_orderkey", texts.normal_id(raw).alias("id"))
 
@@ -721,40 +728,49 @@ def _(spark, sf):
 
 @query(
     "points_by_image",
-    f"""WITH {POINTS} SELECT bucket, feature_vector, CAST(0 AS INTEGER) AS part, count(*) AS points,
-        string_agg("row" || '-' || col || '-' || attribute_id || '::' || form_id, ',' ORDER BY "row", col,
-          attribute_id || '::' || form_id) AS listed FROM points GROUP BY 1, 2""",
-)
-def _(spark, sf):
-    grouped = features.image_labels(points(spark, sf))
-    each = F.transform("points", lambda p: F.concat_ws("-", p["row"], p["col"], p["class_key"]))
-    return grouped.select(
-        "bucket",
-        "feature_vector",
-        "part",
-        F.size("points").cast("long").alias("points"),
-        F.array_join(each, ",").alias("listed"),
-    )
+    f"""WITH {POINTS} SELECT bucket, feature_vector, count(*) AS points FROM points GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return features.image_counts(points(spark, sf))
+
+
+@query(
+    "image_points",
+    f"""WITH {POINTS} SELECT bucket, feature_vector, "row", col, attribute_id || '::' || form_id AS class_key FROM points""",
+)
+def _(spark, sf):
+    return features.image_points(points(spark, sf))
+
+
+_TODO = """WITH todo AS (SELECT DISTINCT l_suppkey, l_orderkey, l_partkey, l_linenumber FROM lineitem
+          ANTI JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') d ON l_orderkey = o_orderkey)"""
+
+
+def _extraction(spark, sf):
+    rows = bare_points(spark, sf).withColumnRenamed("project_id", "source_id")
+    done = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(text("o_orderkey").alias("image_id"))
+    listing = rows.join(done, "image_id", "left_semi").select(keys.full_path().alias("feature_full"))
+    return rows, tables.existing_images(listing)
 
 
 @query(
     "extraction_work",
-    """WITH todo AS (SELECT DISTINCT l_suppkey, l_orderkey, l_partkey, l_linenumber FROM lineitem
-          ANTI JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') d ON l_orderkey = o_orderkey)
-       SELECT CAST(l_suppkey AS VARCHAR) AS source_id, CAST(l_orderkey AS VARCHAR) AS image_id,
-              CAST(0 AS INTEGER) AS part,
-              string_agg(l_partkey || '-' || l_linenumber, ',' ORDER BY l_partkey, l_linenumber) AS points,
+    f"""{_TODO} SELECT CAST(l_suppkey AS VARCHAR) AS source_id, CAST(l_orderkey AS VARCHAR) AS image_id, count(*) AS points,
               'in/s' || l_suppkey || '/images/' || l_orderkey || '.jpg' AS image_path,
               's' || l_suppkey || '/features/i' || l_orderkey || '.featurevector' AS feature_path
        FROM todo GROUP BY l_suppkey, l_orderkey""",
 )
 def _(spark, sf):
-    rows = bare_points(spark, sf).withColumnRenamed("project_id", "source_id")
-    done = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(text("o_orderkey").alias("image_id"))
-    listing = rows.join(done, "image_id", "left_semi").select(keys.full_path().alias("feature_full"))
-    work = features.extraction_work(rows, tables.existing_images(listing), "in/")
-    each = F.transform("points", lambda p: F.concat_ws("-", p["row"], p["col"]))
-    return work.withColumn("points", F.array_join(each, ","))
+    return features.extraction_work(*_extraction(spark, sf), "in/")
+
+
+@query(
+    "extraction_points",
+    f"""{_TODO} SELECT CAST(l_suppkey AS VARCHAR) AS source_id, CAST(l_orderkey AS VARCHAR) AS image_id, l_partkey AS "row",
+              l_linenumber AS col FROM todo""",
+)
+def _(spark, sf):
+    return features.extraction_points(*_extraction(spark, sf))
 
 
 @query(
@@ -768,17 +784,16 @@ def _(spark, sf):
 
 @query(
     "listings_united",
-    """SELECT 'd/' || doc_id AS feature_full FROM labels UNION SELECT 'd/' || doc_id FROM documents WHERE lang = 'en'
+    """SELECT 'd/' || doc_id AS feature_full FROM labels UNION SELECT 'd/' || doc_id FROM documents
        UNION SELECT 'p/' || page_id FROM pages""",
 )
 def _(spark, sf):
     def listed(name, prefix, key):
         return table(spark, sf, name).select(F.concat(F.lit(prefix), key).alias("feature_full"))
 
-    english = table(spark, sf, "documents").where("lang = 'en'")
     return tables.all_listings(
         listed("labels", "d/", "doc_id"),
-        english.select(F.concat(F.lit("d/"), "doc_id").alias("feature_full")),
+        listed("documents", "d/", "doc_id"),
         listed("pages", "p/", "page_id"),
     )
 
@@ -922,11 +937,10 @@ def _(spark, sf):
 
 @query(
     "split_summary_text",
-    f"""WITH {SPLIT}, {_SUMMARY} SELECT annotations || ' annotations (' || annotations_train || ' train, '
-        || annotations_ref || ' ref, ' || annotations_val || ' val, ' || annotations_dropped
-        || ' dropped during stratification) from ' || images || ' images. Representation: ' || attributes
-        || ' attributes and ' || classes || ' classes (dropped: ' || attributes_dropped || ' attributes, '
-        || classes_dropped || ' classes).' AS summary FROM summary""",
+    f"""WITH {SPLIT}, {_SUMMARY} SELECT 'Points: ' || annotations || ' in all; train ' || annotations_train || ', ref ' || annotations_ref
+        || ', val ' || annotations_val || ', without a set ' || annotations_dropped || '. Images: ' || images
+        || '. Attributes: ' || attributes || '. Classes: ' || classes || '. Left without a set: attributes '
+        || attributes_dropped || ', classes ' || classes_dropped || '.' AS summary FROM summary""",
 )
 def _(spark, sf):
     return split.summary_text(split.train_summary(_split(spark, sf)))
@@ -949,7 +963,7 @@ weights AS (SELECT attribute_id, form_id, n,
 
 
 def _weights(spark, sf, cap=None):
-    return weights.class_weights(prepare.class_counts(points(spark, sf)), weights.WeightOptions(True, cap))
+    return weights.class_weights(prepare.class_counts(points(spark, sf)), weights.WeightOptions(cap))
 
 
 @query("class_weights", f"WITH {WEIGHTS} SELECT attribute_id, form_id, n, {q('weight', 9)} AS weight FROM weights")
@@ -1051,17 +1065,111 @@ def _build(spark, sf):
             "excluded_csv": f"{root}/excluded",
         }
     )
+    return build_dataset(spark, options, label_mapping(spark, sf), None, _type_names(spark, sf), _brands(spark, sf))
+
+
+def _brands(spark, sf):
     brands = table(spark, sf, "part").select(F.col("p_brand").alias("id")).distinct()
-    listing = spark.read.parquet(f"{root}/manifest").select(
-        F.concat(
-            F.lit("features/"), keys.provider_feature_path(F.col("source_id"), F.col("image_id"))
-        ).alias("feature_full")
+    return brands.withColumn("name", F.concat(F.lit("f-"), "id"))
+
+
+# All parts of the build at once: both sites, forms cleared, a rollup, a list of classes to keep, a balanced subsample, a listing that
+# lacks every image whose number is a multiple of 50, the split, the weights and the rows of one source.
+WHOLE = f"""{MANIFEST}, {MAPPING}, {NATIVE},
+points AS (SELECT 'provider' AS site, CAST(source_id AS VARCHAR) AS project_id, CAST(image_id AS VARCHAR) AS image_id, "row", col, attribute_id
+  FROM manifest JOIN mapping ON CAST(label_id AS VARCHAR) = provider_id
+  UNION ALL SELECT site, project_id, image_id, "row", col, attribute_id FROM native),
+rolled AS (SELECT * REPLACE (CASE attribute_id WHEN 'ECONOMY' THEN 'STANDARD' ELSE attribute_id END AS attribute_id) FROM points),
+kept AS (SELECT * FROM rolled WHERE attribute_id IN ('STANDARD', 'MEDIUM', 'LARGE')),
+sizes AS (SELECT attribute_id, count(*) AS n FROM kept GROUP BY 1),
+budget AS (SELECT attribute_id, n, least(n, greatest(100, 6000 // (SELECT count(*) FROM sizes))) AS target_n FROM sizes),
+numbered AS (SELECT k.*, target_n, row_number() OVER (PARTITION BY attribute_id ORDER BY site, project_id, image_id, "row", col) AS rn
+  FROM kept k JOIN budget USING (attribute_id)),
+cut AS (SELECT * FROM numbered WHERE rn <= target_n),
+here AS (SELECT * FROM cut WHERE CAST(image_id AS BIGINT) % 50 <> 0),
+final AS (SELECT attribute_id, count(*) AS n, count(DISTINCT project_id) AS s, CAST(floor(count(*) * 0.2) AS BIGINT) AS r,
+  CAST(floor(count(*) * 0.1) AS BIGINT) AS v FROM here GROUP BY 1)"""
+
+
+def _whole(spark, sf):
+    root = _path(spark, "build")
+    built = manifest.build_manifest(raw_annotations(spark, sf), raw_images(spark, sf))
+    sinks.write_manifest(built, f"{root}/manifest")
+    _native(spark, sf).write.parquet(f"{root}/native")
+    rules = spark.createDataFrame([("ECONOMY", "", "STANDARD", "")], ROLLUP_SCHEMA)
+    sinks.write_rollups(rules, f"{root}/rollups")
+    listed = [("STANDARD", ""), ("MEDIUM", ""), ("LARGE", "")]
+    sinks.write_included(spark.createDataFrame(listed, LISTED_SCHEMA), f"{root}/included")
+    options = DatasetOptions.from_dict(
+        {
+            "manifest_path": f"{root}/manifest",
+            "native_path": f"{root}/native",
+            "drop_forms": True,
+            "rollup_csv": f"{root}/rollups",
+            "included_csv": f"{root}/included",
+            "subsample": {"strategy": "balanced", "total_annotations": 6000, "min_per_class": 100},
+            "weighting": {"weight_ratio_cap": 20.0},
+            "ref_val_ratios": ("0.2", "0.1"),
+            "percent_missing_allowed": 10,
+            "annotations_to_log": "s1",
+        }
     )
-    return build_dataset(
-        spark,
-        options,
-        label_mapping(spark, sf),
-        listing,
-        _type_names(spark, sf),
-        brands.withColumn("name", F.concat(F.lit("f-"), "id")),
+    line = table(spark, sf, "lineitem").where("l_orderkey % 50 <> 0").select("l_suppkey", "l_orderkey")
+    provider = keys.provider_feature_path(F.col("l_suppkey"), F.col("l_orderkey"))
+    listing = tables.all_listings(
+        line.select(F.concat(F.lit("features/"), provider).alias("feature_full")),
+        line.select(F.concat(F.lit("native-features/native/"), "l_orderkey", F.lit("_featurevector")).alias("feature_full")),
     )
+    return build_dataset(spark, options, label_mapping(spark, sf), listing, _type_names(spark, sf), _brands(spark, sf))
+
+
+@query(
+    "whole_build",
+    f"""WITH {WHOLE} SELECT lower(attribute_id) AS attribute_name, '' AS form_name, s AS num_projects, n AS num_annotations,
+          CASE WHEN v = 0 THEN 0 ELSE n - r - v END AS train, CASE WHEN v = 0 THEN 0 ELSE r END AS ref, v AS val,
+          CASE WHEN v = 0 THEN n ELSE 0 END AS dropped, attribute_id, '' AS form_id FROM final""",
+)
+def _(spark, sf):
+    return _whole(spark, sf).tables["class_counts"]
+
+
+@query(
+    "whole_build_weights",
+    f"""WITH {WHOLE}, w AS (SELECT attribute_id, n - r - v AS n,
+            1.0 / ((1.0 - pow(0.9999, CAST(n - r - v AS DOUBLE))) / (1.0 - 0.9999)) AS weight FROM final WHERE v > 0)
+        SELECT attribute_id || '::' AS class_key, attribute_id, lower(attribute_id) AS attribute_name, '' AS form_id, '' AS form_name,
+          n AS count, {q('least(weight, (SELECT min(weight) FROM w) * 20)', 9)} AS weight FROM w""",
+)
+def _(spark, sf):
+    return tidy(_whole(spark, sf).tables["class_weights"], 9)
+
+
+@query(
+    "whole_build_retention",
+    f"""WITH {WHOLE}, b AS (SELECT count(*) AS a, count(DISTINCT site || project_id || '/' || image_id) AS i FROM points),
+          f AS (SELECT count(*) AS a, count(DISTINCT site || project_id || '/' || image_id) AS i FROM kept)
+        SELECT b.a AS annotations_before, b.a AS annotations_rollup, f.a AS annotations_filter, b.i AS images_before,
+          b.i AS images_rollup, f.i AS images_filter, CAST(0 AS BIGINT) AS annotations_lost_rollup,
+          b.a - f.a AS annotations_lost_filter, {q('100.0 * f.a / b.a')} AS annotations_kept_pct,
+          CAST(0 AS BIGINT) AS images_lost_rollup, b.i - f.i AS images_lost_filter, {q('100.0 * f.i / b.i')} AS images_kept_pct
+        FROM b, f""",
+)
+def _(spark, sf):
+    return tidy(_whole(spark, sf).tables["retention"])
+
+
+@query(
+    "whole_build_audit",
+    f"""WITH {WHOLE} SELECT attribute_id, lower(attribute_id) AS attribute_name, '' AS form_id, '' AS form_name, n AS pre_count,
+          CAST(target_n AS BIGINT) AS target_n, CAST(target_n AS BIGINT) AS realized_n FROM budget""",
+)
+def _(spark, sf):
+    return _whole(spark, sf).tables["subsample_audit"]
+
+
+@query(
+    "whole_build_source_log",
+    f"""WITH {WHOLE} SELECT image_id, "row", col, attribute_id FROM here WHERE site = 'provider' AND project_id = '1'""",
+)
+def _(spark, sf):
+    return _whole(spark, sf).tables["annotations_s1"].select("image_id", "row", "col", "attribute_id")

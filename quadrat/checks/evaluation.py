@@ -379,11 +379,18 @@ def _(spark, sf):
     return confusion.full_confusion(_cells(spark, sf), nation_classes(spark, sf))
 
 
+# The class keys and display names follow from the 25 nations and three forms.
+_WIDE = ", ".join(
+    f"""max(CASE WHEN est = 'n{n}::{form}' THEN n END) AS "NATION_{n}{shown}\""""
+    for n in range(25)
+    for form, shown in (("", ""), ("A", "::Arm"), ("R", "::Round"))
+)
+
+
 @query(
     "confusion_wide",
-    f"""WITH {FULL}, named AS (SELECT a.class_name AS "-", b.class_name AS est_name, n FROM full_cells
-          JOIN classes a ON gt = a.class_id JOIN classes b ON est = b.class_id)
-        PIVOT named ON est_name USING first(n)""",
+    f"""WITH {FULL}, named AS (SELECT a.class_name AS "-", est, n FROM full_cells JOIN classes a ON gt = a.class_id)
+        SELECT "-", {_WIDE} FROM named GROUP BY 1""",
 )
 def _(spark, sf):
     classes = nation_classes(spark, sf)
@@ -557,11 +564,18 @@ def _(spark, sf):
 
 @query(
     "roots_only_predicted",
-    f"""WITH {ROOTS}, two AS (SELECT gt_root, est_root FROM rolled WHERE gt_root IN ('r0', 'r1'))
-        SELECT DISTINCT est_root AS root FROM two WHERE est_root NOT IN (SELECT gt_root FROM two)""",
+    f"""WITH {ROOTS} SELECT DISTINCT est_root AS root FROM rolled WHERE est_root NOT IN (SELECT gt_root FROM rolled)
+        UNION ALL SELECT 'of ' || g.gt_root || ': ' || e.est_root FROM (SELECT DISTINCT gt_root FROM rolled) g
+          JOIN (SELECT DISTINCT gt_root, est_root FROM rolled) e USING (gt_root) WHERE e.est_root <> g.gt_root""",
 )
 def _(spark, sf):
-    return hierarchy.only_predicted(_rolled(spark, sf).where(F.col("gt_root").isin("r0", "r1")))
+    # Over the whole table every root is somewhere true; so each true root is also looked at for itself.
+    rolled = pin(_rolled(spark, sf))
+    out = hierarchy.only_predicted(rolled)
+    for r in sorted(row[0] for row in rolled.select("gt_root").distinct().collect()):
+        alone = hierarchy.only_predicted(rolled.where(F.col("gt_root") == r))
+        out = out.unionByName(alone.select(F.concat(F.lit(f"of {r}: "), "root").alias("root")))
+    return out
 
 
 # --- forms --------------------------------------------------------------------------------------
@@ -893,7 +907,7 @@ def _all_metrics(spark, sf):
         nation_walk(spark, sf),
         PREDICTION_KEY,
     )
-    return plan.evaluate(ctx)[0]
+    return plan.evaluate(ctx).scalars
 
 
 SCALARS = f"""{COVER.replace(PREDS, CELLS)}, {PER_SOURCE.split(PREDS + ', ')[1]}, {OVERALL},
@@ -926,16 +940,6 @@ def _(spark, sf):
     return tidy(_all_metrics(spark, sf))
 
 
-@query(
-    "headline_metrics",
-    f"""WITH {SCALARS}, spec AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{s}', '{n}', '{t}')" for i, (s, n, t) in enumerate(runs.HEADLINE))})
-          AS h(position, section, name, label))
-        SELECT position, section, label, {q('value')} AS value FROM spec JOIN scalars USING (name)""",
-)
-def _(spark, sf):
-    return tidy(runs.headline(_all_metrics(spark, sf)))
-
-
 # --- run logs ---------------------------------------------------------------------------------
 
 # A run is a user, an epoch is the position of the event in time, the loss is the event's value.
@@ -952,9 +956,7 @@ def _log(spark, sf):
     events = table(spark, sf, "events").select(
         text("user_id").alias("run_id"), "ts", "event_id", F.col("value").alias("val_loss")
     )
-    longest = runs.longest_run(events)
-    log = runs.numbered_epochs(events, "run_id", ["ts", "event_id"], longest)
-    return log.select("run_id", "epoch", "val_loss"), longest
+    return runs.numbered_epochs(events, "run_id", ["ts", "event_id"]).select("run_id", "epoch", "val_loss")
 
 
 @query(
@@ -962,7 +964,7 @@ def _log(spark, sf):
     f"WITH {LOG} SELECT run_id, epoch, val_loss, best_loss, best_epoch, since_best FROM best",
 )
 def _(spark, sf):
-    return runs.best_so_far(*_log(spark, sf))
+    return runs.best_so_far(_log(spark, sf))
 
 
 @query(
@@ -973,8 +975,7 @@ def _(spark, sf):
           best_loss AS best_val_loss FROM stops s JOIN best b ON b.run_id = s.run_id AND b.epoch = coalesce(stop, last)""",
 )
 def _(spark, sf):
-    log, longest = _log(spark, sf)
-    return runs.early_stopping(log, 5, longest)
+    return runs.early_stopping(_log(spark, sf), 5)
 
 
 @query(
@@ -1005,10 +1006,10 @@ def _(spark, sf):
 @query(
     "table_fingerprint",
     """WITH h AS (SELECT sha256('{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '","s_nationkey":'
-          || s_nationkey || '}') AS x FROM supplier),
+          || s_nationkey || ',"s_acctbal":' || CAST(s_acctbal AS VARCHAR) || '}') AS x FROM supplier),
        p AS (SELECT count(*) AS n, CAST(sum(CAST('0x' || x[1:12] AS BIGINT)) AS VARCHAR) AS p0,
                CAST(sum(CAST('0x' || x[13:24] AS BIGINT)) AS VARCHAR) AS p1 FROM h)
        SELECT n AS rows, sha256(n || '|' || p0 || '|' || p1)[1:10] AS fingerprint FROM p""",
 )
 def _(spark, sf):
-    return runs.fingerprint(table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey"))
+    return runs.fingerprint(table(spark, sf, "supplier"))

@@ -7,21 +7,31 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+from pyspark.ml.functions import vector_to_array
+
 from quadrat.checks.bindings import (
     NODES,
+    PREDS,
     PROBS,
+    form_names,
+    nation_walk,
     nodes,
     prob_classes,
     probs,
     q,
+    raw_annotations,
+    raw_images,
     table,
     text,
     tidy,
 )
+from quadrat.checks.evaluation import SCALARS
 from quadrat.functions.keys import class_key, provider_feature_path
 from quadrat.operators import calibrate, features, runs, scoring, train
 from quadrat.operators.staging import staging_root
+from quadrat.operators.taxonomy import class_list, class_table
 from quadrat.operators.weights import class_weights
+from quadrat.plans.evaluate import evaluate_head
 from quadrat.sources import exports, sinks, source_files, tables
 
 QUERIES: dict[str, tuple] = {}
@@ -35,6 +45,12 @@ def query(name: str, sql: str | None):
     return add
 
 
+def _checksum(column: str):
+    """Sum of all values of a vector, each times its position."""
+    weighed = F.transform(column, lambda x, i: x.cast("double") * (i + 1))
+    return F.aggregate(weighed, F.lit(0.0), lambda total, x: total + x).alias("checksum")
+
+
 def _path(spark, name: str) -> str:
     return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -65,8 +81,8 @@ hid AS (SELECT vec_id, label, h, greatest(0.0, sum(v * (((h * 5 + j * 3) % 7 - 3
 lg AS (SELECT vec_id, label, k, sum(a * (((k * 3 + h * 2) % 5 - 2) / 2.0)) + (k % 4 - 1) / 10.0 AS z
   FROM hid, range(10) r(k) GROUP BY 1, 2, 3),
 ex AS (SELECT vec_id, label, k, exp(z - max(z) OVER (PARTITION BY vec_id)) AS u FROM lg),
-sm AS (SELECT vec_id, label, k, u / sum(u) OVER (PARTITION BY vec_id) AS p FROM ex),
-cal AS (SELECT vec_id, label, k, 1 / (1 + exp((-2 - k / 10.0) * p + 0.5 + k / 20.0)) AS c FROM sm),
+soft AS (SELECT vec_id, label, k, u / sum(u) OVER (PARTITION BY vec_id) AS p FROM ex),
+cal AS (SELECT vec_id, label, k, 1 / (1 + exp((-2 - k / 10.0) * p + 0.5 + k / 20.0)) AS c FROM soft),
 scored AS (SELECT vec_id, label, CAST(k AS INTEGER) AS k, c / sum(c) OVER (PARTITION BY vec_id) AS p FROM cal)"""
 
 
@@ -202,8 +218,9 @@ def _(spark, sf):
 @query(
     "points_with_features",
     """SELECT 'features' AS bucket, 's' || label || '/features/i' || (vec_id // 10) || '.featurevector' AS feature_vector,
-       vec_id AS "row", label AS col, CAST(len(embedding) AS INTEGER) AS dims, round(CAST(embedding[1] AS DOUBLE), 5) + 0.0 AS first
-       FROM embeddings""",
+       vec_id AS "row", label AS col, CAST(len(embedding) AS INTEGER) AS dims,
+       (SELECT round(sum(CAST(v AS DOUBLE) * j), 5) + 0.0 FROM (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS j) u)
+       AS checksum FROM embeddings""",
 )
 def _(spark, sf):
     base = table(spark, sf, "embeddings").select(
@@ -222,7 +239,7 @@ def _(spark, sf):
             "row",
             "col",
             F.size("features").alias("dims"),
-            F.col("features")[0].cast("double").alias("first"),
+            _checksum("features"),
         ),
         5,
     )
@@ -230,8 +247,9 @@ def _(spark, sf):
 
 @query(
     "features_flattened",
-    """SELECT vec_id // 10 AS image_id, vec_id AS "row", label AS col, round(CAST(embedding[64] AS DOUBLE), 5) + 0.0 AS last
-       FROM embeddings""",
+    """SELECT vec_id // 10 AS image_id, vec_id AS "row", label AS col,
+       (SELECT round(sum(CAST(v AS DOUBLE) * j), 5) + 0.0 FROM (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS j) u)
+       AS checksum FROM embeddings""",
 )
 def _(spark, sf):
     # Ten vectors per record, as an image file holds the points of one image.
@@ -247,35 +265,189 @@ def _(spark, sf):
     flat = tables.flatten_features(records)
     tables.check_one_dimension(flat)
     return tidy(
-        flat.select("image_id", "row", "col", F.element_at("features", -1).cast("double").alias("last")), 5
+        flat.select("image_id", "row", "col", _checksum("features")), 5
     )
 
 
 # --- fitting ------------------------------------------------------------------------------------
 
 
-@query("sigmoid_calibration", None)
+def _newton(steps: int, problems: str) -> str:
+    """``steps`` Newton steps of all problems (k, f, y), one table expression each, ending in ``fitted(k, a, b)``."""
+    text = f"""{problems}, sizes AS (SELECT k, count(*) FILTER (WHERE y) AS pos, count(*) FILTER (WHERE NOT y) AS neg FROM long GROUP BY k),
+s0 AS MATERIALIZED (SELECT k, CAST(0 AS DOUBLE) AS a, ln((neg + 1.0) / (pos + 1.0)) AS b FROM sizes)"""
+    for i in range(steps):
+        text += f""",
+g{i} AS MATERIALIZED (SELECT k, a, b, sum((t - p) * f) AS ga, sum(t - p) AS gb, sum(p * (1 - p) * f * f) + 1e-12 AS haa,
+  sum(p * (1 - p) * f) AS hab, sum(p * (1 - p)) + 1e-12 AS hbb
+  FROM (SELECT k, f, a, b, CASE WHEN y THEN (pos + 1.0) / (pos + 2.0) ELSE 1.0 / (neg + 2.0) END AS t,
+          1 / (1 + exp(a * f + b)) AS p FROM long JOIN s{i} USING (k) JOIN sizes USING (k)) u GROUP BY k, a, b),
+s{i + 1} AS MATERIALIZED (SELECT k, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a,
+  b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM g{i})"""
+    return text + f", fitted AS (SELECT k, a, b FROM s{steps})"
+
+
+LONG = f"{PROBS}, long AS MATERIALIZED (SELECT vec_id, CAST(k AS INTEGER) AS k, p AS f, gt = k AS y FROM probs)"
+# Two classes: even and odd ones; the one problem is that of class 1.
+PAIRS = f"""{PROBS}, two AS (SELECT vec_id, gt % 2 AS gt, sum(p) FILTER (WHERE k % 2 = 1) AS f FROM probs GROUP BY 1, 2),
+long AS MATERIALIZED (SELECT vec_id, CAST(1 AS INTEGER) AS k, f, gt = 1 AS y FROM two)"""
+
+
+def _pairs(spark, sf):
+    def half(odd: int):
+        own = F.filter("proba", lambda _, k: k % 2 == odd)
+        return F.aggregate(own, F.lit(0.0), lambda total, p: total + p)
+
+    return probs(spark, sf).select("vec_id", (F.col("gt_idx") % 2).alias("gt_idx"), F.array(half(0), half(1)).alias("proba"))
+
+
+@query(
+    "sigmoid_calibration",
+    f"WITH {_newton(12, LONG)} SELECT k, {q('a', 5)} AS a, {q('b', 5)} AS b, true AS converged FROM fitted",
+)
+def _(spark, sf):
+    return tidy(calibrate.fit_sigmoids(probs(spark, sf), CLASSES).drop("steps"), 5)
+
+
+@query(
+    "two_class_calibration",
+    f"WITH {_newton(12, PAIRS)} SELECT k, {q('a', 5)} AS a, {q('b', 5)} AS b, true AS converged FROM fitted",
+)
 def _(spark, sf):
-    return calibrate.fit_sigmoids(probs(spark, sf), CLASSES)
+    return tidy(calibrate.fit_sigmoids(_pairs(spark, sf), 2).drop("steps"), 5)
 
 
-@query("calibrated_probabilities", None)
+@query(
+    "calibrated_probabilities",
+    f"""WITH {_newton(12, LONG)}, raw AS (SELECT vec_id, k, 1 / (1 + exp(a * f + b)) AS c FROM long JOIN fitted USING (k))
+        SELECT vec_id, k, {q('c / sum(c) OVER (PARTITION BY vec_id)')} AS p FROM raw""",
+)
 def _(spark, sf):
     rows = probs(spark, sf)
-    return calibrate.apply_sigmoids(rows, calibrate.fit_sigmoids(rows, CLASSES))
+    fixed = calibrate.apply_sigmoids(rows, calibrate.fit_sigmoids(rows, CLASSES))
+    return tidy(fixed.select("vec_id", F.posexplode("proba").alias("k", "p")))
 
 
-@query("weighted_training", None)
+@query(
+    "two_class_probabilities",
+    f"""WITH {_newton(12, PAIRS)} SELECT vec_id, {q('1 - 1 / (1 + exp(a * f + b))')} AS p0, {q('1 / (1 + exp(a * f + b))')} AS p1
+        FROM long JOIN fitted USING (k)""",
+)
 def _(spark, sf):
+    rows = _pairs(spark, sf)
+    fixed = calibrate.apply_sigmoids(rows, calibrate.fit_sigmoids(rows, 2))
+    return tidy(fixed.select("vec_id", F.col("proba")[0].alias("p0"), F.col("proba")[1].alias("p1")))
+
+
+@query(
+    "training_rows",
+    f"""WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
+        SELECT vec_id, CAST(label AS DOUBLE) AS label, {q('1.0 / greatest((1.0 - pow(0.9999, CAST(n AS DOUBLE))) / (1.0 - 0.9999), 1e-12)')} AS weight,
+          CAST(len(embedding) AS INTEGER) AS dims,
+          (SELECT round(sum(CAST(v AS DOUBLE) * j), 6) + 0.0 FROM (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS j) u)
+          AS checksum FROM embeddings JOIN n USING (label)""",
+)
+def _(spark, sf):
+    points, classes, weights = _labelled(spark, sf)
+    rows = train.training_rows(points, classes, weights).withColumn("features", vector_to_array("features"))
+    return tidy(rows.select("vec_id", "label", "weight", F.size("features").alias("dims"), _checksum("features")))
+
+
+def _labelled(spark, sf):
     classes = prob_classes(spark, sf)
     points = table(spark, sf, "embeddings").select(
         "vec_id", F.col("embedding").alias("features"), class_key(F.concat(F.lit("n"), "label"), F.lit("")).alias("gt")
     )
     counts = points.groupBy(F.col("gt").alias("class_id")).agg(F.count(F.lit(1)).alias("n"))
-    model = train.train_head(points, classes, class_weights(counts).select("class_id", "weight"), max_iter=20)
+    return points, classes, class_weights(counts).select("class_id", "weight")
+
+
+@query("weighted_training", None)
+def _(spark, sf):
+    points, classes, weights = _labelled(spark, sf)
+    model = train.train_head(points, classes, weights)
     return scoring.top_label(train.predict(model, points), classes).select("vec_id", "gt", "est", "score")
 
 
+# --- from features to metrics ---------------------------------------------------------------------
+
+# The same head over five nations with two forms each: class k is nation k div 2 with form A or R.
+FORMS = ["A", "R"]
+HEAD_PREDS = f"""{HEAD}, top AS (SELECT vec_id, label, arg_max(k, (p, -k)) AS e, max(p) AS score FROM scored GROUP BY 1, 2),
+coded AS (SELECT *, 'n' || (label // 2) AS gt_attr, CASE label % 2 WHEN 0 THEN 'A' ELSE 'R' END AS gt_form,
+  'n' || (e // 2) AS est_attr, CASE e % 2 WHEN 0 THEN 'A' ELSE 'R' END AS est_form FROM top),
+preds AS (SELECT vec_id AS l_orderkey, 0 AS l_partkey, 0 AS l_suppkey, 0 AS l_linenumber, 0 AS l_quantity,
+  'provider/' || (label % 3) || '/' || (vec_id // 10) AS image_key, 'provider:' || (label % 3) AS source_key,
+  gt_attr, gt_form, est_attr, est_form, gt_attr || '::' || gt_form AS gt, est_attr || '::' || est_form AS est, score FROM coded)"""
+HEAD_SCALARS = (
+    SCALARS.replace(PREDS, HEAD_PREDS)
+    .replace("CROSS JOIN forms)", "CROSS JOIN forms WHERE form_id <> '' AND n_nationkey < 5)")
+    .removesuffix(")")
+    + f"""
+  UNION ALL SELECT 'log_loss', avg(-ln(least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16)))
+    FROM scored WHERE k = label
+  UNION ALL SELECT * FROM ranked_scalars)"""
+).replace("scalars AS (", """ranks AS (SELECT t.vec_id, 1 + count(*) FILTER (WHERE o.p > t.p OR (o.p = t.p AND o.k < t.k)) AS "rank"
+  FROM scored t JOIN scored o USING (vec_id) WHERE t.k = t.label GROUP BY 1),
+five AS (SELECT vec_id, label, k FROM scored QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, k) <= 5),
+alike AS (SELECT vec_id, max(CASE WHEN label // 2 = k // 2 THEN 1.0 WHEN a.n_regionkey = b.n_regionkey THEN 0.5 ELSE 0.0 END) AS s
+  FROM five JOIN nation a ON a.n_nationkey = label // 2 JOIN nation b ON b.n_nationkey = k // 2 GROUP BY 1),
+ranked_scalars AS (
+  SELECT 'top_1_accuracy' AS name, avg(CASE WHEN "rank" <= 1 THEN 1.0 ELSE 0.0 END) AS value FROM ranks
+  UNION ALL SELECT 'top_3_accuracy', avg(CASE WHEN "rank" <= 3 THEN 1.0 ELSE 0.0 END) FROM ranks
+  UNION ALL SELECT 'top_5_accuracy', avg(CASE WHEN "rank" <= 5 THEN 1.0 ELSE 0.0 END) FROM ranks
+  UNION ALL SELECT 'top_10_accuracy', avg(CASE WHEN "rank" <= 10 THEN 1.0 ELSE 0.0 END) FROM ranks
+  UNION ALL SELECT 'mrr', avg(1.0 / CAST("rank" AS DOUBLE)) FROM ranks
+  UNION ALL SELECT 'hierarchical_top_5_mean_similarity', avg(s) FROM alike),
+scalars AS (""", 1)
+
+
+def head_metrics(spark, sf):
+    """Feature vectors joined to validation points, scored, labelled and put through all metric groups."""
+    embeddings = table(spark, sf, "embeddings")
+    form = F.when(F.col("label") % 2 == 0, "A").otherwise("R")
+    base = embeddings.select(
+        F.lit("features").alias("bucket"),
+        provider_feature_path(F.col("label"), F.floor(F.col("vec_id") / 10)).alias("feature_vector"),
+        F.col("vec_id").alias("row"),
+        F.col("label").alias("col"),
+        class_key(F.concat(F.lit("n"), F.floor(F.col("label") / 2)), form).alias("gt"),
+        F.lit("provider").alias("site"),
+        text(F.col("label") % 3).alias("project_id"),
+        text(F.floor(F.col("vec_id") / 10)).alias("image_id"),
+        F.col("embedding").alias("features"),
+    )
+    keys = spark.createDataFrame([(f"n{k // 2}::{FORMS[k % 2]}",) for k in range(CLASSES)], "class_id string")
+    walked = nation_walk(spark, sf)
+    classes = class_table(class_list(keys), walked, form_names(spark))
+    key = ["bucket", "feature_vector", "row", "col"]
+    return evaluate_head(base.drop("features"), base.select(*key, "features"), head(), classes, walked)
+
+
+@query("head_metrics", f"WITH {HEAD_SCALARS} SELECT name, {q('value')} AS value FROM scalars")
+def _(spark, sf):
+    return tidy(head_metrics(spark, sf).scalars)
+
+
+# The names and their order as a report needs them, written out here so that the list itself is compared.
+_HEADLINE = """(0, 'executive', 'accuracy'), (1, 'executive', 'balanced_accuracy'), (2, 'executive', 'f1_macro'),
+  (3, 'executive', 'precision_macro'), (4, 'executive', 'recall_macro'), (5, 'executive', 'mcc'), (6, 'executive', 'ece'),
+  (7, 'executive', 'log_loss'), (8, 'topk', 'top_1_accuracy'), (9, 'topk', 'top_3_accuracy'), (10, 'topk', 'top_5_accuracy'),
+  (11, 'topk', 'top_10_accuracy'), (12, 'topk', 'mrr'), (13, 'topk', 'hierarchical_top_5_mean_similarity'),
+  (14, 'cover', 'cover_mean_abs_bias_pct'), (15, 'cover', 'cover_mean_rmse_pct'), (16, 'cover', 'cover_mean_mae_pct'),
+  (17, 'cover', 'cover_median_r_squared'), (18, 'taxonomic', 'cross_branch_error_rate'),
+  (19, 'taxonomic', 'within_branch_error_rate'), (20, 'taxonomic', 'gf_accuracy_gf_relevant'), (21, 'taxonomic', 'within_ba_gf_accuracy')"""
+
+
+@query(
+    "headline_metrics",
+    f"""WITH {HEAD_SCALARS}, spec AS (SELECT * FROM (VALUES {_HEADLINE}) AS h(position, section, name))
+        SELECT position, section, name, {q('value')} AS value FROM spec JOIN scalars USING (name)""",
+)
+def _(spark, sf):
+    return tidy(runs.headline(head_metrics(spark, sf).scalars).drop("label"))
+
+
 # --- files --------------------------------------------------------------------------------------
 
 
@@ -320,7 +492,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = _path(spark, "export")
     forms = table(spark, sf, "part").select(F.col("p_brand").alias("id"), F.lower("p_brand").alias("name")).distinct()
-    choices = forms.groupBy(F.lit("growthforms").alias("name"), F.length("id").alias("_page")).agg(
+    choices = forms.groupBy(F.lit("growthforms").alias("name"), F.pmod(F.xxhash64("id"), F.lit(16)).alias("_page")).agg(
         F.collect_list(F.struct("id", "name")).alias("data")
     )
     other = choices.select(F.lit("depths").alias("name"), "data")
@@ -342,14 +514,14 @@ def _(spark, sf):
 @query(
     "label_names_in_use",
     """SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name FROM part
-       WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)""",
+       WHERE p_partkey IN (SELECT l_partkey FROM lineitem)""",
 )
 def _(spark, sf):
     path = _path(spark, "csv")
     sinks.write_csv(
         table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_type"), path
     )
-    used = table(spark, sf, "lineitem").where("l_quantity > 49").select(text("l_partkey").alias("label"))
+    used = table(spark, sf, "lineitem").select(text("l_partkey").alias("label"))
     return exports.read_label_names(spark, path, used)
 
 
@@ -394,10 +566,12 @@ def _source_files(spark, sf):
         F.concat(F.lit("p"), "l_orderkey", F.lit(".JPG")).alias("Name"),
     )
     by_id = rows.where("source_id < 12").drop("Name")
+    quoted = by_id.where("source_id < 3").withColumnRenamed("Image ID", "Taken, by").withColumn("Image ID", F.col("Taken, by"))
     by_name = rows.where("source_id >= 12").drop("Image ID")
-    sinks.write_annotations_by_source(by_id.repartition("source_id"), f"{root}/by_id")
-    sinks.write_annotations_by_source(by_name.repartition("source_id"), f"{root}/by_name")
-    # Writing again changes nothing: the target exists.
+    sinks.write_annotations_by_source(by_id.where("source_id >= 3").repartition("source_id"), f"{root}/by_id")
+    sinks.write_annotations_by_source(quoted.repartition("source_id"), f"{root}/quoted")  # a header with a quoted name
+    sinks.write_annotations_by_source(by_name.where("source_id < 18").repartition("source_id"), f"{root}/by_name")
+    # Writing again changes nothing for the sources that are there, and adds those that are not.
     sinks.write_annotations_by_source(by_name, f"{root}/by_name")
     listed = (
         by_name.select("source_id", "Name")
@@ -424,6 +598,50 @@ def _(spark, sf):
     return source_files.mapped_rows(resolved).select("source_id", "image_id", "Row", "Column", "Label ID")
 
 
+@query(
+    "source_annotations_resolved",
+    f"""WITH {ANNOTATED} SELECT source_id, image_id AS "Image ID", "Row", "Column", "Label ID" FROM resolved
+        WHERE image_id IS NOT NULL""",
+)
+def _(spark, sf):
+    resolved, _ = _source_files(spark, sf)
+    root = _path(spark, "resolved")
+    kept = source_files.mapped_rows(resolved).drop("Name", "Taken, by")
+    sinks.write_annotations_by_source(kept, root)
+    rows, _ = source_files.read_source_annotations(spark, f"{root}/source_id=*/*.csv")
+    return rows.select("source_id", "Image ID", "Row", "Column", "Label ID")
+
+
+@query(
+    "image_lists",
+    """SELECT CAST(o_custkey % 7 AS VARCHAR) AS source_id, 'p' || o_custkey || '.JPG' AS name_norm, CAST(max(o_orderkey) AS VARCHAR) AS image_id
+       FROM orders GROUP BY o_custkey""",
+)
+def _(spark, sf):
+    root = _path(spark, "lists")
+    listed = table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 7).alias("source_id"),
+        F.concat(F.lit("p"), "o_custkey", F.lit(".JPG - Confirmed")).alias("Name"),
+        F.concat(F.lit("/image/"), "o_orderkey", F.lit("/view/")).alias("Image Page"),
+        "o_orderkey",
+    )
+    one_file = listed.repartition("source_id").sortWithinPartitions("source_id", "o_orderkey").drop("o_orderkey")
+    one_file.write.partitionBy("source_id").csv(root, header=True)
+    return source_files.read_image_lists(spark, f"{root}/source_id=*/*.csv")
+
+
+@query(
+    "raw_tables_read",
+    """SELECT l_suppkey AS source_id, CAST(l_orderkey AS VARCHAR) AS image_id, l_partkey AS "row", l_linenumber AS col,
+       l_partkey AS label_id FROM lineitem""",
+)
+def _(spark, sf):
+    annotations, images = _path(spark, "raw"), _path(spark, "raw")
+    raw_annotations(spark, sf).write.parquet(annotations)
+    raw_images(spark, sf).write.parquet(images)
+    return tables.read_raw(spark, annotations, images)[0]
+
+
 @query(
     "source_rows_unmapped",
     f"""WITH {ANNOTATED} SELECT source_id, count(*) AS rows, count(*) FILTER (WHERE image_id IS NULL) AS unmapped
@@ -436,24 +654,23 @@ def _(spark, sf):
 
 @query(
     "sources_available",
-    """SELECT s_suppkey AS source_id, 'present' AS state FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 1)
-       UNION ALL SELECT s_suppkey, 'missing' FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 1)""",
+    """SELECT doc_id AS source_id, 'present' AS state FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+       UNION ALL SELECT doc_id, 'missing' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
 )
 def _(spark, sf):
-    wanted = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("source_id"))
-    listing = table(spark, sf, "lineitem").where("l_quantity = 1").select(F.col("l_suppkey").alias("source_id"))
+    wanted = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"))
+    listing = table(spark, sf, "labels").select(F.col("doc_id").alias("source_id"))
     present, missing = source_files.split_available(wanted, listing)
     return present.withColumn("state", F.lit("present")).union(missing.withColumn("state", F.lit("missing")))
 
 
 @query(
     "sources_missing_named",
-    """SELECT c_custkey AS source_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
-       ORDER BY 1 LIMIT 20""",
+    """SELECT doc_id AS source_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY 1 LIMIT 20""",
 )
 def _(spark, sf):
-    wanted = table(spark, sf, "customer").select(F.col("c_custkey").alias("source_id"))
-    listing = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("source_id"))
+    wanted = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"))
+    listing = table(spark, sf, "labels").select(F.col("doc_id").alias("source_id"))
     return source_files.first_missing(source_files.split_available(wanted, listing)[1])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrat.operators.ranking import largest_group, ranked
+from quadrat.operators.ranking import ranked
 from quadrat.operators.staging import pin
 
 N_BINS = 20
@@ -32,19 +32,17 @@ def equal_mass_bins(
 
     ``n_bins`` may use the group size ``_n``. ``sizes(by..., _n)``, if given, says which groups count.
 
-    The rows are ranked over range-partitioned chunks when there are too many for one task, so
-    neither the whole table nor a large category is sorted in one place.
+    The rows are ranked over range-partitioned chunks, so neither the whole table nor a large
+    category is sorted in one place.
     """
     if by:
         if sizes is None:
             sizes = pin(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
-        largest = largest_group(sizes, "_n")
         sized = rows.join(sizes, list(by))
     else:
-        largest = rows.count()
-        sized = rows.withColumn("_n", F.lit(largest))
+        sized = rows.withColumn("_n", F.lit(rows.count()))
     order = ["score", *[c for c in rows.columns if c.startswith("_key")]]
-    numbered = ranked(sized, list(by), order, "_rn", largest=largest)
+    numbered = ranked(sized, list(by), order, "_rn")
     at = F.expr("(_rn * _bins - 1) div _n")
     return (
         numbered.withColumn("_bins", n_bins.cast("long"))

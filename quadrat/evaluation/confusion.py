@@ -71,12 +71,19 @@ def full_confusion(cells: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def wide_confusion(full: DataFrame, classes: DataFrame, value: str = "n") -> DataFrame:
-    """One row per true class, one column per predicted class, ordered by (root, name)."""
+    """One row per true class, one column per predicted class, ordered by (root, name).
+
+    The columns carry the display names, so two classes of one name are refused.
+    """
     order = classes.orderBy("root_name", "class_name").select("class_id", "class_name").collect()
+    names = [r["class_name"] for r in order]
+    twice = sorted({n for n in names if names.count(n) > 1})
+    if twice:
+        raise ValueError(f"Several classes are called {twice[:3]}, so a wide table cannot tell them apart.")
     wide = full.groupBy("gt").pivot("est", [r["class_id"] for r in order]).agg(F.first(value))
-    names = classes.select(F.col("class_id").alias("gt"), "class_name", "root_name")
+    named = classes.select(F.col("class_id").alias("gt"), "class_name", "root_name")
     return (
-        wide.join(names, "gt")
+        wide.join(named, "gt")
         .orderBy("root_name", "class_name")
         .select(
             F.col("class_name").alias("-"),

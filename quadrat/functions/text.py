@@ -12,6 +12,8 @@ STATUS_SUFFIX = r"\s+-\s+(?:Confirmed|Unconfirmed|Unclassified)\s*$"
 IMAGE_PAGE = r"/image/(\d+)/"
 KEPT_FORMS = ("Branching", "Massive")
 
+_DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
 
 def strip_status(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, STATUS_SUFFIX, ""))
@@ -25,7 +27,9 @@ def image_of_page(page: Column) -> Column:
 def normal_id(raw: Column) -> Column:
     """Trim; blank and ``nan`` become NULL; ``123.0`` becomes ``123``; other text stays."""
     text = F.trim(raw)
-    number = text.try_cast("double").try_cast("bigint").cast("string")
+    # Spark's cast to double also takes a trailing d or f, which belongs to an id.
+    decimal = F.when(text.rlike(_DECIMAL), text.try_cast("double").try_cast("bigint"))
+    number = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")).otherwise(decimal).cast("string")
     return F.when((text == "") | (F.lower(text) == "nan"), F.lit(None)).otherwise(
         F.coalesce(number, text)
     )

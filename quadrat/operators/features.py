@@ -1,4 +1,4 @@
-"""Feature availability, grouping of points by image, extraction work lists and feature drift."""
+"""Feature availability, points by image, extraction work lists and feature drift."""
 
 from __future__ import annotations
 
@@ -10,15 +10,11 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import keys
 from quadrat.functions.numbers import cosine, max_abs_difference
-from quadrat.operators.ranking import exact_percentile, largest_group, ranked
-from quadrat.operators.staging import pin
+from quadrat.operators.ranking import exact_percentile
+from quadrat.operators.staging import stage
 
 logger = logging.getLogger(__name__)
 
-# A grouped row holds at most this many points; a larger image continues in further parts.
-POINTS_PER_ROW = 10_000
-
-
 class MissingFeatures(RuntimeError):
     """More feature vectors are missing than allowed."""
 
@@ -55,56 +51,50 @@ def example_paths(missing: DataFrame, path: str = "feature_full", n: int = 3) ->
 def require_features(
     df: DataFrame, listing: DataFrame, percent_allowed: float = 0.0, path: str = "feature_full"
 ) -> DataFrame:
-    """Rows whose feature file exists; too many missing files abort with examples."""
-    counts = missing_counts(df, listing, path).first()
+    """Rows whose feature file exists; beyond ``percent_allowed`` missing files the build stops and names some.
+
+    One join with the listing marks the distinct paths; the marked table is small beside the points and gives the counts,
+    the examples and the rows to keep.
+    """
+    have = listing.select(path).distinct().withColumn("_have", F.lit(True))
+    marked = stage(df.select(path).distinct().join(have, path, "left"), "features")
+    counts = marked.agg(F.count(path).alias("expected"), F.count_if(F.col("_have").isNull()).alias("missing")).first()
     if counts["missing"]:
-        examples = [r[0] for r in example_paths(missing_features(df, listing, path), path).collect()]
-        text = "\n".join(examples)
+        absent = marked.where(F.col("_have").isNull())
+        examples = [r[0] for r in example_paths(absent.select(path), path).collect()]
         if counts["missing"] > counts["expected"] * percent_allowed / 100:
             raise MissingFeatures(
-                f"Too many feature vectors are missing ({counts['missing']}), such as:\n{text}"
+                f"{counts['missing']} of {counts['expected']} feature files do not exist, among them {examples}"
             )
-        logger.warning("Skipping %d missing feature vector(s), such as:\n%s", counts["missing"], text)
-    return present_rows(df, listing, path)
+        logger.warning("Leaving out %d points' feature files that do not exist, among them %s", counts["missing"], examples)
+    return present_rows(df, marked.where("_have"), path)
 
 
-def grouped_points(
-    df: DataFrame,
-    by: Sequence[str],
-    point: Sequence[str | Column],
-    distinct: bool = False,
-    per_row: int = POINTS_PER_ROW,
-) -> DataFrame:
-    """Per group the sorted array ``points`` of its points, in parts of at most ``per_row``.
+def image_points(df: DataFrame) -> DataFrame:
+    """Points by image: one row per point with its image (bucket, feature path), place and class, sorted within an image.
 
-    Groups within ``per_row`` take one aggregation (part 0). Larger groups are counted out first
-    and ranked on their own, so no task holds more than ``per_row`` points of a group at once.
+    The table is range-partitioned by image and place, so an image of any size may span tasks, and files.
     """
-    cols = [F.col(c) if isinstance(c, str) else c for c in point]
-    rows = df.select(*by, F.struct(*cols).alias("_point"))
-    gather = F.collect_set if distinct else F.collect_list
-    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    large = pin(counts.where(F.col("_n") > per_row))
-    points = F.sort_array(gather("_point")).alias("points")
-    if large.isEmpty():
-        return rows.groupBy(*by).agg(points).select(*by, F.lit(0).alias("part"), "points")
-    small = rows.join(large, list(by), "left_anti").groupBy(*by).agg(points)
-    big = rows.join(large, list(by), "left_semi")
-    if distinct:
-        big = big.distinct()
-    numbered = ranked(big, by, ["_point"], "_rn", largest=largest_group(large, "_n"))
-    part = F.floor((F.col("_rn") - 1) / per_row).cast("int")
-    parts = numbered.groupBy(*by, part.alias("part")).agg(points)
-    return small.select(*by, F.lit(0).alias("part"), "points").unionByName(parts)
-
-
-def image_labels(df: DataFrame) -> DataFrame:
-    """Per image (bucket, feature path): its (row, col, class) points."""
-    return grouped_points(
-        df,
-        ["bucket", "feature_vector"],
-        ["row", "col", keys.class_key("attribute_id", "form_id").alias("class_key")],
-    )
+    return df.select(
+        "bucket", "feature_vector", "row", "col", keys.class_key("attribute_id", "form_id").alias("class_key")
+    ).orderBy("bucket", "feature_vector", "row", "col", "class_key")
+
+
+def image_counts(df: DataFrame) -> DataFrame:
+    """Per image (bucket, feature path): how many points it has."""
+    return df.groupBy("bucket", "feature_vector").agg(F.count(F.lit(1)).alias("points"))
+
+
+def _unfinished(rows: DataFrame, existing: DataFrame | None, force: bool) -> DataFrame:
+    todo = rows.select("source_id", "image_id", "row", "col")
+    if existing is None or force:
+        return todo
+    return todo.join(existing, ["source_id", "image_id"], "left_anti")
+
+
+def extraction_points(rows: DataFrame, existing: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """Distinct points of the images still to be extracted, one row per point, sorted by image."""
+    return _unfinished(rows, existing, force).distinct().orderBy("source_id", "image_id", "row", "col")
 
 
 def extraction_work(
@@ -113,21 +103,22 @@ def extraction_work(
     source_prefix: str = "",
     force: bool = False,
 ) -> DataFrame:
-    """Images still to be extracted: sorted distinct points, image path and feature path.
+    """Images still to be extracted, one row each: number of distinct points, image path and feature path.
 
     ``existing(source_id, image_id)`` lists finished images; ``force`` ignores it.
     """
-    todo = rows.select("source_id", "image_id", "row", "col")
-    if existing is not None and not force:
-        todo = todo.join(existing, ["source_id", "image_id"], "left_anti")
-    grouped = grouped_points(todo, ["source_id", "image_id"], ["row", "col"], distinct=True)
+    images = (
+        _unfinished(rows, existing, force)
+        .distinct()
+        .groupBy("source_id", "image_id")
+        .agg(F.count(F.lit(1)).alias("points"))
+    )
     image = F.concat(
         F.lit(f"{source_prefix}s"), F.col("source_id"), F.lit("/images/"), F.col("image_id"), F.lit(".jpg")
     )
-    return grouped.select(
+    return images.select(
         "source_id",
         "image_id",
-        "part",
         "points",
         image.alias("image_path"),
         keys.provider_feature_path(F.col("source_id"), F.col("image_id")).alias("feature_path"),
@@ -157,7 +148,7 @@ def drift_summary(drift: DataFrame, threshold: float = 0.999) -> DataFrame:
         F.min("cosine").alias("min_cosine"),
         F.max("max_abs_diff").alias("max_abs_diff"),
     ).first()
-    median = exact_percentile(drift, "cosine", 0.5, one["n"])
+    median = exact_percentile(drift, "cosine", 0.5)
     ok = one["min_cosine"] is not None and one["min_cosine"] >= threshold
     return drift.sparkSession.createDataFrame(
         [(one["n"], one["min_cosine"], median, one["max_abs_diff"], ok)],

@@ -74,6 +74,10 @@ def retention(before: DataFrame, rolled: DataFrame, filtered: DataFrame) -> Data
             for s in ("before", "rollup", "filter")
         ]
     )
+    return _losses(one)
+
+
+def _losses(one: DataFrame) -> DataFrame:
     for c in ("annotations", "images"):
         base = F.greatest(F.col(f"{c}_before"), F.lit(1))
         one = (
@@ -84,6 +88,34 @@ def retention(before: DataFrame, rolled: DataFrame, filtered: DataFrame) -> Data
     return one
 
 
+def mark_kept(df: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """The rows with ``_kept``: whether ``filter_classes`` would keep them."""
+    if include is not None and exclude is not None:
+        raise ValueError("A list of classes to keep and a list of classes to leave out exclude each other.")
+    spec = include if include is not None else exclude
+    if spec is None:
+        return df.withColumn("_kept", F.lit(True))
+    listed = spec.select(*CLASS).distinct().withColumn("_listed", F.lit(True))
+    found = F.coalesce("_listed", F.lit(False))
+    return df.join(listed, CLASS, "left").select(*df.columns, (found if include is not None else ~found).alias("_kept"))
+
+
+def retention_of_marked(marked: DataFrame) -> DataFrame:
+    """``retention`` of rolled-up rows that carry ``_kept``, in one pass: a rollup keeps every row and image."""
+    images = marked.groupBy("feature_vector").agg(F.count(F.lit(1)).alias("all"), F.count_if("_kept").alias("kept"))
+    one = images.agg(
+        F.coalesce(F.sum("all"), F.lit(0)).alias("annotations_before"),
+        F.coalesce(F.sum("kept"), F.lit(0)).alias("annotations_filter"),
+        F.count("feature_vector").alias("images_before"),
+        F.count_if(F.col("feature_vector").isNotNull() & (F.col("kept") > 0)).alias("images_filter"),
+    )
+    for c in ("annotations", "images"):
+        one = one.withColumn(f"{c}_rollup", F.col(f"{c}_before"))
+    return _losses(
+        one.select(*[f"{c}_{s}" for c in ("annotations", "images") for s in ("before", "rollup", "filter")])
+    )
+
+
 # --- columns by distinct value ----------------------------------------------------------------
 
 
@@ -137,14 +169,26 @@ def replace_column(df: DataFrame, column: str, values: str) -> DataFrame:
 # --- classes ----------------------------------------------------------------------------------
 
 
+def require_one_row(table: DataFrame, key: list[str], what: str) -> None:
+    """Raise if two different rows of a lookup table have the same key; equal rows count as one."""
+    twice = table.distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).limit(3).collect()
+    if twice:
+        raise ValueError(f"The {what} has different rows for {[tuple(r)[:-1] for r in twice]}.")
+
+
 def map_labels(df: DataFrame, mapping: DataFrame) -> DataFrame:
     """Add the class of ``label_id``; an unmapped label gives NULL, a NULL label drops the row."""
+    return look_up_labels(df.where(F.col("label_id").isNotNull()), mapping)
+
+
+def look_up_labels(df: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Add the class of ``label_id``; an unmapped or NULL label gives NULL. Keeps every row, once."""
+    require_one_row(mapping, ["provider_id"], "label mapping")
     lookup = mapping.select(
         F.col("provider_id").alias("label_id"), "attribute_id", F.coalesce("form_id", F.lit(NO_FORM)).alias("form_id")
-    )
-    rows = df.where(F.col("label_id").isNotNull())
+    ).distinct()
     rest = [c for c in df.columns if c != "label_id"]
-    return rows.join(lookup, "label_id", "left").select(*rest, "label_id", *CLASS)
+    return df.join(lookup, "label_id", "left").select(*rest, "label_id", *CLASS)
 
 
 def unmapped_labels(df: DataFrame) -> DataFrame:
@@ -185,7 +229,8 @@ def roll_up(df: DataFrame, spec: DataFrame | None) -> DataFrame:
     """Replace each class by its rollup target, looked up once; classes without a rule stay."""
     if spec is None:
         return df
-    rules = spec.select(
+    require_one_row(spec, ["from_attribute_id", "from_form_id"], "rollup")
+    rules = spec.distinct().select(
         F.col("from_attribute_id").alias("attribute_id"),
         F.col("from_form_id").alias("form_id"),
         F.struct("to_attribute_id", "to_form_id").alias("_to"),
@@ -203,7 +248,7 @@ def filter_classes(
 ) -> DataFrame:
     """Keep the included classes, or all but the excluded ones; no spec keeps all."""
     if include is not None and exclude is not None:
-        raise ValueError("Specify one of included labels or excluded labels, but not both.")
+        raise ValueError("A list of classes to keep and a list of classes to leave out exclude each other.")
     if include is not None:
         return df.join(include, CLASS, "left_semi").select(*df.columns)
     if exclude is not None:

@@ -1,14 +1,10 @@
-"""Exact row numbers within groups that stay distributed when one group is huge.
+"""Exact row numbers within groups, with no task that holds a whole group.
 
-A window function sends each group to one task. That is the best plan while the largest group fits
-a task, and a bottleneck when one class or category holds a third of all rows. ``ranked`` is told
-(or counts) the largest group and picks:
-
-* a plain ``row_number`` window when the group is within ``task_rows``;
-* otherwise a range shuffle on (group, order key), which cuts a large group over many tasks, a
-  position inside each sorted chunk, and an offset per (group, chunk) from the chunk counts.
-
-The order key must be unique inside a group for the result to be deterministic.
+A window function sends each group to one task, and one class or category may hold a third of all rows. ``ranked``
+therefore cuts the rows by range of (group, order key) into chunks of even size, takes a row's position
+within its sorted chunk, and adds the rows of its group in earlier chunks. The same plan serves every size; the number
+of chunks is ``spark.sql.shuffle.partitions``. The order key must be unique inside a group for the result to be
+deterministic.
 """
 
 from __future__ import annotations
@@ -18,29 +14,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrat.operators.staging import pin, stage
+from quadrat.operators.staging import stage
 
-TASK_ROWS = 4_000_000
 _POSITION_BITS = 33
 
 
-def task_rows(df: DataFrame) -> int:
-    """Largest group that one task may rank (setting ``quadrat.taskRows``)."""
-    return int(df.sparkSession.conf.get("quadrat.taskRows", str(TASK_ROWS)))
-
-
-def largest_group(counts: DataFrame, n: str = "n") -> int:
-    return counts.agg(F.max(n)).first()[0] or 0
-
-
-def range_chunks(df: DataFrame, order: Sequence[Column], largest: int = 0) -> DataFrame:
+def range_chunks(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """``df`` range-partitioned and sorted by ``order``, with ``_chunk`` and ``_pos`` columns.
 
-    There are at least as many chunks as the largest group needs to stay within a task. The chunks are written out: range bounds come from sampling, so two evaluations of the same
-    expression could cut at different keys.
+    The chunks are written out: range bounds come from sampling, so two evaluations of the same expression could
+    cut at different keys.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(parts, -(-largest // task_rows(df)))
     cut = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     cut = stage(cut.withColumn("_mid", F.monotonically_increasing_id()), "chunks")
     return (
@@ -64,51 +49,45 @@ def chunk_offsets(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     heads = heads.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    return pin(heads.drop("_rows"))
+    return heads.drop("_rows")
 
 
-def ranked_by_range(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], rn: str = "rn", largest: int = 0
-) -> DataFrame:
-    chunks = range_chunks(df, [F.col(c) for c in by] + list(order), largest)
-    offsets = chunk_offsets(chunks, by)
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], rn: str = "rn") -> DataFrame:
+    """``df`` with ``rn``, the 1-based row number within ``by`` along ``order``."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    chunks = range_chunks(df, [F.col(c) for c in by] + cols)
     keys = [*by, "_chunk"]
-    renamed = offsets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first", "_before")
+    offsets = stage(chunk_offsets(chunks, by), "offsets").select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first", "_before"
+    )
     on = F.lit(True)
     for i, key in enumerate(keys):
         on = on & F.col(key).eqNullSafe(F.col(f"_k{i}"))
     number = F.col("_pos") - F.col("_first") + F.col("_before") + 1
-    return chunks.join(renamed, on).select(*df.columns, number.cast("long").alias(rn))
-
-
-def ranked(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[str | Column],
-    rn: str = "rn",
-    largest: int | None = None,
-) -> DataFrame:
-    """``df`` with ``rn``, the 1-based row number within ``by`` along ``order``."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    if largest is None:
-        largest = largest_group(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
-    if largest > task_rows(df):
-        return ranked_by_range(df, by, cols, rn, largest)
-    window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*cols)
-    return df.withColumn(rn, F.row_number().over(window).cast("long"))
+    return chunks.join(offsets, on).select(*df.columns, number.cast("long").alias(rn))
 
 
-def exact_percentile(df: DataFrame, value: str, p: float, n: int | None = None) -> float | None:
+def exact_percentile(df: DataFrame, value: str, p: float) -> float | None:
     """Percentile with linear interpolation over all rows, without one task holding them all."""
     known = df.where(F.col(value).isNotNull()).select(value)
-    n = known.count() if n is None else n
+    chunks = range_chunks(known, [F.col(value)])
+    sizes = dict(chunks.groupBy("_chunk").count().collect())  # one row for each chunk
+    n = sum(sizes.values())
     if n == 0:
         return None
-    if n <= task_rows(df):
-        return known.agg(F.percentile(value, p)).first()[0]
     at = (n - 1) * p
     low = int(at)
-    spots = ranked_by_range(known, [], [F.col(value)], largest=n).where(F.col("rn").isin(low + 1, low + 2))
-    found = {r["rn"]: r[value] for r in spots.collect()}
-    first = found[low + 1]
-    return first + (found.get(low + 2, first) - first) * (at - low)
+    wanted = {}
+    for spot in (low, min(low + 1, n - 1)):
+        rest = spot
+        for chunk in sorted(sizes):
+            if rest < sizes[chunk]:
+                wanted[spot] = (chunk, rest)
+                break
+            rest -= sizes[chunk]
+    places = F.lit(False)
+    for chunk, position in wanted.values():
+        places = places | ((F.col("_chunk") == chunk) & (F.col("_pos") == position))
+    found = {(r["_chunk"], r["_pos"]): r[value] for r in chunks.where(places).collect()}
+    first, second = (found[wanted[s]] for s in (low, min(low + 1, n - 1)))
+    return first + (second - first) * (at - low)

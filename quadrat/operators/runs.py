@@ -8,72 +8,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.numbers import LIBRARY_EPS, argmax
-from quadrat.operators.ranking import largest_group, range_chunks, ranked, task_rows
+from quadrat.operators.ranking import range_chunks, ranked
 from quadrat.operators.staging import pin
 
-# Headline metrics by group, in report order.
+# Names of the headline metrics by section, in report order. The labels are our own.
 HEADLINE = (
-    ("executive", "accuracy", "Accuracy"),
-    ("executive", "balanced_accuracy", "Balanced Accuracy"),
-    ("executive", "f1_macro", "F1 (Macro)"),
-    ("executive", "precision_macro", "Precision (Macro)"),
-    ("executive", "recall_macro", "Recall (Macro)"),
-    ("executive", "mcc", "MCC"),
-    ("executive", "ece", "ECE"),
-    ("executive", "log_loss", "Log Loss"),
-    ("topk", "top_1_accuracy", "Top-1"),
-    ("topk", "top_3_accuracy", "Top-3"),
-    ("topk", "top_5_accuracy", "Top-5"),
-    ("topk", "top_10_accuracy", "Top-10"),
-    ("topk", "mrr", "MRR"),
-    ("topk", "hierarchical_top_5_mean_similarity", "Hierarchical Top-5 Similarity"),
-    ("cover", "cover_mean_abs_bias_pct", "Mean Abs Bias %"),
-    ("cover", "cover_mean_rmse_pct", "Mean RMSE %"),
-    ("cover", "cover_mean_mae_pct", "Mean MAE %"),
-    ("cover", "cover_median_r_squared", "Median R-squared"),
-    ("taxonomic", "cross_branch_error_rate", "Cross-Branch Error Rate"),
-    ("taxonomic", "within_branch_error_rate", "Within-Branch Error Rate"),
-    ("taxonomic", "gf_accuracy_gf_relevant", "GF Accuracy (GF-relevant)"),
-    ("taxonomic", "within_ba_gf_accuracy", "Within-BA GF Accuracy"),
+    ("executive", "accuracy", "Share of correct points"),
+    ("executive", "balanced_accuracy", "Mean recall over classes"),
+    ("executive", "f1_macro", "Macro F1"),
+    ("executive", "precision_macro", "Macro precision"),
+    ("executive", "recall_macro", "Macro recall"),
+    ("executive", "mcc", "Matthews correlation"),
+    ("executive", "ece", "Calibration error"),
+    ("executive", "log_loss", "Logarithmic loss"),
+    ("topk", "top_1_accuracy", "True class first"),
+    ("topk", "top_3_accuracy", "True class among 3"),
+    ("topk", "top_5_accuracy", "True class among 5"),
+    ("topk", "top_10_accuracy", "True class among 10"),
+    ("topk", "mrr", "Mean reciprocal rank"),
+    ("topk", "hierarchical_top_5_mean_similarity", "Best similarity among 5"),
+    ("cover", "cover_mean_abs_bias_pct", "Cover bias, mean size"),
+    ("cover", "cover_mean_rmse_pct", "Cover error, root mean square"),
+    ("cover", "cover_mean_mae_pct", "Cover error, mean size"),
+    ("cover", "cover_median_r_squared", "Cover fit, median"),
+    ("taxonomic", "cross_branch_error_rate", "Errors across branches"),
+    ("taxonomic", "within_branch_error_rate", "Errors within a branch"),
+    ("taxonomic", "gf_accuracy_gf_relevant", "Form accuracy where forms matter"),
+    ("taxonomic", "within_ba_gf_accuracy", "Form accuracy within an attribute"),
 )
 
 
-def best_so_far(log: DataFrame, largest: int | None = None) -> DataFrame:
+def best_so_far(log: DataFrame) -> DataFrame:
     """Add ``best_loss``, ``best_epoch`` and ``since_best`` to (run_id, epoch, val_loss).
 
     The best is the smallest loss up to the epoch, the earliest epoch among equals (an improvement
-    is strict). A run that is longer than a task is cut into epoch chunks; the best of the earlier
+    is strict). The log is cut into epoch chunks of even size, so no task holds a whole run; the best of a run's earlier
     chunks is carried in as one value per chunk.
     """
     usable = F.col("val_loss").isNotNull() & ~F.isnan("val_loss")
     state = F.when(usable, F.struct(F.col("val_loss").alias("loss"), F.col("epoch").alias("epoch")))
-    if largest is None:
-        largest = longest_run(log)
-    if largest <= task_rows(log):
-        upto = Window.partitionBy("run_id").orderBy("epoch").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        marked = log.withColumn("_best", F.min(state).over(upto))
-    else:
-        chunks = range_chunks(log, [F.col("run_id"), F.col("epoch")], largest)
-        earlier = Window.partitionBy("run_id").orderBy("_chunk").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        carried = pin(
-            chunks.groupBy("run_id", "_chunk")
-            .agg(F.min(state).alias("_chunk_best"))
-            .withColumn("_carried", F.min("_chunk_best").over(earlier))
-            .select("run_id", "_chunk", "_carried.loss", F.col("_carried.epoch").alias("_epoch"))
-        )
-        carried_best = F.when(F.col("loss").isNotNull(), F.struct("loss", F.col("_epoch").alias("epoch")))
-        upto = Window.partitionBy("run_id", "_chunk").orderBy("epoch").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        marked = (
-            chunks.join(carried, ["run_id", "_chunk"])
-            .withColumn("_own", F.min(state).over(upto))
-            .withColumn("_best", F.array_min(F.array_compact(F.array("_own", carried_best))))
-        )
+    chunks = range_chunks(log, [F.col("run_id"), F.col("epoch")])
+    earlier = Window.partitionBy("run_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = pin(
+        chunks.groupBy("run_id", "_chunk")
+        .agg(F.min(state).alias("_chunk_best"))
+        .withColumn("_carried", F.min("_chunk_best").over(earlier))
+        .select("run_id", "_chunk", "_carried.loss", F.col("_carried.epoch").alias("_epoch"))
+    )
+    carried_best = F.when(F.col("loss").isNotNull(), F.struct("loss", F.col("_epoch").alias("epoch")))
+    upto = Window.partitionBy("run_id", "_chunk").orderBy("epoch").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    marked = (
+        chunks.join(carried, ["run_id", "_chunk"])
+        .withColumn("_own", F.min(state).over(upto))
+        .withColumn("_best", F.array_min(F.array_compact(F.array("_own", carried_best))))
+    )
     best_epoch = F.col("_best.epoch")
     return marked.select(
         *log.columns,
@@ -84,13 +74,13 @@ def best_so_far(log: DataFrame, largest: int | None = None) -> DataFrame:
     )
 
 
-def early_stopping(log: DataFrame, patience: int, largest: int | None = None) -> DataFrame:
+def early_stopping(log: DataFrame, patience: int) -> DataFrame:
     """Per run: the epoch count at the stop, whether it stopped early, best epoch and loss then.
 
     Epochs are 0-based and consecutive; ``final_epoch`` and ``best_val_epoch`` are 1-based. The
     stop is the first epoch at which ``patience`` epochs have passed without an improvement.
     """
-    marked = best_so_far(log, largest)
+    marked = best_so_far(log)
     stopped = F.col("since_best") >= patience
     at = F.struct("epoch", "best_epoch", "best_loss")
     ends = marked.groupBy("run_id").agg(
@@ -107,16 +97,9 @@ def early_stopping(log: DataFrame, patience: int, largest: int | None = None) ->
     )
 
 
-def longest_run(log: DataFrame, run: str = "run_id") -> int:
-    return largest_group(log.groupBy(run).agg(F.count(F.lit(1)).alias("n")))
-
-
-def numbered_epochs(
-    log: DataFrame, run: str, order: Sequence[str | Column], largest: int | None = None
-) -> DataFrame:
+def numbered_epochs(log: DataFrame, run: str, order: Sequence[str | Column]) -> DataFrame:
     """Number the entries of each run from 0 in the given order."""
-    numbered = ranked(log, [run], order, "_rn", largest)
-    return numbered.withColumn("epoch", F.col("_rn") - 1).drop("_rn")
+    return ranked(log, [run], order, "_rn").withColumn("epoch", F.col("_rn") - 1).drop("_rn")
 
 
 def epoch_metrics(predictions: DataFrame, by: Sequence[str] = ("run_id", "epoch", "split")) -> DataFrame:
@@ -162,7 +145,7 @@ def headline(scalars: DataFrame) -> DataFrame:
     )
     return (
         spec.join(scalars, "name")
-        .select("position", "section", "label", "value")
+        .select("position", "section", "name", "label", "value")
         .orderBy("position")
     )
 
@@ -174,8 +157,7 @@ def labels_for_review(per_label: DataFrame) -> DataFrame:
 
 def shards(items: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """Deal a work list round robin into ``n`` shards (column ``shard``); empty shards vanish."""
-    if n <= 0:
-        raise ValueError(f"n must be positive, got {n}")
-    total = items.count()
-    numbered = ranked(items, [], order, "_rn", largest=total)
+    if n < 1:
+        raise ValueError(f"A work list cannot be dealt into {n} shards.")
+    numbered = ranked(items, [], order, "_rn")
     return numbered.withColumn("shard", ((F.col("_rn") - 1) % n).cast("int")).drop("_rn")

@@ -1,10 +1,9 @@
-"""Materialisation helpers: written tables in the shared folder, and size-checked small tables.
+"""Materialisation helpers: tables written once in the shared folder.
 
 Catalyst chooses a broadcast join only when it knows that a side is small. A side that was
 aggregated out of a large table carries the large table's size estimate, so the join would shuffle
-the large side. ``pin`` settles the size: a result of at most ``PIN_ROWS`` rows becomes a local
-relation, anything larger becomes a written table, and in both cases Catalyst sees the true size
-and decides by ``spark.sql.autoBroadcastJoinThreshold``. No operator forces a broadcast.
+the large side. A written table has the size of its files, and Catalyst decides by
+``spark.sql.autoBroadcastJoinThreshold``. No operator forces a broadcast, and no table passes through the driver.
 """
 
 from __future__ import annotations
@@ -14,8 +13,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-PIN_ROWS = 100_000
-
 _local_roots: dict[str, str] = {}
 
 
@@ -42,18 +39,5 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Evaluate a table that is expected to be small, keeping all of its rows either way."""
-    return pin_counted(df)[0]
-
-
-def pin_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``pin`` with the number of rows.
-
-    Columns should not be structs that may be NULL. The setting ``quadrat.pinRows`` moves the limit for what may pass through the driver.
-    """
-    max_rows = int(df.sparkSession.conf.get("quadrat.pinRows", str(PIN_ROWS)))
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        written = stage(df, "pinned")
-        return written, written.count()
-    return df.sparkSession.createDataFrame(head, schema=df.schema), head.num_rows
+    """Evaluate a table that is read several times or joined as a side of unknown size."""
+    return stage(df, "pinned")

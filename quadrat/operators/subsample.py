@@ -20,7 +20,7 @@ def cap_classes(
 
     ``targets`` is a pinned class table with the class size ``n``. Only classes with
     ``target_n < n`` are ranked and shuffled; classes that are kept whole stay where they are read.
-    The rank itself stays distributed when a cut class is larger than a task.
+    The rank itself is distributed: no task holds a whole class.
     """
     cut = (F.col("target_n") < F.col("n")) & (F.col("target_n") > 0)
     whole = F.col("target_n") >= F.col("n")
@@ -28,7 +28,7 @@ def cap_classes(
     named = df.join(targets.select(*CLASS, "n", "target_n"), CLASS)
     if not sizes[0]:
         return named.where(whole).select(*df.columns)
-    first = ranked(named.where(cut), CLASS, order, "_rn", largest=sizes[0])
+    first = ranked(named.where(cut), CLASS, order, "_rn")
     first = first.where(F.col("_rn") <= F.col("target_n")).select(*df.columns)
     if not sizes[1]:
         return first

@@ -12,15 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.functions.keys import NO_FORM, class_parts, display_name
-from quadrat.operators.staging import pin, pin_counted
+from quadrat.operators.staging import pin
 
 
 def paths(nodes: DataFrame) -> DataFrame:
     """(id, name, parent, path, root): ``path`` runs from the root to the node itself."""
-    nodes, expected = pin_counted(nodes.select("id", "name", "parent"))
-    level, found = pin_counted(
-        nodes.where(F.col("parent").isNull()).select("*", F.array("id").alias("path"))
-    )
+    nodes = pin(nodes.select("id", "name", "parent"))
+    expected = nodes.count()
+    level = pin(nodes.where(F.col("parent").isNull()).select("*", F.array("id").alias("path")))
+    found = level.count()
     if expected and not found:
         raise ValueError("The taxonomy has no root.")
     levels, total = [level], found
@@ -29,7 +29,8 @@ def paths(nodes: DataFrame) -> DataFrame:
         below = nodes.join(above, "parent").select(
             "id", "name", "parent", F.concat("_above", F.array("id")).alias("path")
         )
-        level, found = pin_counted(below)
+        level = pin(below)
+        found = level.count()
         levels.append(level)
         total += found
     walked = reduce(DataFrame.unionByName, levels).withColumn("root", F.col("path")[0])

@@ -7,11 +7,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrat.evaluation.probability import check_weights, encode_labels
+from quadrat.evaluation.probability import check_weights, encode_labels, require_known_labels
 
 
 def training_rows(points: DataFrame, classes: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """(features vector, label index, weight) from labelled points with ``features`` and ``gt``."""
+    """(features vector, label index, weight) from labelled points with ``features`` and ``gt``.
+
+    A label that is NULL or not in the class list stops the training, as does a class without a weight.
+    """
+    require_known_labels(points, classes)
     rows = encode_labels(points, classes).withColumn("label", F.col("gt_idx").cast("double"))
     if weights is None:
         rows = rows.withColumn("weight", F.lit(1.0))

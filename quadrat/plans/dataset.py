@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quadrat.functions.keys import class_key
 from quadrat.operators import features, prepare, split
 from quadrat.operators.allocate import SubsampleOptions
-from quadrat.operators.staging import stage
+from quadrat.operators.staging import pin, stage
 from quadrat.operators.subsample import audit, subsample
-from quadrat.operators.weights import WeightOptions
+from quadrat.operators.weights import WeightOptions, audit_table, class_weights, weight_summary, weights_table
 from quadrat.sources import sinks, specs, tables
 
 
@@ -43,9 +46,9 @@ class DatasetOptions:
 
     def __post_init__(self) -> None:
         if self.included_csv and self.excluded_csv:
-            raise ValueError("Specify one of included labels or excluded labels, but not both.")
+            raise ValueError("included_csv and excluded_csv exclude each other.")
         if not self.manifest_path and not self.native_path:
-            raise ValueError("No annotations from either site, even before label filtering.")
+            raise ValueError("A dataset needs manifest_path or native_path.")
 
     @classmethod
     def from_dict(cls, values: Mapping[str, object]) -> "DatasetOptions":
@@ -53,7 +56,7 @@ class DatasetOptions:
         known = set(cls.__dataclass_fields__)
         unknown = sorted(set(values) - known)
         if unknown:
-            raise ValueError(f"Unknown option(s): {unknown}")
+            raise ValueError(f"A dataset has no options called {unknown}.")
         made = dict(values)
         for key, kind in (("subsample", SubsampleOptions), ("weighting", WeightOptions)):
             if isinstance(made.get(key), Mapping):
@@ -80,21 +83,21 @@ def build_dataset(
     """Run all stages in their fixed order.
 
     ``mapping`` is needed with a manifest, ``listing(feature_full)`` names the feature files that
-    exist (None skips the check). The table is written out after filtering and after the feature
-    check, because the following stages read it several times.
+    exist (None skips the check). Each site's input is read once; what several later stages read is written out: the points
+    of both sites, the filtered rows, the rows kept by the subsample, and the final table.
     """
     out: dict[str, DataFrame] = {}
-    points = None
+    parts, stats = [], []
     if options.manifest_path:
         raw = tables.read_manifest(
             spark, options.manifest_path, options.provider_site, options.provider_bucket, options.columns
         )
-        out["included_sources"] = prepare.source_id_list(raw)
-        out["project_stats_raw"] = prepare.project_stats(raw)
-        mapped = prepare.map_labels(raw, mapping)
+        coded = stage(prepare.look_up_labels(raw, mapping), "points")
+        stats.append(pin(prepare.project_stats(coded)))
+        out["included_sources"] = prepare.source_id_list(stats[0])
         out["label_mapping"] = mapping
-        out["unmapped_labels"] = prepare.unmapped_labels(mapped)
-        points = prepare.drop_unmapped(mapped)
+        out["unmapped_labels"] = prepare.unmapped_labels(coded.where(F.col("label_id").isNotNull()))
+        parts.append(prepare.drop_unmapped(coded))
     if options.native_path:
         native = tables.read_native(
             spark,
@@ -104,11 +107,13 @@ def build_dataset(
             options.native_prefix,
             options.columns,
         )
-        stats = prepare.project_stats(native)
-        out["project_stats_raw"] = (
-            stats.unionByName(out["project_stats_raw"]) if "project_stats_raw" in out else stats
-        )
-        points = prepare.normal_forms(prepare.append_native(points, native))
+        native = stage(native, "points")
+        stats.insert(0, pin(prepare.project_stats(native)))
+        parts.append(native)
+    points = prepare.append_native(*parts) if len(parts) == 2 else parts[0]
+    if options.native_path:
+        points = prepare.normal_forms(points)
+    out["project_stats_raw"] = reduce(DataFrame.unionByName, stats)
     if options.drop_forms:
         points = prepare.clear_forms(points)
     rollup = specs.load_rollup(spark, options.rollup_csv) if options.rollup_csv else None
@@ -117,25 +122,31 @@ def build_dataset(
     for name, spec in (("rollup_spec", rollup), ("labels_included", include), ("labels_excluded", exclude)):
         if spec is not None:
             out[name] = spec
-    rolled = prepare.roll_up(points, rollup)
-    filtered = stage(prepare.filter_classes(rolled, include, exclude), "annotations")
-    out["retention"] = prepare.retention(points, rolled, filtered)
-    kept = filtered
-    targets = None
+    marked = stage(prepare.mark_kept(prepare.roll_up(points, rollup), include, exclude), "rolled")
+    out["retention"] = prepare.retention_of_marked(marked)
+    kept = marked.where("_kept").drop("_kept")
     if options.subsample is not None:
-        kept, targets = subsample(filtered, options.subsample)
+        kept, targets = subsample(kept, options.subsample)
         kept = stage(kept, "annotations")
-        out["subsample_audit"] = audit(targets, kept)
+        out["subsample_audit"] = audit_table(audit(targets, kept), names, form_names)
     if listing is not None:
         kept = features.require_features(
             features.with_full_path(kept), listing, options.percent_missing_allowed
         ).drop("feature_full")
+        kept = stage(kept, "annotations")
     final = stage(split.stratified_split(kept, options.ref_val_ratios), "annotations")
     out["project_stats_train_data"] = prepare.project_stats(final, with_splits=True)
     out["attribute_counts"] = split.attribute_counts(final, names)
     out["class_counts"] = split.class_split_counts(final, names, form_names)
     out["train_summary"] = split.train_summary(final)
     out["annotations_val"] = split.validation_rows(final)
+    if options.weighting is not None:
+        trained = prepare.class_counts(final.where(F.col("training_set") == "train"))
+        keyed = pin(class_weights(trained, options.weighting)).select(
+            class_key("attribute_id", "form_id").alias("class_key"), "n", "weight"
+        )
+        out["class_weights"] = weights_table(keyed, names, form_names)
+        out["class_weight_summary"] = weight_summary(keyed)
     if options.annotations_to_log:
         spec = options.annotations_to_log.lower()
         out[f"annotations_{spec}"] = split.select_annotations(final, spec, options.provider_site)

@@ -20,8 +20,12 @@ from quadrat.evaluation import (
     probability,
     ranking,
 )
+from quadrat.evaluation.probability import encode_labels, require_known_labels
+from quadrat.functions.keys import source_key
 from quadrat.functions.numbers import half_even
-from quadrat.operators.staging import pin
+from quadrat.operators import scoring
+from quadrat.operators.features import join_features
+from quadrat.operators.staging import pin, stage
 
 logger = logging.getLogger(__name__)
 
@@ -45,6 +49,14 @@ class Evaluation:
     has_sources: bool = True
     cells: DataFrame | None = None
 
+    _overall: DataFrame | None = None
+
+    def overall(self) -> DataFrame:
+        """The one row of overall scores, which two groups use."""
+        if self._overall is None:
+            self._overall = pin(classification.overall(self.cells))
+        return self._overall
+
     def validate(self) -> None:
         if self.cells is None:
             self.cells = pin(confusion.confusion(self.predictions))
@@ -83,14 +95,12 @@ def _precision_recall(ctx: Evaluation) -> GroupResult:
     labels = classification.per_label(ctx.cells, ctx.classes)
     for c in ("precision", "recall", "f1_score"):
         labels = labels.withColumn(c, half_even(F.col(c)))
-    macro = _rounded(
-        classification.overall(ctx.cells), ["precision_macro", "recall_macro", "f1_macro"]
-    )
+    macro = _rounded(ctx.overall(), ["precision_macro", "recall_macro", "f1_macro"])
     return GroupResult([macro], {"metrics_per_label": labels})
 
 
 def _balanced(ctx: Evaluation) -> GroupResult:
-    one = classification.overall(ctx.cells)
+    one = ctx.overall()
     return GroupResult([_rounded(one, ["balanced_accuracy", "mcc"]), one.select("accuracy")])
 
 
@@ -194,28 +204,75 @@ def long_scalars(one_row: DataFrame) -> DataFrame:
     return one_row.select(F.inline(pairs)).where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def evaluate(
-    ctx: Evaluation, groups: Sequence[MetricGroup] = GROUPS
-) -> tuple[DataFrame | None, dict[str, DataFrame]]:
-    """(scalars, tables) of all groups whose inputs exist; invalid input yields nothing."""
+@dataclass
+class Metrics:
+    """Scalars (name, value), the named tables, and why each failed group failed. No scalars: invalid input."""
+
+    scalars: DataFrame | None = None
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+    failed: dict[str, str] = field(default_factory=dict)
+
+
+def evaluate(ctx: Evaluation, groups: Sequence[MetricGroup] = GROUPS) -> Metrics:
+    """All groups whose inputs exist.
+
+    A group's scalars and tables (of class, category or source size) are written within its guard, so a failure belongs to its group and
+    leaves nothing behind that fails later.
+    """
+    out = Metrics()
     try:
         ctx.validate()
-    except InvalidEvaluation:
+    except InvalidEvaluation as error:
         logger.warning("Metrics skipped: invalid evaluation", exc_info=True)
-        return None, {}
-    scalars, found = None, {}
+        out.failed["evaluation"] = str(error)
+        return out
     for group in applicable(ctx, groups):
         try:
             result = group.run(ctx)
             rows = None
             for one in result.scalars:
                 rows = long_scalars(one) if rows is None else rows.unionByName(long_scalars(one))
-            # The scalars are evaluated here, so that a failure belongs to its group.
             rows = pin(rows) if rows is not None else None
-        except Exception:
+            tables = {name: _written(table) for name, table in result.tables.items()}
+        except Exception as error:
             logger.warning("Metric group '%s' failed", group.name, exc_info=True)
+            out.failed[group.name] = str(error)
             continue
         if rows is not None:
-            scalars = rows if scalars is None else scalars.unionByName(rows)
-        found.update(result.tables)
-    return scalars, found
+            out.scalars = rows if out.scalars is None else out.scalars.unionByName(rows)
+        out.tables.update(tables)
+    return out
+
+
+def _written(table: DataFrame) -> DataFrame:
+    """A report table in its order, written as one sorted file."""
+    return pin(table.coalesce(1))
+
+
+def evaluate_head(
+    points: DataFrame,
+    features: DataFrame,
+    head: scoring.Head,
+    classes: DataFrame,
+    walked: DataFrame,
+    groups: Sequence[MetricGroup] = GROUPS,
+) -> Metrics:
+    """From validation points and feature vectors to all metric groups.
+
+    ``points`` has the feature key (bucket, feature_vector, row, col), ``gt`` and the image's site, project_id and image_id;
+    ``features`` the key and ``features``. The scored rows are written once, as every group reads them.
+    """
+    key = ["bucket", "feature_vector", "row", "col"]
+    joined = join_features(points, features)
+    scoring.warn_on_drift(scored := stage(scoring.score(joined, head), "scored"))
+    require_known_labels(scored, classes)
+    predictions = scoring.top_label(scored, classes).select(
+        *key,
+        F.concat_ws("/", "site", "project_id", "image_id").alias("image_key"),
+        source_key("site", "project_id").alias("source_key"),
+        "gt",
+        "est",
+        "score",
+    )
+    probs = encode_labels(scored, classes).select(*key, "gt_idx", "proba")
+    return evaluate(Evaluation(predictions, classes, walked, key, probs), groups)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.sources.specs import read_text_csv
+from quadrat.sources.specs import file_order, read_text_csv
 
 NODE = "struct<id:string,name:string,parent:string>"
 MAPPING = (
@@ -36,9 +36,13 @@ def read_forms(
 
 
 def read_label_mapping(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Provider label to class; a missing form reads as ``''``. One row per label, the last winning."""
+    """Provider label to class; a missing form reads as ``''``. One row per label.
+
+    Of several entries the last wins, in the order of the pages' file names and of the entries within a page.
+    """
     df = spark.read.schema(f"results array<{MAPPING}>").json(path, multiLine=multi_line)
-    rows = df.select(F.explode("results").alias("r"), F.monotonically_increasing_id().alias("_line"))
+    pages = df.select(file_order().alias("_page"), F.posexplode("results").alias("_at", "r"))
+    rows = pages.select("r", F.struct("_page", "_at").alias("_line"))
     rows = rows.groupBy("r.provider_id").agg(F.max_by("r", "_line").alias("r"))
     return rows.select(
         F.col("r.provider_label").alias("provider_label"),

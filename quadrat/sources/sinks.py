@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.operators.staging import stage
+
 # Header names of the written specification files.
 ROLLUP_HEADER = ("from_ba_id", "from_gf_id", "to_ba_id", "to_gf_id")
 INCLUDED_HEADER = ("ba_id", "gf_id")
@@ -78,9 +81,25 @@ def _name(stem: str, i: int) -> str:
     return stem if i == 1 else f"{stem}{i}"
 
 
-def write_annotations_by_source(df: DataFrame, path: str, source: str = "source_id") -> None:
-    """Annotations in one folder per source; an existing target is left as it is."""
-    df.write.mode("ignore").partitionBy(source).csv(path, header=True, emptyValue="")
+def write_annotations_by_source(df: DataFrame, path: str, source: str = "source_id", image: str = "Image ID") -> None:
+    """Annotations in one folder per source, appended for the sources that have none there yet.
+
+    Rows that carry a resolved ``image_id`` are written with it as the column ``image``, in place of their own. A source that is
+    there is left as it is, whatever its rows.
+    """
+    if "image_id" in df.columns:
+        df = df.drop(image).withColumnRenamed("image_id", image)
+    spark = df.sparkSession
+    rows = stage(df, "annotations")
+    try:
+        present = spark.read.text(path).select(F.regexp_extract("_metadata.file_path", rf"/{source}=([^/]*)/", 1).alias("_there"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        # The folders of a source list hold one file or a few each; their names are all that is kept.
+        rows = rows.join(present.distinct(), F.col(source).cast("string") == F.col("_there"), "left_anti")
+    rows.write.mode("append").partitionBy(source).csv(path, header=True, emptyValue="")
 
 
 def append_work_log(log: DataFrame, path: str) -> None:

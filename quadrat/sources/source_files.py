@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.functions.text import image_of_page, strip_status
-from quadrat.sources.specs import last_per_key
+from quadrat.operators.staging import stage
+from quadrat.sources.specs import file_order, last_per_key
 
 # Headers of the per-source files.
 BASIC_COLUMNS = ("Row", "Column", "Label ID")
@@ -28,7 +29,7 @@ def source_of_file() -> Column:
 
 
 def read_headers(spark: SparkSession, glob: str) -> DataFrame:
-    """(file, source_id, columns) of every CSV file that matches."""
+    """(file, source_id, columns) of every CSV file that matches; quoted names are read as CSV has them."""
     lines = spark.read.text(glob).select(
         F.col("_metadata.file_path").alias("file"),
         source_of_file().alias("source_id"),
@@ -36,10 +37,15 @@ def read_headers(spark: SparkSession, glob: str) -> DataFrame:
         F.monotonically_increasing_id().alias(_LINE),
         "value",
     )
-    first = lines.where(F.col("block") == 0).groupBy("file", "source_id").agg(
-        F.min_by("value", _LINE).alias("header")
+    # Splits are cut at line ends: one line of each file stays in the task that reads the file's start.
+    first = stage(
+        lines.where(F.col("block") == 0).groupBy("file", "source_id").agg(F.min_by("value", _LINE).alias("header")),
+        "headers",
     )
-    return first.select("file", "source_id", F.split("header", ",").alias("columns"))
+    widest = first.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
+    cells = F.from_csv("header", F.lit(", ".join(f"c{i} string" for i in range(widest))))
+    named = F.array_compact(F.array(*[F.col(f"cells.c{i}") for i in range(widest)]))
+    return first.withColumn("cells", cells).select("file", "source_id", named.alias("columns"))
 
 
 def with_usability(headers: DataFrame) -> DataFrame:
@@ -78,30 +84,39 @@ def read_image_lists(spark: SparkSession, glob: str) -> DataFrame:
     df = spark.read.csv(glob, header=True)
     missing = [c for c in (NAME, PAGE) if c not in df.columns]
     if missing:
-        raise ValueError(f"{glob}: image_list.csv lacks the columns {missing}")
-    return name_map(df.withColumn("source_id", source_of_file()))
+        raise ValueError(f"{glob}: an image list needs the columns {missing}")
+    return name_map(df.withColumn("source_id", source_of_file()), file_order())
 
 
-def name_map(images: DataFrame) -> DataFrame:
+def name_map(images: DataFrame, order: Column | None = None) -> DataFrame:
+    """(source_id, name_norm, image_id); ``order`` says which row of a name is the last (rows as they come by default)."""
     listed = images.where(F.col(NAME).isNotNull()).select(
         "source_id",
         strip_status(F.col(NAME)).alias("name_norm"),
         image_of_page(F.col(f"`{PAGE}`")).alias("image_id"),
-        F.monotonically_increasing_id().alias(_LINE),
+        (F.monotonically_increasing_id() if order is None else order).alias(_LINE),
     )
     listed = listed.where(F.col("image_id").isNotNull())
     return last_per_key(listed, ("source_id", "name_norm"), _LINE)
 
 
 def resolve_images(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """Add ``image_id``: the row's own image id column, otherwise looked up by normalised name."""
+    """Add ``image_id``: the row's own image id column, otherwise looked up by normalised name.
+
+    Only rows that need the lookup, and have a name, are joined; the others stay where they are read.
+    """
     own = F.col(f"`{IMAGE_ID}`") if IMAGE_ID in rows.columns else F.lit(None).cast("string")
-    named = rows.withColumn("_own", own).withColumn("name_norm", strip_status(F.col(NAME)))
-    mapped = named.join(
-        names.withColumnRenamed("image_id", "_mapped"), ["source_id", "name_norm"], "left"
+    marked = rows.withColumn("image_id", own).withColumn("_name", strip_status(F.col(NAME)))
+    lookup = F.col("image_id").isNull() & F.col("_name").isNotNull()
+    named = names.select(
+        F.col("source_id").alias("_source"), F.col("name_norm").alias("_norm"), F.col("image_id").alias("_mapped")
+    )
+    looked_up = marked.where(lookup).join(
+        named, (F.col("source_id") == F.col("_source")) & (F.col("_name") == F.col("_norm")), "left"
     )
-    return mapped.withColumn("image_id", F.coalesce("_own", "_mapped")).drop(
-        "_own", "_mapped", "name_norm"
+    columns = [f"`{c}`" for c in rows.columns]
+    return marked.where(~lookup).select(*columns, "image_id").unionByName(
+        looked_up.select(*columns, F.col("_mapped").alias("image_id"))
     )
 
 

@@ -11,14 +11,6 @@ def spark():
     session.stop()
 
 
-@pytest.fixture
-def small_tasks(spark):
-    """Make every group count as too large for one task."""
-    spark.conf.set("quadrat.taskRows", "3")
-    yield
-    spark.conf.unset("quadrat.taskRows")
-
-
 def rows(df, *columns):
     picked = df.select(*columns) if columns else df
     return sorted(tuple(r) for r in picked.collect())

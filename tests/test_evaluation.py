@@ -177,28 +177,23 @@ def brute_ece(bins, n):
     return sum(abs(np.mean([h for *_, h in b]) - np.mean([s for s, *_ in b])) * len(b) for b in bins) / n
 
 
-@pytest.mark.parametrize("task_rows", ["1000000", "10"])
-def test_calibration(spark, data, preds, classes, task_rows):
-    spark.conf.set("quadrat.taskRows", task_rows)
-    try:
-        for n in (25, 7, 211):
-            some = preds.where(F.col("i") < n)
-            want = brute_bins([(d[5], d[0], d[3] == d[4]) for d in data[:n]], 20)
-            bins = calibration.equal_mass_bins(calibration.scored_rows(some, ["i"]), F.lit(20))
-            table = calibration.bin_table(bins).collect()
-            assert [r["count"] for r in table] == [len(b) for b in want]
-            assert [r["bin"] for r in table] == list(range(1, len(want) + 1))
-            assert [r["avg_accuracy"] for r in table] == pytest.approx([np.mean([h for *_, h in b]) for b in want])
-            assert calibration.ece(bins).first()[0] == pytest.approx(brute_ece(want, n))
-        got = calibration.category_ece(calibration.scored_rows(preds, ["i"], ["gt"]), classes).collect()
-        for r in got:
-            part = [(d[5], d[0], d[3] == d[4]) for d in data if d[3].startswith(r["category"][0])]
-            n_bins = min(20, max(2, len(part) // 10))
-            assert r["n_samples"] == len(part)
-            assert r["ece"] == pytest.approx(brute_ece(brute_bins(part, n_bins), len(part)))
-        assert [r["ece"] for r in got] == sorted([r["ece"] for r in got], reverse=True)
-    finally:
-        spark.conf.unset("quadrat.taskRows")
+def test_calibration(spark, data, preds, classes):
+    for n in (25, 7, 211):
+        some = preds.where(F.col("i") < n)
+        want = brute_bins([(d[5], d[0], d[3] == d[4]) for d in data[:n]], 20)
+        bins = calibration.equal_mass_bins(calibration.scored_rows(some, ["i"]), F.lit(20))
+        table = calibration.bin_table(bins).collect()
+        assert [r["count"] for r in table] == [len(b) for b in want]
+        assert [r["bin"] for r in table] == list(range(1, len(want) + 1))
+        assert [r["avg_accuracy"] for r in table] == pytest.approx([np.mean([h for *_, h in b]) for b in want])
+        assert calibration.ece(bins).first()[0] == pytest.approx(brute_ece(want, n))
+    got = calibration.category_ece(calibration.scored_rows(preds, ["i"], ["gt"]), classes).collect()
+    for r in got:
+        part = [(d[5], d[0], d[3] == d[4]) for d in data if d[3].startswith(r["category"][0])]
+        n_bins = min(20, max(2, len(part) // 10))
+        assert r["n_samples"] == len(part)
+        assert r["ece"] == pytest.approx(brute_ece(brute_bins(part, n_bins), len(part)))
+    assert [r["ece"] for r in got] == sorted([r["ece"] for r in got], reverse=True)
 
 
 def test_cover(data, preds):
@@ -319,13 +314,21 @@ def test_metric_groups(spark, preds, classes, walked, probs):
         raise RuntimeError("broken group")
 
     picked = (plan.MetricGroup("broken", broken), *[g for g in plan.GROUPS if g.name in ("balanced_accuracy_mcc", "ranking")])
-    scalars, tables = plan.evaluate(context(), picked)
-    names = {r["name"] for r in scalars.collect()}
+    def late(_):
+        """A table that fails only where it is computed."""
+        bad = spark.range(3).select(F.assert_true(F.col("id") < 1).alias("x"))
+        return plan.GroupResult(tables={"late": bad})
+
+    picked += (plan.MetricGroup("late", late),)
+    got = plan.evaluate(context(), picked)
+    names = {r["name"] for r in got.scalars.collect()}
     assert {"mcc", "accuracy", "top_1_accuracy", "hierarchical_top_5_mean_similarity"} <= names
-    assert set(tables) == {"ranking/per_category_topk", "ranking/hierarchical_topk"}
-    assert plan.evaluate(context(predictions=preds.limit(0))) == (None, {})
+    assert set(got.tables) == {"ranking/per_category_topk", "ranking/hierarchical_topk"}
+    assert set(got.failed) == {"broken", "late"} and got.failed["broken"] == "broken group"
+    none = plan.evaluate(context(predictions=preds.limit(0)))
+    assert (none.scalars, none.tables, set(none.failed)) == (None, {}, {"evaluation"})
     strange = spark.createDataFrame([(0, "m", "s", "A1::", "none::", 0.5)], PRED_SCHEMA)
-    assert plan.evaluate(context(predictions=strange)) == (None, {})
+    assert plan.evaluate(context(predictions=strange)).scalars is None
 
 
 def test_nan_scalars_left_out(spark):

@@ -24,7 +24,7 @@ def test_gate(spark, five, percent, passes):
     if passes:
         assert features.require_features(five, listing(spark, 3), percent).count() == 6
     else:
-        with pytest.raises(features.MissingFeatures, match=r"\(2\), such as:\nb/f3\nb/f4"):
+        with pytest.raises(features.MissingFeatures, match=r"2 of 5 .*b/f3.*b/f4"):
             features.require_features(five, listing(spark, 3), percent)
 
 
@@ -34,17 +34,15 @@ def test_no_tolerance_and_nothing_missing(spark, five):
     assert features.require_features(five, listing(spark, 5)).count() == 10
 
 
-def test_grouped_points_in_parts(spark):
-    df = spark.createDataFrame([("x", i, i % 3) for i in range(25)] + [("y", 1, 1), ("y", 1, 1)], "g string, row int, col int")
-    whole = features.grouped_points(df, ["g"], ["row", "col"])
-    assert {r["g"]: len(r["points"]) for r in whole.collect()} == {"x": 25, "y": 2}
-    parts = features.grouped_points(df, ["g"], ["row", "col"], per_row=10)
-    sizes = sorted((r["g"], r["part"], len(r["points"])) for r in parts.collect())
-    assert sizes == [("x", 0, 10), ("x", 1, 10), ("x", 2, 5), ("y", 0, 2)]
-    for r in parts.collect():
-        assert list(r["points"]) == sorted(r["points"])
-    deduped = features.grouped_points(df, ["g"], ["row", "col"], distinct=True, per_row=10)
-    assert sum(len(r["points"]) for r in deduped.collect()) == 26
+def test_points_by_image_at_any_size(spark):
+    df = spark.createDataFrame(
+        [("b", "x", i, i % 3, "A", "") for i in range(25)] + [("b", "y", 1, 1, "A", ""), ("b", "y", 1, 1, "B", "f")],
+        "bucket string, feature_vector string, row int, col int, attribute_id string, form_id string",
+    )
+    assert rows(features.image_counts(df)) == [("b", "x", 25), ("b", "y", 2)]
+    listed = [tuple(r) for r in features.image_points(df).collect()]
+    assert listed == sorted(listed) and len(listed) == 27
+    assert listed[-2:] == [("b", "y", 1, 1, "A::"), ("b", "y", 1, 1, "B::f")]
 
 
 def test_work_list_skips_finished(spark):
@@ -59,7 +57,8 @@ def test_work_list_skips_finished(spark):
     )
     work = features.extraction_work(rows_, done, "in/").orderBy("source_id").collect()
     assert [(r["source_id"], r["image_id"]) for r in work] == [("1", "a"), ("2", "a")]
-    assert [tuple(p) for p in work[0]["points"]] == [(1, 2), (5, 5)]
+    assert [r["points"] for r in work] == [2, 1]
+    assert rows(features.extraction_points(rows_, done)) == [("1", "a", 1, 2), ("1", "a", 5, 5), ("2", "a", 3, 3)]
     assert work[0]["image_path"] == "in/s1/images/a.jpg"
     assert work[0]["feature_path"] == "s1/features/ia.featurevector"
     assert features.extraction_work(rows_, done, force=True).count() == 3

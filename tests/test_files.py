@@ -25,6 +25,7 @@ def sources(tmp_path_factory):
     put(root, "s2/image_list.csv", "Name,Image Page,Image URL\na.JPG - Confirmed,/image/500/view/,u\nc.JPG -  Unconfirmed,/image/501/view/,u\na.JPG - Unclassified,/image/502/view/,u\nd.JPG,/nothing/,u\n")
     put(root, "s3/annotations.csv", "Row,Column,Image ID\n1,2,3\n")
     put(root, "s4/annotations.csv", "Row,Column,Label ID\n1,2,3\n")
+    put(root, "s5/annotations.csv", 'Row,"Column","Label ID","Image ID","Note, long"\n8,9,4,90,"a, b"\n')
     put(root, "s1/features/i77.featurevector", "x")
     return root
 
@@ -36,9 +37,11 @@ def test_source_files(spark, sources):
     assert rows(names, "name_norm", "image_id") == [("a.JPG", "502"), ("c.JPG", "501")]
     resolved = source_files.resolve_images(annotations, names)
     assert rows(source_files.mapped_rows(resolved), "source_id", "image_id", "Row") == [
-        ("1", "77", "1"), ("1", "78", "3"), ("2", "501", "9"), ("2", "502", "5"),
+        ("1", "77", "1"), ("1", "78", "3"), ("2", "501", "9"), ("2", "502", "5"), ("5", "90", "8"),
     ]
-    assert rows(source_files.unmapped_counts(resolved)) == [("1", 2, 0), ("2", 3, 1)]
+    assert rows(source_files.unmapped_counts(resolved)) == [("1", 2, 0), ("2", 3, 1), ("5", 1, 0)]
+    # Only rows that need it meet the name table.
+    assert resolved._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
 
 def test_feature_listing(spark, sources):
@@ -59,6 +62,14 @@ def test_exports(spark, tmp_path):
     entry = {"provider_id": "1", "provider_label": "L", "benthic_attribute_id": "a", "benthic_attribute_name": "A", "growth_form_id": None, "growth_form_name": None}
     put(tmp_path, "map.json", json.dumps({"results": [entry, {**entry, "benthic_attribute_id": "b"}]}, indent=1))
     assert rows(exports.read_label_mapping(spark, str(tmp_path / "map.json")), "provider_id", "attribute_id", "form_id") == [("1", "b", "")]
+    for first, second in ((1, 4000), (4000, 1)):  # the later page wins, however large either file is
+        folder = tmp_path / f"pages{first}"
+        fill = [{**entry, "provider_id": f"x{k}"} for k in range(first)]
+        put(folder, "page1.json", json.dumps({"results": [*fill, {**entry, "benthic_attribute_id": "FIRST"}]}))
+        more = [{**entry, "provider_id": f"y{k}"} for k in range(second)]
+        put(folder, "page2.json", json.dumps({"results": [{**entry, "benthic_attribute_id": "SECOND"}, *more]}))
+        read = exports.read_label_mapping(spark, str(folder)).where("provider_id = '1'")
+        assert rows(read, "attribute_id") == [("SECOND",)]
 
 
 def test_points_and_wide_predictions(spark, tmp_path):
@@ -78,12 +89,18 @@ def test_points_and_wide_predictions(spark, tmp_path):
     ]
 
 
-def test_existing_target_is_left_alone(spark, tmp_path):
+def test_sources_are_skipped_one_by_one(spark, tmp_path):
     path = str(tmp_path / "out")
     one = spark.createDataFrame([("1", "a")], "source_id string, v string")
     sinks.write_annotations_by_source(one, path)
     sinks.write_annotations_by_source(one.withColumn("v", F.lit("b")), path)
     assert rows(spark.read.csv(path, header=True), "v") == [("a",)]
+    both = one.withColumn("v", F.lit("c")).union(spark.createDataFrame([("2", "d")], one.schema))
+    sinks.write_annotations_by_source(both, path)
+    assert rows(spark.read.csv(path, header=True), "source_id", "v") == [(1, "a"), (2, "d")]
+    named = spark.createDataFrame([("3", "5", None)], "source_id string, image_id string, `Image ID` string")
+    sinks.write_annotations_by_source(named, str(tmp_path / "ids"))
+    assert rows(spark.read.csv(str(tmp_path / "ids"), header=True), "Image ID", "source_id") == [("5", 3)]
 
 
 def test_dataset_build(spark, tmp_path):

@@ -100,9 +100,15 @@ def test_sigmoid_fit_is_the_optimum(spark, k):
         z = r["a"] * f + r["b"]
         gradient = t - 1 / (1 + np.exp(z))
         assert abs((gradient * f).sum()) < 1e-4 and abs(gradient.sum()) < 1e-4
-    if k > 2:
-        lifted = calibrate.apply_sigmoids(df, calibrate.fit_sigmoids(df, k))
-        assert all(sum(r["proba"]) == pytest.approx(1) for r in lifted.collect())
+        assert r["converged"]
+    lifted = calibrate.apply_sigmoids(df, calibrate.fit_sigmoids(df, k)).collect()
+    assert all(sum(r["proba"]) == pytest.approx(1) and min(r["proba"]) > 0 for r in lifted)
+    if k == 2:
+        r = fitted[1]
+        want = 1 / (1 + np.exp(r["a"] * proba[:, 1] + r["b"]))
+        assert sorted(x["proba"][1] for x in lifted) == pytest.approx(sorted(want))
+    with pytest.raises(calibrate.NotConverged):
+        calibrate.fit_sigmoids(df, k, steps=2)
 
 
 def test_training_separates_clusters(spark):
@@ -117,3 +123,37 @@ def test_training_separates_clusters(spark):
     assert scored.where("gt = est").count() > 140
     with pytest.raises(ValueError, match="c2::"):
         train.train_head(points, classes, w.limit(2))
+    strange = points.union(spark.createDataFrame([("zzz::", [0.0] * 8)], points.schema))
+    with pytest.raises(ValueError, match="zzz"):
+        train.training_rows(strange, classes, w)
+
+
+def test_training_is_the_optimum(spark):
+    """The weighted loss with its penalty does not fall in any direction tried from the fitted weights."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 3))
+    y = (x[:, 0] + rng.normal(size=120) > 0).astype(int) + (x[:, 1] > 0.8)
+    points = spark.createDataFrame([(f"c{k}::", [float(v) for v in r]) for k, r in zip(y, x)], "gt string, features array<double>")
+    classes = spark.createDataFrame([(i, f"c{i}::") for i in range(3)], "idx int, class_id string")
+    w = spark.createDataFrame([(f"c{i}::", 1.0 + i) for i in range(3)], "class_id string, weight double")
+    model = train.train_head(points, classes, w, l2=0.01)
+    weights = 1.0 + y
+
+    def loss(coefficients, intercepts):
+        z = x @ coefficients.T + intercepts
+        z = z - z.max(axis=1, keepdims=True)
+        logp = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        spread = (x * np.sqrt(weights[:, None])).std(axis=0)
+        return -(weights * logp[np.arange(120), y]).sum() / weights.sum(), spread
+
+    c, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    mean = np.average(x, axis=0, weights=weights)
+    scale = np.sqrt((weights[:, None] * (x - mean) ** 2).sum(axis=0) / (weights.sum() - (weights**2).sum() / weights.sum()))
+
+    def penalised(c, b):
+        return loss(c, b)[0] + 0.01 / 2 * ((c * scale) ** 2).sum()
+
+    best = penalised(c, b)
+    for _ in range(40):
+        dc, db = rng.normal(size=c.shape) * 0.02, rng.normal(size=b.shape) * 0.02
+        assert penalised(c + dc, b + db) > best - 1e-5

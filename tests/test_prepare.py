@@ -96,3 +96,18 @@ def test_retention_percent(spark):
     kept = before.where("feature_vector <> 'f1'")
     one = prepare.retention(before, before, kept).first()
     assert (one["annotations_kept_pct"], one["annotations_lost_filter"], one["images_lost_filter"]) == (50.0, 2, 1)
+
+
+def test_lookup_tables_multiply_nothing(spark):
+    df = spark.createDataFrame([("1", "x"), (None, "y")], "label_id string, v string")
+    mapping = spark.createDataFrame([("1", "a", ""), ("1", "a", ""), ("2", "b", "")], "provider_id string, attribute_id string, form_id string")
+    assert prepare.map_labels(df, mapping).count() == 1
+    assert prepare.look_up_labels(df, mapping).count() == 2
+    with pytest.raises(ValueError, match="'1'"):
+        prepare.map_labels(df, mapping.union(spark.createDataFrame([("1", "c", "")], mapping.schema)))
+    points = spark.createDataFrame([("a", "")], "attribute_id string, form_id string")
+    rule = [("a", "", "b", "")]
+    schema = "from_attribute_id string, from_form_id string, to_attribute_id string, to_form_id string"
+    assert rows(prepare.roll_up(points, spark.createDataFrame(rule * 2, schema))) == [("b", "")]
+    with pytest.raises(ValueError, match="rollup"):
+        prepare.roll_up(points, spark.createDataFrame([*rule, ("a", "", "c", "")], schema))

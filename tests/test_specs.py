@@ -18,9 +18,9 @@ def test_filter_spec_keeps_blanks_and_ignores_extra_columns(spark, tmp_path):
 
 
 def test_missing_column_blank_cell_and_empty_file(spark, tmp_path):
-    with pytest.raises(ValueError, match="must have the column gf_id"):
+    with pytest.raises(ValueError, match="the column gf_id is missing"):
         specs.load_filter(spark, write(tmp_path, "ba_id\na\n"))
-    with pytest.raises(ValueError, match="ba_id not found in row 2"):
+    with pytest.raises(ValueError, match="ba_id is blank in row 2"):
         specs.load_filter(spark, write(tmp_path, "ba_id,gf_id\na,\n,g\n,h\n"))
     assert specs.load_filter(spark, write(tmp_path, "")).count() == 0
     assert specs.load_filter(spark, write(tmp_path, "ba_id,gf_id\n")).count() == 0
@@ -29,7 +29,7 @@ def test_missing_column_blank_cell_and_empty_file(spark, tmp_path):
 def test_first_present_candidate_name(spark, tmp_path):
     columns = [specs.SpecColumn(("gf", "growth_form"))]
     assert rows(specs.load_spec(spark, write(tmp_path, "growth_form,id\nx,1\n"), columns), "gf") == [("x",)]
-    with pytest.raises(ValueError, match="at least one of these columns: gf, growth_form"):
+    with pytest.raises(ValueError, match="of the columns gf, growth_form not one is there"):
         specs.load_spec(spark, write(tmp_path, "id\n1\n"), columns)
 
 
@@ -68,8 +68,8 @@ def test_text_functions(spark):
         [("a.JPG - Confirmed",), (" b.JPG",), ("c - d -  Unconfirmed ",), ("x - Other",)], "n string"
     )
     assert rows(df.select(strip_status(F.col("n")))) == [("a.JPG",), ("b.JPG",), ("c - d",), ("x - Other",)]
-    ids = spark.createDataFrame([("1.0",), ("x1",), ("NaN",), ("  ",), ("1e3",)], "i string")
-    assert [r[0] for r in ids.select(normal_id(F.col("i"))).collect()] == ["1", "x1", None, None, "1000"]
+    ids = spark.createDataFrame([("1.0",), ("x1",), ("NaN",), ("  ",), ("1e3",), ("12d",), ("7f",), ("12345678901234567",)], "i string")
+    assert [r[0] for r in ids.select(normal_id(F.col("i"))).collect()] == ["1", "x1", None, None, "1000", "12d", "7f", "12345678901234567"]
     forms = spark.createDataFrame([("MASSIVE",), (" branching",), ("foliose",), (None,), ("a, b",)], "f string")
     got = [tuple(r) for r in forms.select(kept_form(F.col("f")), inherent_form(F.col("f"))).collect()]
     assert got == [("Massive", "Massive"), ("Branching", "Branching"), ("", ""), ("", None), ("", None)]
