@@ -29,7 +29,30 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.score_texts(documents, held_out)
 
 
-@query("op2_benchmark_decontamination")
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD_LIST = f"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}')"""
+
+_CONTAMINATION_SQL = f"""
+WITH docs AS (SELECT doc_id, {_WORD_LIST} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORD_LIST} AS w FROM benchmark),
+sized AS (SELECT item, w, least(10, len(w)) AS size FROM items WHERE len(w) > 0),
+starts AS (SELECT item, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM sized),
+windows AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS key FROM starts),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs JOIN sizes ON len(w) >= size),
+hits AS (
+  SELECT p.doc_id, p.i, p.size, k.item FROM places p JOIN windows k
+    ON p.size = k.size AND array_to_string(p.w[p.i:p.i + p.size - 1], ' ') = k.key
+),
+covered AS (SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS word FROM hits) u GROUP BY 1),
+found AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) u GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)
+"""
+
+
+@query("op2_benchmark_decontamination", _CONTAMINATION_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
     return decontaminate.contamination(decontaminate.match_benchmark(documents.select("doc_id", "text"), benchmark))

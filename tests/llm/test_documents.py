@@ -253,11 +253,11 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_in_several_shards(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
-    documents, labels = toxic_corpus(spark)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 500)
+    documents, labels = toxic_corpus(spark, 1600)
     model = toxicity.fit(documents, labels)
     scored = {r.doc_id: r.score for r in toxicity.score(documents, model).collect()}
-    assert sum((s >= 0.5) == (k % 4 == 0) for k, s in scored.items()) > 390
+    assert sum((s >= 0.5) == (k % 4 == 0) for k, s in scored.items()) > 1560
 
 
 def test_toxicity_odd_rows(spark, odd):
