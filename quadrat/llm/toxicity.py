@@ -24,7 +24,7 @@ from quadrat.llm.text import WORD_TABLE, append_columns, blobs, hashed_words, mi
 
 BITS = 20
 TRAIN_ROWS = 400_000
-SHARD_ROWS = 20_000
+SHARD_ROWS = 8_000
 _PAIRS = ((1, 0x8CB92BA72F3D8DD7), (2, 0xC2B2AE3D27D4EB4F), (3, 0x165667B19E3779F9))
 
 
@@ -82,9 +82,9 @@ def train(rows: list[np.ndarray], labels: np.ndarray, settings: Ftrl) -> tuple[n
     l1 = np.full(size + 1, settings.l1)
     l1[size] = 0.0
     a, b, l2 = settings.alpha, settings.beta, settings.l2
-    rows = [np.append(r, size).astype(np.int64) for r in rows]
     for _ in range(settings.epochs):
-        for active, y in zip(rows, labels):
+        for row, y in zip(rows, labels):
+            active = np.append(row, np.int32(size))
             za, na = z[active], n[active]
             root = np.sqrt(na)
             w = -np.sign(za) * np.maximum(np.abs(za) - l1[active], 0.0) / ((b + root) / a + l2)
@@ -133,11 +133,14 @@ def fit(
     rows = documents.select("doc_id", F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
 
     def fit_shard(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("__order", "ascending"), ("text", "ascending")])
         sets: list[np.ndarray] = []
         for batch in text_slices(table.to_batches(), "text"):
             sets += feature_sets(blobs(batch, "text"))
-        weights, bias = train(sets, table.column("__label").to_numpy(), settings)
+        labels = table.column("__label").to_numpy()
+        # Rows in the order of their hashes; equal ids (repeated rows) in the order of their features.
+        keys = zip(table.column("__order").to_pylist(), (s.tobytes() for s in sets))
+        order = [k for k, _ in sorted(enumerate(keys), key=lambda e: e[1])]
+        weights, bias = train([sets[k] for k in order], labels[order], settings)
         live = np.flatnonzero(weights)
         return pa.table(
             {
