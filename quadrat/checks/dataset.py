@@ -1076,7 +1076,7 @@ def _brands(spark, sf):
 # All parts of the build at once: both sites, forms cleared, a rollup, a list of classes to keep, a balanced subsample, a listing that
 # lacks every image whose number is a multiple of 50, the split, the weights and the rows of one source.
 WHOLE = f"""{MANIFEST}, {MAPPING}, {NATIVE},
-points AS (SELECT 'provider' AS site, CAST(source_id AS VARCHAR) AS project_id, CAST(image_id AS VARCHAR) AS image_id, "row", col, attribute_id
+points AS (SELECT 'archive' AS site, CAST(source_id AS VARCHAR) AS project_id, CAST(image_id AS VARCHAR) AS image_id, "row", col, attribute_id
   FROM manifest JOIN mapping ON CAST(label_id AS VARCHAR) = provider_id
   UNION ALL SELECT site, project_id, image_id, "row", col, attribute_id FROM native),
 rolled AS (SELECT * REPLACE (CASE attribute_id WHEN 'ECONOMY' THEN 'STANDARD' ELSE attribute_id END AS attribute_id) FROM points),
@@ -1103,6 +1103,7 @@ def _whole(spark, sf):
     options = DatasetOptions.from_dict(
         {
             "manifest_path": f"{root}/manifest",
+            "provider_site": "archive",
             "native_path": f"{root}/native",
             "drop_forms": True,
             "rollup_csv": f"{root}/rollups",
@@ -1169,7 +1170,7 @@ def _(spark, sf):
 
 @query(
     "whole_build_source_log",
-    f"""WITH {WHOLE} SELECT image_id, "row", col, attribute_id FROM here WHERE site = 'provider' AND project_id = '1'""",
+    f"""WITH {WHOLE} SELECT image_id, "row", col, attribute_id FROM here WHERE site = 'archive' AND project_id = '1'""",
 )
 def _(spark, sf):
     return _whole(spark, sf).tables["annotations_s1"].select("image_id", "row", "col", "attribute_id")

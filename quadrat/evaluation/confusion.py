@@ -12,9 +12,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+POINTS = "n_points"
+
+
+def counted(predictions: DataFrame, by: Sequence[str] = ("source_key", "image_key")) -> DataFrame:
+    """(by..., gt, est, n_points): predictions that are alike in one row, from which all counting metrics can start."""
+    return predictions.groupBy(*by, "gt", "est").agg(F.count(F.lit(1)).alias(POINTS))
+
+
 def confusion(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., gt, est, n), only the cells that occur."""
-    return predictions.groupBy(*by, "gt", "est").agg(F.count(F.lit(1)).alias("n"))
+    """(by..., gt, est, n), only the cells that occur. Takes predictions or ``counted`` ones."""
+    n = F.sum(POINTS) if POINTS in predictions.columns else F.count(F.lit(1))
+    return predictions.groupBy(*by, "gt", "est").agg(n.alias("n"))
 
 
 def marginals(cells: DataFrame, by: Sequence[str] = (), carried: Sequence[str] = ()) -> DataFrame:

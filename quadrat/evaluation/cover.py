@@ -9,18 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.evaluation.confusion import POINTS
+
 SIGNIFICANT_PCT = 0.5
 
 
 def image_cover(predictions: DataFrame) -> DataFrame:
-    """(image_key, class_id, true_share, pred_share, first): ``first`` marks one row per image.
+    """(image_key, class_id, true_share, pred_share, first): ``first`` marks one row per image. Takes ``counted`` predictions too.
 
     Points are counted per (image, class) before an image's rows meet, so even an image that holds
     a large part of all points reaches its window with one row per class.
     """
+    n = F.col(POINTS) if POINTS in predictions.columns else F.lit(1).cast("long")
+    none = F.lit(0).cast("long")
     sides = F.array(
-        F.struct(F.col("gt").alias("class_id"), F.lit(1).alias("t"), F.lit(0).alias("p")),
-        F.struct(F.col("est").alias("class_id"), F.lit(0).alias("t"), F.lit(1).alias("p")),
+        F.struct(F.col("gt").alias("class_id"), n.alias("t"), none.alias("p")),
+        F.struct(F.col("est").alias("class_id"), none.alias("t"), n.alias("p")),
     )
     counts = (
         predictions.select("image_key", F.inline(sides))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.evaluation.classification import label_scores, ratio
-from quadrat.evaluation.confusion import confusion, marginals
+from quadrat.evaluation.confusion import POINTS, confusion, counted, marginals
 from quadrat.evaluation.hierarchy import with_lca
 from quadrat.functions.keys import source_key, source_parts
 from quadrat.functions.numbers import half_even
+from quadrat.operators.staging import pin
 
 
 def attach_sources(predictions: DataFrame, images: DataFrame) -> DataFrame:
@@ -19,7 +20,12 @@ def attach_sources(predictions: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def source_scores(predictions: DataFrame, classes: DataFrame) -> DataFrame:
-    """Unrounded metrics per source. This macro F1 is the mean of the labels' F1."""
+    """Unrounded metrics per source. This macro F1 is the mean of the labels' F1.
+
+    Predictions are read once: they are counted by source, image and cell, and everything else starts from the counts.
+    """
+    if POINTS not in predictions.columns:
+        predictions = pin(counted(predictions))
     cells = with_lca(confusion(predictions, ["source_key"]), classes, errors_only=False)
     wrong = F.col("gt") != F.col("est")
     errors = F.when(wrong, F.col("n")).otherwise(0)

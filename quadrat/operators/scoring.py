@@ -22,6 +22,9 @@ OVERSHOOT = 1e-5
 ROW_SUM_DRIFT = 1e-4
 PARITY_LIMIT = 1e-6
 
+# A head is given by the caller and broadcast whole; it does not grow with the data, and this is its bound.
+HEAD_BYTES = 512 << 20
+
 
 @dataclass(frozen=True)
 class Head:
@@ -43,6 +46,9 @@ class Head:
         outputs = np.shape(self.weights[-1])[0]
         if outputs != len(self.classes) or len(self.a) != len(self.classes):
             raise ValueError(f"The head has {outputs} outputs for {len(self.classes)} classes.")
+        size = sum(np.asarray(w).nbytes for w in (*self.weights, *self.biases))
+        if size > HEAD_BYTES:
+            raise ValueError(f"A head of {size} bytes is too large to go to every task; the bound is {HEAD_BYTES}.")
 
     @property
     def input_dim(self) -> int:

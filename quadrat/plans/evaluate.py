@@ -50,6 +50,13 @@ class Evaluation:
     cells: DataFrame | None = None
 
     _overall: DataFrame | None = None
+    _counted: DataFrame | None = None
+
+    def counted(self) -> DataFrame:
+        """Predictions counted by source, image and cell, which the confusion, cover and source metrics start from."""
+        if self._counted is None:
+            self._counted = pin(confusion.counted(self.predictions))
+        return self._counted
 
     def overall(self) -> DataFrame:
         """The one row of overall scores, which two groups use."""
@@ -59,7 +66,8 @@ class Evaluation:
 
     def validate(self) -> None:
         if self.cells is None:
-            self.cells = pin(confusion.confusion(self.predictions))
+            source = self.counted() if self.has_sources else self.predictions
+            self.cells = pin(confusion.confusion(source))
         if self.cells.isEmpty():
             raise InvalidEvaluation("There are no predictions.")
         known = self.classes.select("class_id")
@@ -134,12 +142,12 @@ def _calibration(ctx: Evaluation) -> GroupResult:
 
 
 def _cover(ctx: Evaluation) -> GroupResult:
-    table = pin(cover.cover_by_class(ctx.predictions, ctx.classes))
+    table = pin(cover.cover_by_class(ctx.counted(), ctx.classes))
     return GroupResult([cover.cover_scalars(table)], {"cover/per_class_cover_metrics": table})
 
 
 def _per_source(ctx: Evaluation) -> GroupResult:
-    scores = pin(per_source.source_scores(ctx.predictions, ctx.classes))
+    scores = pin(per_source.source_scores(ctx.counted(), ctx.classes))
     span = per_source.source_range(scores)
     named = span.select(*[F.col(c).cast("double").alias(f"per_source/{c}") for c in span.columns])
     return GroupResult([named], {"per_source/metrics": per_source.per_source(scores)})
