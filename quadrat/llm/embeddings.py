@@ -192,8 +192,10 @@ def find_near_duplicates(
         .withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
         .select("label", "size", "cell", "first", "second", "block", "row", "cells", "vector")
     )
+    # Dealt by the pair of blocks: the join above may leave all pairs of a cell in one task.
+    keys = ["label", "size", "cell", "first", "second"]
     found = stage(
-        paired.groupBy("label", "size", "cell", "first", "second").applyInArrow(
+        paired.repartition(*keys).groupBy(*keys).applyInArrow(
             lambda table: links_of_blocks(table, threshold), "row long, links long, root long"
         ),
         "links",
