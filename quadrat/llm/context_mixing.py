@@ -213,9 +213,7 @@ def spell(tokens: list[bytes], classes: np.ndarray) -> Spelled:
     slots = []
     for k, (context, size) in enumerate(zip(contexts, TABLE_BITS)):
         top = (mixed(context + np.uint64(k << 56)) >> np.uint64(32)).astype(np.uint32)
-        h = (top[:, None] ^ step) * np.uint32(0x85EBCA6B)
-        h ^= h >> np.uint32(15)
-        slots.append((h * np.uint32(0xC2B2AE35) >> np.uint32(32 - size)).astype(np.int64))
+        slots.append(((top[:, None] ^ step) * np.uint32(0x85EBCA6B) >> np.uint32(32 - size)).astype(np.int64))
     return Spelled(bits.astype(np.int8), node, slots, owner, starts)
 
 
@@ -240,43 +238,64 @@ def encode_counts(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Slots by context, weights by set, refinement table, and totals of the training words."""
+    """Slots by context, weights by set, and the refinement table."""
 
     slots: list[np.ndarray]
     weights: np.ndarray
     refined: np.ndarray
 
+    def unpacked(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Each slot's prediction in the logistic domain, and how much the slots of the last two contexts have seen."""
+        if not hasattr(self, "_unpacked"):
+            halves = [(s >> np.uint16(8), s & np.uint16(255)) for s in self.slots]
+            seen = [_SEEN[np.maximum(*h)].astype(np.uint8) for h in halves[-2:]]
+            self._unpacked = [_LOG[ones] - _LOG[zeros] for zeros, ones in halves], seen
+        return self._unpacked
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "_unpacked"}
+
+
+def _stretch(model: Model, spelled: Spelled) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts + 1, bits) predictions in the logistic domain, and the weight set of each bit."""
+    tables, seen = model.unpacked()
+    places = [s.ravel() for s in spelled.slots]
+    inputs = np.empty((len(tables) + 1, places[0].size), dtype=np.float32)
+    for row, table, place in zip(inputs, tables, places):
+        np.take(table, place, out=row, mode="clip")
+    inputs[-1] = 0.3
+    return inputs, np.take(seen[0], places[-2]) * np.uint8(8) + np.take(seen[1], places[-1])
+
+
+def but_one_tables(slots: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each slot three predictions: with a 0 taken out, with a 1 taken out, and as it is."""
+    out = []
+    for table in slots:
+        zeros, ones = table >> np.uint16(8), table & np.uint16(255)
+        three = np.empty((len(table), 3), dtype=np.float32)
+        three[:, 0] = _LOG[ones] - _LOG_BUT_ONE[zeros]
+        three[:, 1] = _LOG_BUT_ONE[ones] - _LOG[zeros]
+        three[:, 2] = _LOG[ones] - _LOG[zeros]
+        out.append(three.reshape(-1))
+    return out
 
-def _stretch(slots: list[np.ndarray], spelled: Spelled, out_of: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts + 1, bits) predictions in the logistic domain, and the weight set of each bit.
 
-    ``out_of`` has a word's count; a word's own occurrence is then taken out of the slots that hold it.
-    """
-    bit = spelled.bits.ravel()
-    inputs = np.empty((len(TABLE_BITS) + 1, bit.size), dtype=np.float32)
-    seen = []
-    if out_of is not None:
-        inside = np.repeat(out_of[spelled.owner] >= LEAST_SEEN, 8)
-    for k, (table, place) in enumerate(zip(slots, spelled.slots)):
-        entry = table[place.ravel()]
-        zeros, ones = entry >> np.uint16(8), entry & np.uint16(255)
-        if out_of is None:
-            inputs[k] = _LOG[ones] - _LOG[zeros]
-        else:
-            mine = inside if k >= len(TABLE_BITS) - 2 else np.True_
-            inputs[k] = np.where(mine & (bit == 1), _LOG_BUT_ONE[ones], _LOG[ones]) - np.where(
-                mine & (bit == 0), _LOG_BUT_ONE[zeros], _LOG[zeros]
-            )
-        if k >= len(TABLE_BITS) - 2:
-            seen.append(_SEEN[np.maximum(zeros, ones)])
+def _stretch_but_one(tables: list[np.ndarray], seen: list[np.ndarray], spelled: Spelled, counts: np.ndarray):
+    """``_stretch`` with one occurrence of each word taken out of the slots that hold it; ``counts`` are the words' counts."""
+    bit = spelled.bits.ravel().astype(np.int64)
+    whole_words = np.where(np.repeat(counts[spelled.owner] >= LEAST_SEEN, 8), bit, 2)
+    places = [s.ravel() for s in spelled.slots]
+    inputs = np.empty((len(tables) + 1, bit.size), dtype=np.float32)
+    for k, (row, table, place) in enumerate(zip(inputs, tables, places)):
+        np.take(table, place * 3 + (whole_words if k >= len(TABLE_BITS) - 2 else bit), out=row, mode="clip")
     inputs[-1] = 0.3
-    return inputs, seen[0] * 8 + seen[1]
+    return inputs, np.take(seen[0], places[-2]) * np.uint8(8) + np.take(seen[1], places[-1])
 
 
 def _mix(inputs: np.ndarray, chosen: np.ndarray, weights: np.ndarray) -> np.ndarray:
     total = np.zeros(inputs.shape[1], dtype=np.float32)
     for k, row in enumerate(inputs):
-        total += weights[:, k].astype(np.float32)[chosen] * row
+        total += np.take(weights[:, k].astype(np.float32), chosen) * row
     return np.clip(total, -11.5, 11.5)
 
 
@@ -285,10 +304,11 @@ def _refine_place(node: np.ndarray, total: np.ndarray) -> np.ndarray:
     return node.ravel() * _STEPS + step
 
 
-def fit_batch(spelled: Spelled, counts: np.ndarray, slots: list, state: dict) -> None:
+def fit_batch(spelled: Spelled, counts: np.ndarray, tables: list, seen: list, state: dict) -> None:
     """One online step: the batch is predicted, then the weights and the refinement table are moved."""
-    inputs, chosen = _stretch(slots, spelled, counts)
-    weight = np.repeat(counts[spelled.owner].astype(np.float64), 8)
+    inputs, chosen = _stretch_but_one(tables, seen, spelled, counts)
+    chosen = chosen.astype(np.int64)
+    weight = np.repeat(counts[spelled.owner].astype(np.float32), 8)
     total = _mix(inputs, chosen, state["weights"])
     bit = spelled.bits.ravel()
     error = (bit - 1.0 / (1.0 + np.exp(-total))) * weight
@@ -308,7 +328,7 @@ def score_tokens(tokens: list[bytes], classes: np.ndarray, model: Model) -> np.n
     out = np.empty(len(tokens))
     for start in range(0, len(tokens), _BATCH):
         spelled = spell(tokens[start : start + _BATCH], classes[start : start + _BATCH])
-        inputs, chosen = _stretch(model.slots, spelled, None)
+        inputs, chosen = _stretch(model, spelled)
         total = _mix(inputs, chosen, model.weights)
         p = 0.5 / (1.0 + np.exp(-total)) + 0.5 * model.refined[_refine_place(spelled.node, total)]
         p = np.clip(np.where(spelled.bits.ravel() == 1, p, 1.0 - p), 2.0**-18, 1.0)
@@ -371,8 +391,9 @@ def learn(words: DataFrame) -> Model:
             "mass": np.zeros(_SETS),
             "refined": np.zeros((2, 256 * _STEPS)),
         }
+        but_one, (_, seen) = but_one_tables(shared.value), Model(shared.value, None, None).unpacked()
         for tokens, classes, n in _batches_of_pairs(batches):
-            fit_batch(spell(tokens, classes), n, shared.value, state)
+            fit_batch(spell(tokens, classes), n, but_one, seen, state)
         if state["mass"].any():
             packed = [state[k].tobytes() for k in ("weights", "mass", "refined")]
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in packed], ["weights", "mass", "refined"])

@@ -85,7 +85,7 @@ def test_language_model_is_a_distribution():
 
 def first_byte(byte, model):
     spelled = context_mixing.spell([byte], np.zeros(1, np.int64))
-    inputs, chosen = context_mixing._stretch(model.slots, spelled, None)
+    inputs, chosen = context_mixing._stretch(model, spelled)
     mixed = context_mixing._mix(inputs, chosen, model.weights)
     p = 0.5 / (1 + np.exp(-mixed)) + 0.5 * model.refined[context_mixing._refine_place(spelled.node, mixed)]
     p = np.where(spelled.bits.ravel() == 1, p, 1 - p)
