@@ -32,14 +32,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every copy with its size, shard and slot, beside the columns of the documents."""
+    """Every copy with ``shard_bytes``, ``shard`` and ``slot``, beside the columns of the documents.
+
+    Where the documents have a column of such a name, the new one gets underscores behind it.
+    """
     out = sharding.shard_by_bytes(docs)
-    return out.select(
-        *[out[c] for c in docs.columns],
-        F.col("__size").alias("shard_bytes"),
-        F.col("__shard").alias("shard"),
-        F.col("__slot").alias("slot"),
-    )
+    taken = {c.lower() for c in docs.columns}
+    added = []
+    for name, made in (("shard_bytes", "__size"), ("shard", "__shard"), ("slot", "__slot")):
+        while name in taken:
+            name += "_"
+        added.append(F.col(made).alias(name))
+    return out.select(*[out[c] for c in docs.columns], *added)
 
 
 STAGES = [
