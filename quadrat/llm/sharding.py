@@ -24,7 +24,8 @@ SHARDS = 24
 OVERHEAD = 8
 TOLERANCE = 0.01
 RANGE_ROWS = 1_000_000
-MAX_RANGES = 64
+RANGE_BYTES = 16 << 20
+MAX_RANGES = 512
 _TOP = 15
 _STEP = 8
 #: The parts of a row's key, in the order of comparison; all are 63-bit numbers.
@@ -159,7 +160,7 @@ def shard_by_bytes(
     if not count:
         empty = rows.select(*df.columns, "__size")
         return empty.withColumn("__shard", F.lit(0)).withColumn("__slot", F.lit(0).cast("long"))
-    pieces = min(MAX_RANGES, max(1, -(-count // (shards * range_rows))))
+    pieces = min(MAX_RANGES, max(1, -(-count // (shards * range_rows)), -(-total // (shards * RANGE_BYTES))))
     targets = [
         (total * n / (shards * pieces), total / shards * (tolerance if n % pieces == 0 else 0.5 / pieces))
         for n in range(1, shards * pieces)
