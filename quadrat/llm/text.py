@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 # Words of letters, digits and everything outside ASCII; A-Z become a-z and all else a space.
 WORD_TABLE = bytes(
@@ -45,7 +45,7 @@ def append_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _powers: list[np.ndarray] = []
 
 
