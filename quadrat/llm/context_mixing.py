@@ -3,19 +3,25 @@
 A text is its lower-cased words and one end, each spelled as bytes with a space behind. Every bit of every byte is predicted in six
 hashed contexts (bytes before it in the word, the word so far, and both with a class of the text). A context's slot holds how often 0 and
 1 followed. The six predictions are mixed in the logistic domain by a set of weights, which a gate picks by how much the two contexts of the whole
-word have seen; the mix is then refined by an adaptive table over (bits so far, mixed prediction). The text's score is the sum over its bits, and
-the cost of naming its class, which is a hash of its most frequent word.
+word have seen; the mix is then refined by an adaptive table over (bits so far, mixed prediction). This is the probability of a word's spelling.
+
+Over it lie the exact counts of words in four contexts, each mixed in before the next: none, the class of the text, the word before, and the two
+words before. Each is mixed with a weight that a gate picks by how often the context has been seen; a block of texts learns these weights from
+its own training words, each with its own occurrence taken out of the counts. The text's score is the sum over its words, and the cost of naming
+its class, which is a hash of its most frequent word.
 
 Learning from the training documents takes three steps over all of them:
 
 1. Documents are dealt into blocks of about ``BLOCK_BYTES`` by a hash of the id. A block's distinct words and its counts of (word, class)
    are packed by bucket of the word's hash, and each bucket adds up the counts of all blocks. This gives exact word counts, which go back
-   to the blocks that hold the words, and the counts of all distinct pairs.
+   to the blocks that hold the words, and the counts of all distinct pairs. Grams (a word with its class, the word before, or the two words
+   before) go the same way as ``GRAM_BITS`` bits of their hash within a bucket; there are as many buckets as blocks, so this table grows with the texts.
 2. Contexts are counted bit by bit over the distinct pairs; tables of trainers are added up in pieces.
 3. Each trainer goes through its pairs in small batches and moves the weights online after each one, always predicting with the pair's own last
    occurrence taken out of the slots; weights are averaged over the trainers and refinement tables added up.
 
-The tables have fixed sizes (about 22 MB in all), which is the bound on what is broadcast. Scoring reads a block's texts with the counts of its words.
+The tables of bits have fixed sizes (about 22 MB in all), which is the bound on what is broadcast. Scoring reads a block's texts with the counts
+of its words and grams.
 """
 
 from __future__ import annotations
@@ -38,6 +44,9 @@ CLASSES = 32
 TABLE_BITS = (16, 18, 20, 20, 22, 22)
 LEAST_SEEN = 2
 TRAINER_PAIRS = 1_500_000
+GRAM_BITS = 40
+_GATES = 48
+_ROUNDS = 6
 _BATCH = 2048
 _PIECE = 1 << 16
 _STEPS = 24
@@ -86,12 +95,12 @@ def number_tokens(texts: list[bytes]) -> Numbered:
 # --- counts of words --------------------------------------------------------------------------------
 
 
-def _pack(tokens: list[bytes]) -> bytes:
-    return zlib.compress(b" ".join(tokens), 1)
+def _pack(tokens: list[bytes]) -> bytes | None:
+    return zlib.compress(b" ".join(tokens), 1) if tokens else None
 
 
-def _unpack(data: bytes) -> list[bytes]:
-    return zlib.decompress(data).split(b" ")
+def _unpack(data: bytes | None) -> list[bytes]:
+    return [] if data is None else zlib.decompress(data).split(b" ")
 
 
 def _ints(values: np.ndarray) -> bytes:
@@ -102,6 +111,62 @@ def _from_ints(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), "<i8")
 
 
+def hash_tokens(tokens: list[bytes]) -> np.ndarray:
+    """64-bit hash of each token."""
+    out = [np.empty(0, np.uint64)]
+    for start in range(0, len(tokens), _PIECE):
+        part = tokens[start : start + _PIECE]
+        sizes = np.array([len(t) + 1 for t in part], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b" ".join(part) + b" ", np.uint8)
+        out.append(prefix_hashes(data, np.repeat(ends - sizes, sizes))[ends - 1])
+    return np.concatenate(out)
+
+
+@dataclass
+class Grams:
+    """The distinct grams of some texts by (bucket, key), and where each occurrence and its context are among them.
+
+    ``places`` has a row for the classes, which are the contexts of the first order, and one for each order: the word in its class, after the word
+    before, and after the two words before; -1 is none. The first word of a text comes after an empty word and has no second word before.
+    """
+
+    keys: np.ndarray
+    buckets: np.ndarray
+    places: np.ndarray
+
+
+def gather_grams(words: Numbered, buckets: int) -> Grams:
+    n = len(words.ids)
+    ids, first = words.ids, np.diff(words.owners, prepend=-1) != 0
+    before = np.where(first, 0, np.roll(ids, 1))
+    hashes, kind = hash_tokens(words.tokens), words.classes.astype(np.uint64)
+    spread = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], dtype=np.uint64)
+    two = mixed(hashes[before] * spread[0] + hashes[ids])
+    three = mixed(np.roll(two, 1) * spread[1] + hashes[ids])
+    whole = np.concatenate([mixed(kind + np.uint64(1)), mixed((kind + np.uint64(1)) * spread[2] + hashes[ids]), two, three[~first]])
+    bucket = (whole >> np.uint64(GRAM_BITS)) % np.uint64(buckets)
+    low = whole & np.uint64((1 << GRAM_BITS) - 1)
+    distinct, back = np.unique(bucket << np.uint64(GRAM_BITS) | low, return_inverse=True)
+    places = np.full((4, n), -1, dtype=np.int64)
+    places[:3] = back[: 3 * n].reshape(3, n)
+    places[3, ~first] = back[3 * n :]
+    keys = distinct & np.uint64((1 << GRAM_BITS) - 1)
+    return Grams(keys, (distinct >> np.uint64(GRAM_BITS)).astype(np.int64), places)
+
+
+def _pack_grams(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys: the high bytes and the counts are compressed, the low 32 bits are not, as they are random."""
+    high = (keys >> np.uint64(32)).astype(np.uint8).tobytes() + counts.astype("<u4").tobytes()
+    return keys.astype("<u4").tobytes() + zlib.compress(high, 1)
+
+
+def _unpack_grams(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    rest = zlib.decompress(data[4 * n :])
+    keys = np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(rest, np.uint8, n).astype(np.uint64) << np.uint64(32)
+    return keys, np.frombuffer(rest, "<u4", n, n)
+
+
 def blocked(documents: DataFrame, key: str, text: str, held_out: Column) -> tuple[DataFrame, int]:
     """(block, key, text, held_out) and the number of blocks, which follows the bytes of the texts."""
     size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -111,13 +176,14 @@ def blocked(documents: DataFrame, key: str, text: str, held_out: Column) -> tupl
 
 
 def count_words(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Rows of (block, bucket, tokens, counts, pairs, total, distinct).
+    """Rows of (block, bucket, tokens, counts, pairs, total, distinct, size, grams).
 
-    A row with a block holds words of that block and their counts in the training texts of all blocks. A row without one holds the distinct words
+    A row with a block holds words of that block and their counts in the training texts of all blocks, and the counts there of its ``size`` grams in
+    the order of their keys (but the keys themselves between the two steps). A row without one holds the distinct words
     of a bucket that occur in training texts, their counts, the counts of (word, class) as ``pairs``, and the sums.
     """
-    schema = "block int, bucket int, tokens binary, counts binary, pairs binary, total long, distinct long"
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    schema = "block int, bucket int, tokens binary, counts binary, pairs binary, total long, distinct long, size int, grams binary"
+    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     names = [part.split()[0] for part in schema.split(", ")]
 
     def pack(table: pa.Table) -> pa.Table:
@@ -135,12 +201,19 @@ def count_words(blocks: DataFrame, buckets: int) -> DataFrame:
         by_bucket = np.argsort(bucket[owner], kind="stable")
         pair, n, owner = pair[by_bucket], n[by_bucket], owner[by_bucket]
         pair_cuts = np.searchsorted(bucket[owner], np.arange(buckets + 1))
+        grams = gather_grams(words, buckets)
+        gram_counts = np.zeros(len(grams.keys), dtype=np.int64)
+        for row in grams.places:
+            gram_counts += np.bincount(row[training & (row >= 0)], minlength=len(gram_counts))
+        gram_cuts = np.searchsorted(grams.buckets, np.arange(buckets + 1))
         rows = []
-        for b in np.unique(bucket).tolist():
+        for b in np.union1d(bucket, grams.buckets).tolist():
             mine = [words.tokens[k] for k in order[cuts[b] : cuts[b + 1]].tolist()]
             s = slice(pair_cuts[b], pair_cuts[b + 1])
             local = place[owner[s]] * CLASSES + pair[s] % CLASSES
-            rows.append((block, b, _pack(mine), None, _ints(np.concatenate([local, n[s]])), None, None))
+            g = slice(gram_cuts[b], gram_cuts[b + 1])
+            packed = _pack_grams(grams.keys[g], gram_counts[g])
+            rows.append((block, b, _pack(mine), None, _ints(np.concatenate([local, n[s]])), None, None, g.stop - g.start, packed))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     def merge(table: pa.Table) -> pa.Table:
@@ -158,9 +231,16 @@ def count_words(blocks: DataFrame, buckets: int) -> DataFrame:
         total = np.zeros(len(numbers), dtype=np.int64)
         np.add.at(total, pair // CLASSES, n)
         bucket = table.column("bucket")[0].as_py()
+        sizes = table.column("size").to_pylist()
+        parts = [_unpack_grams(g.as_py(), k) for g, k in zip(table.column("grams"), sizes)]
+        keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        often = np.bincount(back, np.concatenate([c for _, c in parts]), len(keys)).astype("<u4")
+        grams = [zlib.compress(often[part].tobytes(), 1) for part in np.split(back, np.cumsum(sizes)[:-1])]
         rows = [
-            (block, bucket, tokens, _ints(total[ids]), None, None, None)
-            for block, tokens, ids in zip(table.column("block").to_pylist(), table.column("tokens").to_pylist(), seen)
+            (block, bucket, tokens, _ints(total[ids]), None, None, None, size, own)
+            for block, tokens, ids, size, own in zip(
+                table.column("block").to_pylist(), table.column("tokens").to_pylist(), seen, sizes, grams
+            )
         ]
         known = np.flatnonzero(total)
         if len(known):
@@ -168,7 +248,7 @@ def count_words(blocks: DataFrame, buckets: int) -> DataFrame:
             words = list(numbers)
             local = number[pair // CLASSES] * CLASSES + pair % CLASSES
             packed = _pack([words[k] for k in known.tolist()]), _ints(total[known]), _ints(np.concatenate([local, n]))
-            rows.append((None, bucket, *packed, int(total.sum()), len(known)))
+            rows.append((None, bucket, *packed, int(total.sum()), len(known), None, None))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     packed = blocks.groupBy("block").applyInArrow(pack, schema)
@@ -336,6 +416,58 @@ def score_tokens(tokens: list[bytes], classes: np.ndarray, model: Model) -> np.n
     return out
 
 
+# --- words in context ---------------------------------------------------------------------------------
+
+
+def mix_in(low: np.ndarray, low_but_one: np.ndarray, hits: np.ndarray, context: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of words with ``hits / context`` mixed into ``low``, and those of the training words without their own occurrence.
+
+    The weight of ``low`` depends on the magnitude of ``context`` alone, so that a distribution stays one. The weights raise the probability of the
+    training words, each without its own occurrence, step by step.
+    """
+    rest = context[training] - 1.0
+    gate, but_one_gate = np.frexp(context)[1], np.frexp(np.maximum(rest, 0.0))[1]
+    high = (hits[training] - 1.0) / np.maximum(rest, 1.0)
+    weight = np.full(_GATES, 0.5)
+    mass = np.bincount(but_one_gate, minlength=_GATES)
+    for _ in range(_ROUNDS):
+        w = weight[but_one_gate]
+        down = w * low_but_one
+        share = down / (down + (1.0 - w) * high)
+        weight = (np.bincount(but_one_gate, share, _GATES) + 1.0) / (mass + 2.0)
+    weight[0] = 1.0  # a context that was never seen
+    w, v = weight[gate], weight[but_one_gate]
+    return w * low + (1.0 - w) * hits / np.maximum(context, 1.0), v * low_but_one + (1.0 - v) * high
+
+
+def score_occurrences(
+    words: Numbered, spelling: np.ndarray, counts: np.ndarray, total: int, grams: Grams, seen: np.ndarray, training: np.ndarray
+) -> np.ndarray:
+    """log10 probability of each occurrence.
+
+    ``spelling`` has the log10 probability of each occurrence by its bits, ``counts`` the distinct words' and ``seen`` the distinct grams' counts in all
+    training texts (of ``total`` words), ``training`` which occurrences are in them.
+    """
+    c = counts[words.ids].astype(np.float64)
+    before = np.where(grams.places[3] < 0, 0, np.roll(words.ids, 1))
+    by_place = np.where(grams.places >= 0, seen[grams.places], 0).astype(np.float64)
+    p = 10.0**spelling
+    own = np.maximum(c[training], 1.0)
+    but_one = np.maximum(p[training] * (own - 1.0) / own, 2.0**-600)
+    two_before = np.where(grams.places[3] < 0, 0.0, np.roll(by_place[2], 1))
+    contexts = (
+        (c, np.full(len(c), float(total))), (by_place[1], by_place[0]), (by_place[2], counts[before].astype(np.float64)), (by_place[3], two_before),
+    )
+    p = np.maximum(p, 2.0**-600)
+    log_p = spelling
+    for hits, context in contexts:
+        # A very long unknown word keeps its logarithm, which may be below the least number.
+        mixed_in, but_one = mix_in(p, but_one, hits, context, training)
+        log_p = np.where(hits > 0, np.log10(mixed_in), log_p + np.log10(mixed_in / p))
+        p = mixed_in
+    return log_p
+
+
 # --- learning over all distinct pairs ------------------------------------------------------------------
 
 
@@ -432,6 +564,7 @@ def score_texts(
 
     def score(texts_table: pa.Table, words_table: pa.Table) -> pa.Table:
         counts: dict[bytes, int] = {}
+        seen: dict[int, bytes] = dict(zip(words_table.column("bucket").to_pylist(), words_table.column("grams").to_pylist()))
         for tokens, n in zip(words_table.column("tokens").to_pylist(), words_table.column("counts").to_pylist()):
             counts.update(zip(_unpack(tokens), _from_ints(n).tolist()))
         texts = [t for b in texts_table.to_batches() for t in blobs(b, "text")]
@@ -441,7 +574,10 @@ def score_texts(
         by_pair = score_tokens([numbered.tokens[k] for k in (pair // CLASSES).tolist()], pair % CLASSES, shared.value)
         n_docs, owner = len(texts), numbered.owners
         base = np.log10((c + 1.0) / (total + distinct + 1.0))
-        scores = np.bincount(owner, by_pair[back], n_docs) - np.log10(CLASSES)
+        training = ~texts_table.column("held_out").to_numpy()[owner]
+        often = np.concatenate([np.frombuffer(zlib.decompress(seen[b]), "<u4") for b in sorted(seen)])
+        by_word = score_occurrences(numbered, by_pair[back], c, total, gather_grams(numbered, count), often, training)
+        scores = np.bincount(owner, by_word, n_docs) - np.log10(CLASSES)
         sizes = np.bincount(owner, np.array([len(t) + 1.0 for t in numbered.tokens])[numbered.ids], n_docs)
         return pa.table(
             {
@@ -456,5 +592,5 @@ def score_texts(
             }
         )
 
-    own = words.where(F.col("block").isNotNull()).select("block", "tokens", "counts")
+    own = words.where(F.col("block").isNotNull()).select("block", "bucket", "tokens", "counts", "grams")
     return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(score, schema)

@@ -92,6 +92,72 @@ def first_byte(byte, model):
     return np.log10(p[:8]).sum()
 
 
+def test_language_model_sees_word_order(spark):
+    rng = random.Random(8)
+    names = [f"{a}{b}" for a in "bdgklmnp" for b in ("a", "e", "i", "o", "u")]
+    after = {w: rng.sample(names, 2) for w in names}
+    rows = []
+    for k in range(400):
+        words = [rng.choice(names)]
+        while len(words) < 60:
+            words.append(rng.choice(after[words[-1]]))
+        rows.append((k, " ".join(words)))
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+
+    def scores(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        return {r.doc_id: r.score for r in context_mixing.score_texts(df, held).collect() if r.held_out}
+
+    def shuffled(text):
+        return " ".join(rng.sample(text.split(), 60))
+
+    first = scores(rows)
+    again = scores([(k, shuffled(t) if k in first else t) for k, t in rows])
+    assert len(first) > 40 and all(first[k] > again[k] + 10 for k in first)
+
+
+def occurrence_scores(texts, training, by_bits=-9.0):
+    """Scores of all words where the spelling tells nothing, with the counts of the training texts."""
+    words = context_mixing.number_tokens(texts)
+    grams = context_mixing.gather_grams(words, 3)
+    own = np.array(training)[words.owners]
+    counts = np.bincount(words.ids[own], minlength=len(words.tokens))
+    seen = sum(np.bincount(p[own & (p >= 0)], minlength=len(grams.keys)) for p in grams.places)
+    spelling = np.full(len(words.ids), by_bits)
+    return words, context_mixing.score_occurrences(words, spelling, counts, int(counts.sum()), grams, seen, own)
+
+
+def test_known_words_keep_their_own_counts():
+    """However full the tables of bits, a known word is predicted by its own count."""
+    texts = [f"x{k} y{k % 7} x{k}".encode() for k in range(3000)] + [b"x5 new x5"]
+    words, got = occurrence_scores(texts, [True] * 3000 + [False])
+    x5, new, again, _ = got[words.owners == 3000]
+    assert x5 > -4 and again > -4 and new < -8
+
+
+def test_words_in_context_are_a_distribution():
+    rng = random.Random(2)
+    names = ["a", "b", "c", "d"]
+    texts = [" ".join(rng.choices(names, weights=(5, 3, 1, 1), k=9)).encode() for _ in range(200)]
+    for start in ("a", "a b", "d d", ""):
+        total = 0.0
+        ends = [f"{start} {w}".strip().encode() for w in names] + [start.encode()]
+        # Classes depend on the text, so every ending is given the class of the start.
+        for text in ends:
+            both = [*texts, text]
+            words = context_mixing.number_tokens(both)
+            words.classes[:] = 1
+            grams = context_mixing.gather_grams(words, 2)
+            own = words.owners < 200
+            counts = np.bincount(words.ids[own], minlength=len(words.tokens))
+            seen = sum(np.bincount(p[own & (p >= 0)], minlength=len(grams.keys)) for p in grams.places)
+            got = context_mixing.score_occurrences(
+                words, np.full(len(words.ids), np.log10(0.2)), counts, int(counts.sum()), grams, seen, own
+            )
+            total += 10 ** got[words.owners == 200][len(start.split())]
+        assert total == pytest.approx(1.0, abs=1e-9)
+
+
 def test_language_model_odd_rows(spark, odd):
     got = context_mixing.score_texts(odd, F.col("doc_id") == 7).collect()
     assert len(got) == len(odd_rows())
