@@ -42,7 +42,6 @@ BLOCK_BYTES = 8 << 20
 CLASSES = 32
 #: Slots of each context, as powers of two; the last two contexts are the word so far, without and with the class.
 TABLE_BITS = (16, 18, 20, 20, 22, 22)
-LEAST_SEEN = 2
 TRAINER_PAIRS = 1_500_000
 GRAM_BITS = 40
 _GATES = 48
@@ -300,13 +299,9 @@ def spell(tokens: list[bytes], classes: np.ndarray) -> Spelled:
 def count_bits(spelled: Spelled, counts: np.ndarray, tables: list[np.ndarray]) -> None:
     """Add the words' bits, ``counts`` times each, to the (2, slots) tables."""
     weight = np.repeat(counts[spelled.owner].astype(np.float32), 8)
-    often = np.repeat(counts[spelled.owner] >= LEAST_SEEN, 8)
     bits = spelled.bits.ravel().astype(np.int64)
-    for k, (table, slots) in enumerate(zip(tables, spelled.slots)):
-        place, w = bits * table.shape[1] + slots.ravel(), weight
-        if k >= len(TABLE_BITS) - 2:
-            place, w = place[often], w[often]
-        np.add.at(table.reshape(-1), place, w)
+    for table, slots in zip(tables, spelled.slots):
+        np.add.at(table.reshape(-1), bits * table.shape[1] + slots.ravel(), weight)
 
 
 def encode_counts(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -348,26 +343,24 @@ def _stretch(model: Model, spelled: Spelled) -> tuple[np.ndarray, np.ndarray]:
 
 
 def but_one_tables(slots: list[np.ndarray]) -> list[np.ndarray]:
-    """Of each slot three predictions: with a 0 taken out, with a 1 taken out, and as it is."""
+    """Of each slot two predictions: with a 0 taken out and with a 1 taken out."""
     out = []
     for table in slots:
         zeros, ones = table >> np.uint16(8), table & np.uint16(255)
-        three = np.empty((len(table), 3), dtype=np.float32)
-        three[:, 0] = _LOG[ones] - _LOG_BUT_ONE[zeros]
-        three[:, 1] = _LOG_BUT_ONE[ones] - _LOG[zeros]
-        three[:, 2] = _LOG[ones] - _LOG[zeros]
-        out.append(three.reshape(-1))
+        both = np.empty((len(table), 2), dtype=np.float32)
+        both[:, 0] = _LOG[ones] - _LOG_BUT_ONE[zeros]
+        both[:, 1] = _LOG_BUT_ONE[ones] - _LOG[zeros]
+        out.append(both.reshape(-1))
     return out
 
 
-def _stretch_but_one(tables: list[np.ndarray], seen: list[np.ndarray], spelled: Spelled, counts: np.ndarray):
-    """``_stretch`` with one occurrence of each word taken out of the slots that hold it; ``counts`` are the words' counts."""
+def _stretch_but_one(tables: list[np.ndarray], seen: list[np.ndarray], spelled: Spelled):
+    """``_stretch`` with one occurrence of each word taken out of the slots."""
     bit = spelled.bits.ravel().astype(np.int64)
-    whole_words = np.where(np.repeat(counts[spelled.owner] >= LEAST_SEEN, 8), bit, 2)
     places = [s.ravel() for s in spelled.slots]
     inputs = np.empty((len(tables) + 1, bit.size), dtype=np.float32)
-    for k, (row, table, place) in enumerate(zip(inputs, tables, places)):
-        np.take(table, place * 3 + (whole_words if k >= len(TABLE_BITS) - 2 else bit), out=row, mode="clip")
+    for row, table, place in zip(inputs, tables, places):
+        np.take(table, place * 2 + bit, out=row, mode="clip")
     inputs[-1] = 0.3
     return inputs, np.take(seen[0], places[-2]) * np.uint8(8) + np.take(seen[1], places[-1])
 
@@ -386,7 +379,7 @@ def _refine_place(node: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 def fit_batch(spelled: Spelled, counts: np.ndarray, tables: list, seen: list, state: dict) -> None:
     """One online step: the batch is predicted, then the weights and the refinement table are moved."""
-    inputs, chosen = _stretch_but_one(tables, seen, spelled, counts)
+    inputs, chosen = _stretch_but_one(tables, seen, spelled)
     chosen = chosen.astype(np.int64)
     weight = np.repeat(counts[spelled.owner].astype(np.float32), 8)
     total = _mix(inputs, chosen, state["weights"])

@@ -158,6 +158,13 @@ def test_words_in_context_are_a_distribution():
         assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def test_words_seen_once_in_a_class_are_counted():
+    counts = [np.zeros((2, 1 << b), dtype=np.float32) for b in context_mixing.TABLE_BITS]
+    spelled = context_mixing.spell([b"rare"] * 5, np.arange(5))
+    context_mixing.count_bits(spelled, np.ones(5, np.int64), counts)
+    assert [int(c.sum()) for c in counts] == [5 * 5 * 8] * 6  # five occurrences of five bytes
+
+
 def test_language_model_odd_rows(spark, odd):
     got = context_mixing.score_texts(odd, F.col("doc_id") == 7).collect()
     assert len(got) == len(odd_rows())
