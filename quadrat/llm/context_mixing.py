@@ -43,7 +43,8 @@ CLASSES = 32
 #: Slots of each context, as powers of two; the last two contexts are the word so far, without and with the class.
 TABLE_BITS = (16, 18, 20, 20, 22, 22)
 TRAINER_PAIRS = 1_500_000
-GRAM_BITS = 40
+GRAM_BITS = 36
+_GRAM_MASK = np.uint64((1 << GRAM_BITS) - 1)
 _GATES = 48
 _ROUNDS = 6
 _BATCH = 2048
@@ -143,27 +144,35 @@ def gather_grams(words: Numbered, buckets: int) -> Grams:
     spread = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], dtype=np.uint64)
     two = mixed(hashes[before] * spread[0] + hashes[ids])
     three = mixed(np.roll(two, 1) * spread[1] + hashes[ids])
-    whole = np.concatenate([mixed(kind + np.uint64(1)), mixed((kind + np.uint64(1)) * spread[2] + hashes[ids]), two, three[~first]])
-    bucket = (whole >> np.uint64(GRAM_BITS)) % np.uint64(buckets)
-    low = whole & np.uint64((1 << GRAM_BITS) - 1)
-    distinct, back = np.unique(bucket << np.uint64(GRAM_BITS) | low, return_inverse=True)
-    places = np.full((4, n), -1, dtype=np.int64)
-    places[:3] = back[: 3 * n].reshape(3, n)
-    places[3, ~first] = back[3 * n :]
-    keys = distinct & np.uint64((1 << GRAM_BITS) - 1)
-    return Grams(keys, (distinct >> np.uint64(GRAM_BITS)).astype(np.int64), places)
+    orders = [mixed(kind + np.uint64(1)), mixed((kind + np.uint64(1)) * spread[2] + hashes[ids]), two, three[~first]]
+    del two, three, before
+    parts, backs = [], []
+    while orders:  # one after another, for the memory
+        part, back = np.unique(orders.pop(0), return_inverse=True)
+        parts.append(((part >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(GRAM_BITS) | part & _GRAM_MASK)
+        backs.append(back.astype(np.int32))
+    distinct, back = np.unique(np.concatenate(parts), return_inverse=True)
+    places = np.full((4, n), -1, dtype=np.int32)
+    at = np.split(back.astype(np.int32), np.cumsum([len(p) for p in parts])[:-1])
+    for row in range(3):
+        places[row] = at[row][backs[row]]
+    places[3, ~first] = at[3][backs[3]]
+    return Grams(distinct & _GRAM_MASK, (distinct >> np.uint64(GRAM_BITS)).astype(np.int64), places)
 
 
 def _pack_grams(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys: the high bytes and the counts are compressed, the low 32 bits are not, as they are random."""
-    high = (keys >> np.uint64(32)).astype(np.uint8).tobytes() + counts.astype("<u4").tobytes()
-    return keys.astype("<u4").tobytes() + zlib.compress(high, 1)
+    """The steps between sorted keys: the high bits and the counts are compressed, the low 24 bits are not, as they are random."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    high = (steps >> np.uint64(24)).astype("<u2").tobytes() + counts.astype("<u4").tobytes()
+    return steps.view(np.uint8).reshape(-1, 8)[:, :3].tobytes() + zlib.compress(high, 1)
 
 
 def _unpack_grams(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    rest = zlib.decompress(data[4 * n :])
-    keys = np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(rest, np.uint8, n).astype(np.uint64) << np.uint64(32)
-    return keys, np.frombuffer(rest, "<u4", n, n)
+    rest = zlib.decompress(data[3 * n :])
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :3] = np.frombuffer(data, np.uint8, 3 * n).reshape(n, 3)
+    steps = steps.view("<u8").ravel() | np.frombuffer(rest, "<u2", n).astype(np.uint64) << np.uint64(24)
+    return np.cumsum(steps, dtype=np.uint64), np.frombuffer(rest, "<u4", n, 2 * n)
 
 
 def blocked(documents: DataFrame, key: str, text: str, held_out: Column) -> tuple[DataFrame, int]:
@@ -443,17 +452,23 @@ def score_occurrences(
     """
     c = counts[words.ids].astype(np.float64)
     before = np.where(grams.places[3] < 0, 0, np.roll(words.ids, 1))
-    by_place = np.where(grams.places >= 0, seen[grams.places], 0).astype(np.float64)
     p = 10.0**spelling
     own = np.maximum(c[training], 1.0)
     but_one = np.maximum(p[training] * (own - 1.0) / own, 2.0**-600)
-    two_before = np.where(grams.places[3] < 0, 0.0, np.roll(by_place[2], 1))
-    contexts = (
-        (c, np.full(len(c), float(total))), (by_place[1], by_place[0]), (by_place[2], counts[before].astype(np.float64)), (by_place[3], two_before),
-    )
+
+    def counted(row: int) -> np.ndarray:
+        return np.where(grams.places[row] >= 0, seen[grams.places[row]], 0).astype(np.float64)
+
+    orders = (
+        lambda: (c, np.full(len(c), float(total))),
+        lambda: (counted(1), counted(0)),
+        lambda: (counted(2), counts[before].astype(np.float64)),
+        lambda: (counted(3), np.where(grams.places[3] < 0, 0.0, np.roll(counted(2), 1))),
+    )
     p = np.maximum(p, 2.0**-600)
     log_p = spelling
-    for hits, context in contexts:
+    for order in orders:
+        hits, context = order()
         # A very long unknown word keeps its logarithm, which may be below the least number.
         mixed_in, but_one = mix_in(p, but_one, hits, context, training)
         log_p = np.where(hits > 0, np.log10(mixed_in), log_p + np.log10(mixed_in / p))
