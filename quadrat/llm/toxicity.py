@@ -5,14 +5,17 @@ words between. FTRL-proximal keeps a learning rate for each coordinate, and its
 at exactly zero, so that the model is a short list of coordinates and weights.
 
 Training rows are dealt by a hash of their id into shards of about ``SHARD_ROWS`` rows; each shard is trained
-by one task and the shards' weights are averaged. At most ``TRAIN_ROWS`` labelled rows (those with the least
-hash) are used, which bounds the work and what is averaged. Scoring reads every whole text once.
+by one task with its share of the L1 term. A learner's state is a quadratic function for each coordinate; those of all shards are
+added up, and the whole L1 term is applied once to the sums, so that a term counts by how often it occurs in all shards together. At most ``TRAIN_ROWS`` labelled
+rows (those with the least hash) are used, which bounds the work and what is added up. Scoring reads every whole text once.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,9 @@ from quadrat.llm.text import WORD_TABLE, append_columns, blobs, hashed_words, mi
 
 BITS = 20
 TRAIN_ROWS = 400_000
-SHARD_ROWS = 8_000
+SHARD_ROWS = 20_000
+_PIECE = 1 << 13
+_UNIT = 2.0**32
 _PAIRS = ((1, 0x8CB92BA72F3D8DD7), (2, 0xC2B2AE3D27D4EB4F), (3, 0x165667B19E3779F9))
 
 
@@ -75,8 +80,11 @@ def feature_sets(texts: list[bytes]) -> list[np.ndarray]:
     return [both[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, settings: Ftrl) -> tuple[np.ndarray, float]:
-    """FTRL-proximal over the rows in the order given; the bias is the last coordinate and has no L1 term."""
+def train(rows: list[np.ndarray], labels: np.ndarray, settings: Ftrl) -> tuple[np.ndarray, np.ndarray]:
+    """FTRL-proximal over the rows in the order given: its linear terms and the roots of its sums of squares.
+
+    The bias is the last coordinate and has no L1 term.
+    """
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     l1 = np.full(size + 1, settings.l1)
@@ -92,8 +100,12 @@ def train(rows: list[np.ndarray], labels: np.ndarray, settings: Ftrl) -> tuple[n
             g = p - y
             z[active] = za + g - (np.sqrt(na + g * g) - root) / a * w
             n[active] = na + g * g
-    weights = -np.sign(z) * np.maximum(np.abs(z) - l1, 0.0) / ((b + np.sqrt(n)) / a + l2)
-    return weights[:size], float(weights[size])
+    return z, np.sqrt(n)
+
+
+def solve(z: np.ndarray, root: np.ndarray, l1: float, settings: Ftrl) -> np.ndarray:
+    """The weights of the linear terms and roots of one learner, or of the sums over several."""
+    return -np.sign(z) * np.maximum(np.abs(z) - l1, 0.0) / ((settings.beta + root) / settings.alpha + settings.l2)
 
 
 def training_labels(labels: DataFrame, label: str, rows: int, folds: int = 5) -> tuple[DataFrame, int]:
@@ -132,34 +144,45 @@ def fit(
     shards = -(-count // SHARD_ROWS)
     rows = documents.select("doc_id", F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
 
-    def fit_shard(table: pa.Table) -> pa.Table:
+    def fit_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
-        for batch in text_slices(table.to_batches(), "text"):
+        labels, hashes = [], []
+        for batch in text_slices(batches, "text"):
             sets += feature_sets(blobs(batch, "text"))
-        labels = table.column("__label").to_numpy()
+            labels += batch.column("__label").to_pylist()
+            hashes += batch.column("__order").to_pylist()
         # Rows in the order of their hashes; equal ids (repeated rows) in the order of their features.
-        keys = zip(table.column("__order").to_pylist(), (s.tobytes() for s in sets))
-        order = [k for k, _ in sorted(enumerate(keys), key=lambda e: e[1])]
-        weights, bias = train([sets[k] for k in order], labels[order], settings)
+        often = Counter(hashes)
+        order = sorted(range(len(sets)), key=lambda k: (hashes[k], sets[k].tobytes() if often[hashes[k]] > 1 else b""))
+        z, root = train([sets[k] for k in order], np.array(labels)[order], replace(settings, l1=settings.l1 / shards))
+        for piece in range(-(-len(z) // _PIECE)):
+            part = slice(piece * _PIECE, (piece + 1) * _PIECE)
+            if root[part].any():
+                both = np.round(np.stack([z[part], root[part]]) * _UNIT).astype("<i8")
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "sums": pa.array([zlib.compress(both.tobytes(), 1)])})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, piece = 0, 0
+        for batch in batches:
+            for piece, packed in zip(batch.column("piece").to_pylist(), batch.column("sums").to_pylist()):
+                total = total + np.frombuffer(zlib.decompress(packed), "<i8").reshape(2, -1)
+        z, root = total / _UNIT
+        start = piece * _PIECE
+        weights = solve(z, root, 0.0 if start == 1 << BITS else settings.l1, settings)  # the bias is a piece of its own
         live = np.flatnonzero(weights)
-        return pa.table(
-            {
-                "coordinate": pa.array([*live.tolist(), -1], pa.int64()),
-                "weight": pa.array([*weights[live].tolist(), bias], pa.float64()),
-            }
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(start + live), pa.array(weights[live])], ["coordinate", "weight"])
 
     fitted = (
         rows.withColumn("shard", F.pmod(F.xxhash64("__order"), F.lit(shards)))
         .groupBy("shard")
-        .applyInArrow(fit_shard, "coordinate long, weight double")
-        .groupBy("coordinate")
-        .agg((F.sum(F.round(F.col("weight") * 2.0**40).cast("long")) / F.lit(2.0**40 * shards)).alias("weight"))
+        .applyInArrow(fit_shard, "piece int, sums binary")
+        .groupBy("piece")
+        .applyInArrow(add, "coordinate long, weight double")
         .toPandas()
         .sort_values("coordinate")
     )
-    bias = float(fitted.loc[fitted.coordinate == -1, "weight"].sum())
-    fitted = fitted[(fitted.coordinate >= 0) & (fitted.weight != 0)]
+    bias = float(fitted.loc[fitted.coordinate == 1 << BITS, "weight"].sum())
+    fitted = fitted[fitted.coordinate < 1 << BITS]
     return Model(fitted.coordinate.to_numpy(np.int64), fitted.weight.to_numpy(), bias)
 
 

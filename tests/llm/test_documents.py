@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql.functions import expr
 
 from quadrat.llm import decontaminate, mixing, sharding, simhash, toxicity
 from quadrat.llm.queries import QUERIES
@@ -260,6 +261,27 @@ def test_toxicity_in_several_shards(spark, monkeypatch):
     assert sum((s >= 0.5) == (k % 4 == 0) for k, s in scored.items()) > 1560
 
 
+def test_toxicity_term_once_in_each_shard(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 40)
+    rng = random.Random(4)
+    docs, labels, terms = [], [], set()
+    for k in range(1600):
+        docs.append((k, " ".join(rng.choices([f"word{j}" for j in range(30)], k=12))))
+        labels.append((k, int(k % 2 == 0)))
+    known, count = toxicity.training_labels(spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic", 10_000)
+    shards = -(-count // 40)
+    placed = known.select("doc_id", "__label", expr(f"pmod(xxhash64(__order), {shards})").alias("shard")).collect()
+    for r in sorted(placed, key=lambda r: r.doc_id):
+        if r["__label"] == 1 and r.shard not in terms:
+            terms.add(r.shard)
+            docs[r.doc_id] = (r.doc_id, docs[r.doc_id][1] + " vile")
+    assert len(terms) > 20
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    (vile,) = toxicity.feature_sets([b"vile"])
+    weights = dict(zip(model.coordinates.tolist(), model.weights.tolist()))
+    assert weights.get(int(vile[0]), 0.0) > 0.5
+
+
 def test_toxicity_odd_rows(spark, odd):
     _, labels = toxic_corpus(spark)
     labels = labels.unionByName(spark.createDataFrame([(None, 1), (4, None), (4, 1), (1, 0)], labels.schema))
