@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrat.llm import chat, context_mixing, decontaminate, embeddings, mixing, quality, sharding, simhash, toxicity, warc
+from quadrat.llm import (
+    chat,
+    context_mixing,
+    decontaminate,
+    embeddings,
+    mixing,
+    quality,
+    resampling,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, tuple] = {}
 
@@ -165,3 +179,72 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = quality.fit(documents, labels)
     return _predictions(quality.score(documents.select("doc_id", "text"), model), 0.3)
+
+
+# CRC-32 is taken bit by bit, once for each distinct word; the least bit of a byte comes first.
+_RESAMPLING_SQL = f"""
+WITH docs AS (SELECT doc_id, {_WORD_LIST} AS w FROM documents),
+doc_words AS (SELECT doc_id, unnest(w) AS word FROM docs),
+doc_counts AS (SELECT word, count(*) AS n FROM doc_words GROUP BY 1),
+target_counts AS (SELECT word, count(*) AS n FROM (SELECT unnest({_WORD_LIST}) AS word FROM benchmark) u GROUP BY 1),
+words AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM doc_counts UNION SELECT word FROM target_counts) u),
+bits AS (
+  SELECT word, list_transform(range(4 * length(h)), lambda k: CAST(
+    (CAST('0x' || substr(h, CAST(k // 8 * 2 + 1 AS INT), 2) AS INT) >> CAST(k % 8 AS INT)) & 1 AS BIGINT)) AS b
+  FROM words
+),
+buckets AS (
+  SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+    lambda c, bit: xor(c >> 1, 3988292384 * (xor(c, bit) & 1))), 4294967295) % 10000 AS bucket
+  FROM bits
+),
+s AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS n FROM doc_counts JOIN buckets USING (word) GROUP BY 1),
+t AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS n FROM target_counts JOIN buckets USING (word) GROUP BY 1),
+sums AS (SELECT CAST((SELECT coalesce(sum(n), 0) FROM s) AS DOUBLE) AS s, CAST((SELECT coalesce(sum(n), 0) FROM t) AS DOUBLE) AS t),
+gains AS (
+  SELECT b.bucket, CAST(floor(1000.0 * ln(((coalesce(t.n, 0) + 1.0::DOUBLE) * (sums.s + 10000.0::DOUBLE))
+    / ((coalesce(s.n, 0) + 1.0::DOUBLE) * (sums.t + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM buckets) b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket) CROSS JOIN sums
+),
+by_word AS (SELECT word, gain FROM buckets JOIN gains USING (bucket)),
+summed AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS total FROM doc_words JOIN by_word USING (word) GROUP BY 1),
+weighed AS (
+  SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_features,
+    CAST(CASE WHEN len(d.w) = 0 THEN 0
+      ELSE (m.total - ((m.total % len(d.w)) + len(d.w)) % len(d.w)) // len(d.w) END AS BIGINT) AS weight
+  FROM docs d LEFT JOIN summed m USING (doc_id)
+),
+scored AS (
+  SELECT *, weight + CAST(floor(-1000.0 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+    / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM weighed
+),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+
+@query("op12_importance_resampling", _RESAMPLING_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    scored = resampling.score_documents(documents.select("doc_id", "text"), benchmark).drop("text")
+    return resampling.rank_documents(scored).select(
+        "doc_id",
+        F.col("__features").alias("n_features"),
+        F.col("__weight").alias("weight"),
+        F.col("__score").alias("score"),
+        F.col("__rank").alias("rank"),
+    )
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(documents, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select(
+        "doc_id",
+        F.col("__bytes").alias("n_bytes"),
+        F.col("__tokens").alias("n_tokens"),
+        (F.col("__tokens") > 1024).alias("over_limit"),
+    )
