@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quadrat.llm import (
     chat,
     context_mixing,
+    conversation_repair,
     decontaminate,
     embeddings,
     mixing,
@@ -181,6 +182,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(quality.score(documents.select("doc_id", "text"), model), 0.3)
 
 
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Conversations with one turn in four damaged, as a CRC-32 of conversation and turn says: dropped, emptied, cut of its full stops, repeated, or given to the user."""
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    case = F.crc32(name) % 20
+    text = F.coalesce("text", F.lit(" "))
+    rows = turns.where(case != 0).select(
+        "conv_id",
+        "turn",
+        F.when(case == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(case == 1, "").when(case == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(case == 3, 2).otherwise(1))).alias("copy"),
+    )
+    return rows.drop("copy")
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations")
+    return conversation_repair.report(turns, conversation_repair.repair(damaged_turns(turns)))
+
+
 # CRC-32 is taken bit by bit, once for each distinct word; the least bit of a byte comes first.
 _RESAMPLING_SQL = f"""
 WITH docs AS (SELECT doc_id, {_WORD_LIST} AS w FROM documents),

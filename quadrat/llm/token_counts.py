@@ -4,13 +4,14 @@ A text is cut at the vocabulary's special strings, which count one token each, a
 pre-tokenizer. A piece starts as one symbol for each UTF-8 byte, linked to its neighbours. A heap holds every adjacent pair that has a merge; the pair
 of the lowest rank, of equals the leftmost, is popped again and again, and joined if it still stands. The number of tokens
 of a piece is its bytes less its merges; no list of token numbers is made. A piece of n bytes takes n log n steps, so a text without any white space is no
-special case. Words and pieces counted before are remembered by each task, up to ``REMEMBERED`` of each.
+special case. Words and pieces counted before are remembered by each Python worker, up to ``REMEMBERED`` of each.
 
 The vocabulary file is read by the driver and broadcast; its size (a few MB) is the bound on what is sent. Texts are not moved: counting is one scan.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,6 +47,7 @@ class Vocabulary:
     start: list[int]
     merges: dict[int, int]
     special: list[str]
+    digest: str = ""
     of_bytes: dict[tuple[int, int], int] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -61,8 +64,9 @@ def _byte_letters() -> list[str]:
 
 def read_vocabulary(path: str) -> Vocabulary:
     """Read a ``tokenizers`` file of a byte-level byte-pair model; a file with any other step is refused."""
-    with open(path, encoding="utf-8") as file:
-        content = json.load(file)
+    with open(path, "rb") as file:
+        data = file.read()
+    content = json.loads(data)
     model, split = content["model"], content.get("pre_tokenizer") or {}
     plain = (
         model.get("type") == "BPE"
@@ -82,7 +86,7 @@ def read_vocabulary(path: str) -> Vocabulary:
     for rank, pair in enumerate(model["merges"]):
         left, right = pair.split(" ") if isinstance(pair, str) else pair
         merges[numbers[left] << _BITS | numbers[right]] = rank << _BITS | numbers[left + right]
-    return Vocabulary([numbers[c] for c in _byte_letters()], merges, sorted((t["content"] for t in added), key=len, reverse=True))
+    return Vocabulary([numbers[c] for c in _byte_letters()], merges, sorted((t["content"] for t in added), key=len, reverse=True), hashlib.sha256(data).hexdigest())
 
 
 def count_merged(data: bytes, vocabulary: Vocabulary) -> int:
@@ -192,6 +196,17 @@ class TokenCounter:
         return len(parts) - 1 + sum(map(self._count_part, parts))
 
 
+_counters: dict[str, TokenCounter] = {}
+
+
+def _counter(digest: str, shared: Broadcast) -> TokenCounter:
+    """The counter of a Python worker, which keeps what it remembers from task to task; one vocabulary at a time."""
+    if digest not in _counters:
+        _counters.clear()
+        _counters[digest] = TokenCounter(shared.value)
+    return _counters[digest]
+
+
 def count_tokens(documents: DataFrame, vocabulary_path: str, text: str = "text", tokens: str = "__tokens", size: str = "__bytes") -> DataFrame:
     """``documents`` with the UTF-8 bytes and the tokens of each whole text as two more columns of long numbers.
 
@@ -202,10 +217,12 @@ def count_tokens(documents: DataFrame, vocabulary_path: str, text: str = "text",
     taken = {c.lower() for c in documents.columns}
     if {tokens.lower(), size.lower()} & taken or tokens.lower() == size.lower():
         raise ValueError(f"The columns {size!r} and {tokens!r} must be new and different.")
-    shared = documents.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    vocabulary = read_vocabulary(vocabulary_path)
+    digest = vocabulary.digest
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(shared.value)
+        counter = _counter(digest, shared)
         for batch in text_slices(batches, text):
             column = batch.column(text).cast(pa.binary())
             n = [counter.count(t.decode("utf-8", "replace")) if t else 0 for t in (v.as_py() for v in column)]
