@@ -20,7 +20,7 @@ from quadrat.operators.staging import stage
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-_SCALE = 1 << 20
+_SCALE = 1 << 32
 _BUCKETS = 4096
 _STEPS = 100
 
@@ -70,8 +70,8 @@ def _rate(tilt: Column, cap: int) -> Column:
 def solve_tilts(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
     """(source, source_size, target, docs, tilt): Newton steps on the dual, kept inside a bracket that halves otherwise.
 
-    A source is settled when its expected words are within one part in 10^5 of the target, or half a word. Raises
-    if a source is not settled after 100 steps.
+    A source is settled when its expected words are within one part in 10^5 of the target, half a word, or what one step of the rates
+    changes. From then on, and after ``_STEPS`` steps at the latest, its tilt stays; ``round_copies`` takes in what is left of the gap.
     """
     docs = sizes.groupBy("source").agg(F.sum("n").alias("docs"))
     state = stage(
@@ -86,7 +86,7 @@ def solve_tilts(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFra
             state.where(~F.col("done")), sizes["source"].eqNullSafe(state["source"])
         ).select(state["source"].alias("source"), "size", "n", "docs", "source_size", "tilt")
         rate = _rate(F.col("tilt"), cap).cast("long")
-        slope = F.round(rate * (1 - rate / (cap * _SCALE)) * z).cast("long")
+        slope = F.round(rate * (1 - rate / (cap * _SCALE)) * z).cast("decimal(38,0)")
         sums = joined.groupBy("source").agg(
             (F.sum((F.col("size") * F.col("n")).cast("decimal(38,0)") * rate) / _SCALE).cast("double").alias("words"),
             (F.sum((F.col("size") * F.col("n")).cast("decimal(38,0)") * slope) / _SCALE).cast("double").alias("slope"),
@@ -96,7 +96,7 @@ def solve_tilts(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFra
         high = F.when(gap < 0, F.col("tilt")).otherwise(F.col("high"))
         step = F.col("tilt") + gap / F.greatest(F.col("slope"), F.lit(1e-9))
         inside = (step > low) & (step < high)
-        near = F.abs(gap) <= F.greatest(F.col("target") * 1e-5, F.lit(0.5))
+        near = F.abs(gap) <= F.greatest(F.col("target") * 1e-5, F.lit(0.5), F.col("source_size") / _SCALE)
         s = sums.select(F.col("source").alias("__s"), "words", "slope")
         moved = state.join(s, state["source"].eqNullSafe(s["__s"]), "left").select(
             "source",
@@ -110,21 +110,24 @@ def solve_tilts(sizes: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFra
         )
         state = stage(moved, "tilts")
         if state.where(~F.col("done")).isEmpty():
-            return state.select("source", "source_size", "target", "docs", "tilt")
-    raise RuntimeError(f"No mixing rates within {_STEPS} Newton steps.")
+            break
+    return state.select("source", "source_size", "target", "docs", "tilt")
 
 
 def round_copies(cells: DataFrame, cap: int = CAP) -> DataFrame:
     """(source, size, base, extra): copies of every document of a cell, and how many of them get one more.
 
-    ``cells`` has source, size, n and rate; one task walks the distinct sizes of a source.
+    ``cells`` has source, size, n, rate and the source's target; one task walks the distinct sizes of a source. What the rates leave of the target
+    is shared out like the words that rounding leaves.
     """
 
     def walk(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending")])
-        carry, base, extra = 0.0, [], []
-        for size, n, rate in zip(*(table.column(c).to_pylist() for c in ("size", "n", "rate"))):
-            wanted = carry + size * n * rate / _SCALE
+        cells = list(zip(*(table.column(c).to_pylist() for c in ("size", "n", "rate"))))
+        carry = table.column("target")[0].as_py() - sum(size * n * int(rate) for size, n, rate in cells) / _SCALE
+        base, extra = [], []
+        for size, n, rate in cells:
+            wanted = carry + size * n * int(rate) / _SCALE
             copies = min(max(round(wanted / size), 0), cap * n) if size else 0
             carry = wanted - copies * size
             base.append(copies // n)
@@ -171,7 +174,7 @@ def mix(
     cells = sizes.join(tilts.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).withColumn(
         "rate", _rate(F.col("tilt"), CAP)
     )
-    rounded = round_copies(cells.select("source", "size", "n", "rate"))
+    rounded = round_copies(cells.select("source", "size", "n", "rate", "target"))
     t = tilts.select(F.col("source").alias("__t"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     cell = stage(
         rounded.join(t, F.col("source").eqNullSafe(F.col("__t"))).select(

@@ -292,3 +292,33 @@ def test_toxicity_odd_rows(spark, odd):
     assert toxicity.keep_clean(odd.limit(0), labels).count() == 0
     empty = toxicity.fit(odd, labels.limit(0))
     assert {r["__p"] for r in toxicity.score(odd, empty, name="__p").collect()} == {0.5}
+
+
+def sized(spark, rows):
+    """rows: (source, words of a document, documents)"""
+    table = spark.createDataFrame(rows, "source string, words long, n long")
+    table = table.selectExpr("source", "repeat('w ', int(words)) AS text", "explode(sequence(1L, n)) AS k")
+    return table.selectExpr("source", "text", "xxhash64(source, text, k) AS doc_id")
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [("big", 1024, 20_000), *[(f"s{k:03}", 40 + k % 7, 3) for k in range(400)]],  # one size, a low rate
+        [("big", 512, 3_000), *[(f"s{k:04}", 5, 1) for k in range(1_000)]],  # many sources
+        [("a", 9, 1)],
+        [("a", 1, 5_000), ("a", 90_000, 1), ("b", 0, 10), (None, 3, 2)],
+    ],
+)
+def test_mixing_settles_on_every_input(spark, rows):
+    got = mixing.mix(sized(spark, rows)).groupBy("source").agg(
+        expr("sum(__size * __copies) AS taken"), expr("first(__target) AS target"), expr("max(__size) AS longest"), expr("max(__copies) AS most")
+    )
+    sizes = {}
+    for source, words, n in rows:
+        sizes[source] = sizes.get(source, 0) + words * n
+    want = brute.targets(sizes)
+    for row in got.collect():
+        assert row.target == pytest.approx(want[row.source])
+        assert abs(row.taken - row.target) <= row.longest / 2 + 1e-6 * row.target + 1
+        assert row.most <= 2
