@@ -15,7 +15,8 @@ Learning from the training documents takes three steps over all of them:
 1. Documents are dealt into blocks of about ``BLOCK_BYTES`` by a hash of the id. A block's distinct words and its counts of (word, class)
    are packed by bucket of the word's hash, and each bucket adds up the counts of all blocks. This gives exact word counts, which go back
    to the blocks that hold the words, and the counts of all distinct pairs. Grams (a word with its class, the word before, or the two words
-   before) go the same way as ``GRAM_BITS`` bits of their hash within a bucket; there are as many buckets as blocks, so this table grows with the texts.
+   before) go the same way as ``GRAM_BITS`` bits of their hash within a bucket; there is a bucket for every ``BLOCKS_PER_BUCKET`` blocks, so this table grows
+   with the texts.
 2. Contexts are counted bit by bit over the distinct pairs; tables of trainers are added up in pieces.
 3. Each trainer goes through its pairs in small batches and moves the weights online after each one, always predicting with the pair's own last
    occurrence taken out of the slots; weights are averaged over the trainers and refinement tables added up.
@@ -38,7 +39,10 @@ from pyspark.sql import functions as F
 from quadrat.llm.text import blobs, mixed, prefix_hashes
 from quadrat.operators.staging import stage
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Blocks for each bucket of words and grams; a bucket's grams are added up range by range of their keys.
+BLOCKS_PER_BUCKET = 8
+_RANGES = 16
 CLASSES = 32
 #: Slots of each context, as powers of two; the last two contexts are the word so far, without and with the class.
 TABLE_BITS = (16, 18, 20, 20, 22, 22)
@@ -163,7 +167,7 @@ def gather_grams(words: Numbered, buckets: int) -> Grams:
 def _pack_grams(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """The steps between sorted keys: the high bits and the counts are compressed, the low 24 bits are not, as they are random."""
     steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    high = (steps >> np.uint64(24)).astype("<u2").tobytes() + counts.astype("<u4").tobytes()
+    high = (steps >> np.uint64(24)).astype("<u2").tobytes() + counts.astype("<u4").tobytes()  # a block has fewer words than 2^32
     return steps.view(np.uint8).reshape(-1, 8)[:, :3].tobytes() + zlib.compress(high, 1)
 
 
@@ -175,6 +179,23 @@ def _unpack_grams(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64), np.frombuffer(rest, "<u4", n, 2 * n)
 
 
+def _add_grams(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For sorted keys and their counts of several blocks, the counts of all blocks at each block's keys; one range of keys after another."""
+    edges = np.arange(1, _RANGES, dtype=np.uint64) * np.uint64((1 << GRAM_BITS) // _RANGES)
+    cuts = [np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]) for keys, _ in parts]
+    out = [np.empty(len(keys), "<i8") for keys, _ in parts]
+    for r in range(_RANGES):
+        own = [slice(c[r], c[r + 1]) for c in cuts]
+        keys, back = np.unique(np.concatenate([k[s] for (k, _), s in zip(parts, own)]), return_inverse=True)
+        total = np.zeros(len(keys), dtype=np.int64)
+        np.add.at(total, back, np.concatenate([c[s] for (_, c), s in zip(parts, own)]).astype(np.int64))
+        start = 0
+        for row, s in zip(out, own):
+            row[s] = total[back[start : start + s.stop - s.start]]
+            start += s.stop - s.start
+    return out
+
+
 def blocked(documents: DataFrame, key: str, text: str, held_out: Column) -> tuple[DataFrame, int]:
     """(block, key, text, held_out) and the number of blocks, which follows the bytes of the texts."""
     size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -240,10 +261,7 @@ def count_words(blocks: DataFrame, buckets: int) -> DataFrame:
         np.add.at(total, pair // CLASSES, n)
         bucket = table.column("bucket")[0].as_py()
         sizes = table.column("size").to_pylist()
-        parts = [_unpack_grams(g.as_py(), k) for g, k in zip(table.column("grams"), sizes)]
-        keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        often = np.bincount(back, np.concatenate([c for _, c in parts]), len(keys)).astype("<u4")
-        grams = [zlib.compress(often[part].tobytes(), 1) for part in np.split(back, np.cumsum(sizes)[:-1])]
+        grams = [zlib.compress(n.tobytes(), 1) for n in _add_grams([_unpack_grams(g.as_py(), k) for g, k in zip(table.column("grams"), sizes)])]
         rows = [
             (block, bucket, tokens, _ints(total[ids]), None, None, None, size, own)
             for block, tokens, ids, size, own in zip(
@@ -307,7 +325,7 @@ def spell(tokens: list[bytes], classes: np.ndarray) -> Spelled:
 
 def count_bits(spelled: Spelled, counts: np.ndarray, tables: list[np.ndarray]) -> None:
     """Add the words' bits, ``counts`` times each, to the (2, slots) tables."""
-    weight = np.repeat(counts[spelled.owner].astype(np.float32), 8)
+    weight = np.repeat(counts[spelled.owner].astype(np.float64), 8)
     bits = spelled.bits.ravel().astype(np.int64)
     for table, slots in zip(tables, spelled.slots):
         np.add.at(table.reshape(-1), bits * table.shape[1] + slots.ravel(), weight)
@@ -498,14 +516,14 @@ def learn(words: DataFrame) -> Model:
     trainers = max(6, -(-distinct // TRAINER_PAIRS))
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros((2, 1 << b), dtype=np.float32) for b in TABLE_BITS]
+        counts = [np.zeros((2, 1 << b)) for b in TABLE_BITS]
         for tokens, classes, n in _batches_of_pairs(batches):
             count_bits(spell(tokens, classes), n, counts)
         for k, table in enumerate(counts):
             for piece in range(table.shape[1] // _PIECE):
                 part = table[:, piece * _PIECE : (piece + 1) * _PIECE]
                 if part.any():
-                    packed = zlib.compress(part.tobytes(), 1)
+                    packed = zlib.compress(np.ascontiguousarray(part).tobytes(), 1)
                     yield pa.RecordBatch.from_pydict(
                         {"context": pa.array([k], pa.int32()), "piece": pa.array([piece], pa.int32()), "slots": pa.array([packed])}
                     )
@@ -513,7 +531,7 @@ def learn(words: DataFrame) -> Model:
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros((2, _PIECE))
         for packed in table.column("slots").to_pylist():
-            total += np.frombuffer(zlib.decompress(packed), np.float32).reshape(2, -1)
+            total += np.frombuffer(zlib.decompress(packed)).reshape(2, -1)
         slots = encode_counts(*total)
         return table.slice(0, 1).set_column(2, "slots", pa.array([zlib.compress(slots.tobytes(), 1)], pa.binary()))
 
@@ -561,7 +579,8 @@ def score_texts(
     """
     spark = documents.sparkSession
     blocks, count = blocked(documents, key, text, F.coalesce(held_out, F.lit(False)))
-    words = count_words(blocks, count)
+    buckets = -(-count // BLOCKS_PER_BUCKET)
+    words = count_words(blocks, buckets)
     total, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     shared = spark.sparkContext.broadcast(learn(words))
     types = documents.schema[key].dataType.simpleString()
@@ -583,8 +602,8 @@ def score_texts(
         n_docs, owner = len(texts), numbered.owners
         base = np.log10((c + 1.0) / (total + distinct + 1.0))
         training = ~texts_table.column("held_out").to_numpy()[owner]
-        often = np.concatenate([np.frombuffer(zlib.decompress(seen[b]), "<u4") for b in sorted(seen)])
-        by_word = score_occurrences(numbered, by_pair[back], c, total, gather_grams(numbered, count), often, training)
+        often = np.concatenate([np.frombuffer(zlib.decompress(seen[b]), "<i8") for b in sorted(seen)])
+        by_word = score_occurrences(numbered, by_pair[back], c, total, gather_grams(numbered, buckets), often, training)
         scores = np.bincount(owner, by_word, n_docs) - np.log10(CLASSES)
         sizes = np.bincount(owner, np.array([len(t) + 1.0 for t in numbered.tokens])[numbered.ids], n_docs)
         return pa.table(
