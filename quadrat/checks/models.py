@@ -231,7 +231,7 @@ def _(spark, sf):
         "embedding",
     )
     points = base.drop("embedding")
-    joined = features.join_features(points, base.withColumnRenamed("embedding", "features"))
+    joined = features.join_features(points, features.store_features(base.withColumnRenamed("embedding", "features")))
     return tidy(
         joined.select(
             "bucket",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import keys
 from quadrat.functions.numbers import cosine, max_abs_difference
+from quadrat.operators.prepare import PHYSICAL_KEY
 from quadrat.operators.ranking import exact_percentile
-from quadrat.operators.staging import stage
+from quadrat.operators.staging import new_folder, own_table, stage
 
 logger = logging.getLogger(__name__)
 
@@ -125,9 +127,37 @@ def extraction_work(
     )
 
 
+def require_one_vector(features: DataFrame) -> None:
+    """Raise if a point has more than one feature vector. Only keys are read, and a table of ``store_features`` is not shuffled."""
+    twice = features.groupBy(*PHYSICAL_KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).limit(3).collect()
+    if twice:
+        raise ValueError(f"More than one feature vector for {[tuple(r)[:-1] for r in twice]}.")
+
+
+def store_features(features: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Write feature vectors once, in files by point key, for any number of later ``join_features``.
+
+    The table is bucketed and sorted by (bucket, feature path, row, col), one file for each bucket, so a join moves the points alone: a vector
+    is some kilobytes, a point some dozen bytes. By default there are as many buckets as shuffle partitions; with fewer, the join would shuffle the vectors. Points of
+    a large image are spread over the buckets. A point with two vectors is an error.
+    """
+    spark = features.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"features_{uuid.uuid4().hex}"
+    writer = features.repartition(buckets, *PHYSICAL_KEY).write.format("parquet").bucketBy(buckets, *PHYSICAL_KEY).sortBy(*PHYSICAL_KEY)
+    writer.option("path", new_folder(spark, "features")).saveAsTable(name)
+    own_table(spark, name)
+    stored = spark.table(name)
+    require_one_vector(stored)
+    return stored
+
+
 def join_features(points: DataFrame, features: DataFrame) -> DataFrame:
-    """Labelled points with their feature vector, by (bucket, feature path, row, col)."""
-    return points.join(features, ["bucket", "feature_vector", "row", "col"])
+    """Labelled points with their feature vector, by (bucket, feature path, row, col); points without one drop.
+
+    ``features`` must have one vector for each key (``require_one_vector``), so a point is kept once. From a table of ``store_features`` no vector moves.
+    """
+    return points.join(features, PHYSICAL_KEY)
 
 
 def drift_rows(a: DataFrame, b: DataFrame, key: Sequence[str], column: str = "features") -> DataFrame:

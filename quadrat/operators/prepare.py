@@ -11,6 +11,7 @@ from quadrat.functions.keys import NO_FORM
 
 CLASS = ["attribute_id", "form_id"]
 POINT_KEY = ["site", "project_id", "image_id", "row", "col"]
+PHYSICAL_KEY = ["bucket", "feature_vector", "row", "col"]
 
 
 # --- counts -----------------------------------------------------------------------------------

@@ -24,7 +24,7 @@ from quadrat.evaluation.probability import encode_labels, require_known_labels
 from quadrat.functions.keys import source_key
 from quadrat.functions.numbers import half_even
 from quadrat.operators import scoring
-from quadrat.operators.features import join_features
+from quadrat.operators.features import join_features, require_one_vector
 from quadrat.operators.staging import pin, stage
 
 logger = logging.getLogger(__name__)
@@ -271,6 +271,7 @@ def evaluate_head(
     ``features`` the key and ``features``. The scored rows are written once, as every group reads them.
     """
     key = ["bucket", "feature_vector", "row", "col"]
+    require_one_vector(features)
     joined = join_features(points, features)
     scoring.warn_on_drift(scored := stage(scoring.score(joined, head), "scored"))
     require_known_labels(scored, classes)
