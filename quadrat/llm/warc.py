@@ -1,8 +1,9 @@
 """WARC archives of pages: a writer and a sequential reader.
 
 Every record is a gzip member of its own. The writer runs in the tasks that hold the pages and starts a new archive beyond
-``ARCHIVE_BYTES``; the archives go to the shared folder through pyarrow's file systems. Archives of attempts that failed are
-never read, as only the paths that a successful task returned are kept in the written list of archives.
+``ARCHIVE_BYTES``; the archives go to the shared folder through pyarrow's file systems, which know ``file``, ``hdfs``, ``gs``, ``abfs`` and ``s3``; ``s3a`` and
+``s3n`` are taken as ``s3``. Archives of attempts that failed are never read, as only the paths that a successful task returned are kept in the written list
+of archives. A record's id comes from its archive and its place there, so no two are alike, whatever the keys of the pages.
 
 The reader walks an archive from front to back: blocks of ``READ_BYTES`` are inflated step by step, a record ends where its member
 ends, its block is framed by Content-Length, and block and payload digests are verified. It holds one record at a time.
@@ -30,6 +31,8 @@ ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 256 << 10
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of archives for each reading task, unless there are few archives.
+TASK_BYTES = 256 << 20
 _END = b"\r\n\r\n"
 _SAFE = "".join(chr(c) for c in range(33, 127) if chr(c) != "%")
 
@@ -38,8 +41,18 @@ class WarcError(ValueError):
     """An archive that does not hold what its records say."""
 
 
-def mark_revisits(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = LEAST_BYTES) -> DataFrame:
-    """The pages with ``__digest``, ``__bytes``, ``__type`` and ``__refers_to``.
+def open_store(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system of a folder and the folder's path there. Spark's names of the S3 schemes mean the same store."""
+    scheme, colon, rest = folder.partition("://")
+    if colon and scheme in ("s3a", "s3n"):
+        folder = f"s3://{rest}"
+    return fs.FileSystem.from_uri(folder)
+
+
+def mark_revisits(
+    pages: DataFrame, key: str = "page_id", html: str = "html", least: int = LEAST_BYTES, url: str | None = None
+) -> DataFrame:
+    """The pages with ``__digest``, ``__bytes``, ``__type``, ``__refers_to`` and, NULL where ``url`` is not given, ``__refers_to_url``.
 
     Of pages with equal payloads of at least ``least`` bytes, the one with the smallest key is the response and the others
     revisit it; rows that repeat the smallest key are responses too. NULL html is an empty payload; a NULL key counts as the largest.
@@ -51,7 +64,11 @@ def mark_revisits(pages: DataFrame, key: str = "page_id", html: str = "html", le
     firsts = (
         marked.where(F.col("__bytes") >= least)
         .groupBy(F.col("__digest").alias("__d"))
-        .agg(F.min(key).alias("__first"), F.count("*").alias("__n"))
+        .agg(
+            F.min(key).alias("__first"),
+            (F.min_by(url, key) if url else F.lit(None).cast("string")).alias("__first_url"),
+            F.count("*").alias("__n"),
+        )
         .where(F.col("__n") > 1)
         .drop("__n")
     )
@@ -61,26 +78,31 @@ def mark_revisits(pages: DataFrame, key: str = "page_id", html: str = "html", le
         {
             "__type": F.when(repeat, "revisit").otherwise("response"),
             "__refers_to": F.when(repeat, F.col("__first")),
+            "__refers_to_url": F.when(repeat, F.col("__first_url")),
         }
-    ).drop("__d", "__first")
+    ).drop("__d", "__first", "__first_url")
 
 
-def record_id(key) -> str:
-    return f"<{uuid.uuid5(uuid.NAMESPACE_OID, f'page {key}').urn}>"
+def record_id(archive: str, place: int) -> str:
+    return f"<{uuid.uuid5(uuid.NAMESPACE_OID, f'{archive} {place}').urn}>"
 
 
-def format_record(key, url: str | None, payload: bytes, size: int, digest: str, kind: str, refers_to) -> bytes:
-    """One record as a gzip member. A revisit keeps the HTTP head and leaves the payload out."""
+def format_record(
+    name: str, key, url: str | None, payload: bytes, size: int, digest: str, kind: str, refers_to, refers_to_url: str | None = None
+) -> bytes:
+    """One record, of the id ``name``, as a gzip member. A revisit keeps the HTTP head and leaves the payload out."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     if kind == "response":
         block += payload
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {quote(url, safe=_SAFE)}")
     if key is not None:
         lines.append(f"X-Page-Key: {key}")
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Key: {refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Key: {refers_to}"]
+        if refers_to_url is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {quote(refers_to_url, safe=_SAFE)}")
     lines += [
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
@@ -93,16 +115,18 @@ def format_record(key, url: str | None, payload: bytes, size: int, digest: str,
 
 def _writer(folder: str, key: str, url: str, html: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
-        out, path, written = None, "", 0
+        store, root = open_store(folder)
+        out, path, written, place = None, "", 0, 0
         for batch in text_slices(batches, html):
-            columns = [batch.column(c).to_pylist() for c in (key, url, html, "__bytes", "__digest", "__type", "__refers_to")]
-            for k, u, page, size, digest, kind, first in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in (key, url, html, "__bytes", "__digest", "__type", "__refers_to", "__refers_to_url")]
+            for k, u, page, size, digest, kind, first, first_url in zip(*columns):
                 if out is None:
-                    path, written = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
+                    path, written, place = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(path, compression=None)
-                member = format_record(k, u, (page or "").encode(), size, digest, kind, first)
+                name = record_id(path, place)
+                member = format_record(name, k, u, (page or "").encode(), size, digest, kind, first, first_url)
                 out.write(member)
+                place += 1
                 written += len(member)
                 if written >= ARCHIVE_BYTES:
                     out.close()
@@ -123,9 +147,9 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     """Write the pages as archives; returns the written list of their (path, size). No pages give no archives."""
     spark = pages.sparkSession
     folder = f"{staging_root(spark)}/warc-{uuid.uuid4().hex}"
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = open_store(folder)
     store.create_dir(root)
-    marked = mark_revisits(pages.select(key, url, html), key, html)
+    marked = mark_revisits(pages.select(key, url, html), key, html, url=url)
     archives = stage(marked.mapInArrow(_writer(folder, key, url, html), "path string, size long"), "archives")
     return archives.withColumn("folder", F.lit(folder))
 
@@ -217,7 +241,7 @@ def read_records(stream, keep: bool = True, size: int = READ_BYTES) -> Iterator[
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """(page_key, url, payload_bytes, payload_digest, record_type, refers_to, payload) of each record of the archives.
 
-    Archives are dealt to the tasks by path. Keys are strings, as the archive has them; sizes and digests are those of the full payload,
+    Archives are dealt evenly to as many tasks as there are archives, or one for every ``TASK_BYTES`` where that is enough for all cores. Keys are strings, as the archive has them; sizes and digests are those of the full payload,
     which a revisit names. Raises ``WarcError`` where a record does not match its length or digests.
     """
     schema = (
@@ -230,7 +254,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for folder, path in zip(batch.column("folder").to_pylist(), batch.column("path").to_pylist()):
-                store, _ = fs.FileSystem.from_uri(folder)
+                store, _ = open_store(folder)
                 rows, held = [], 0
                 with store.open_input_stream(path, compression=None) as stream:
                     for record in read_records(stream, payloads):
@@ -257,4 +281,10 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return archives.repartition("path").mapInArrow(run, schema)
+    return archives.repartitionByRange(reading_tasks(archives), "path").mapInArrow(run, schema)
+
+
+def reading_tasks(archives: DataFrame) -> int:
+    count, size = archives.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    cores = archives.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(count, max(4 * cores, size // TASK_BYTES)))

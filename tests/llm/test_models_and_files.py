@@ -319,11 +319,35 @@ def test_warc_round_trip(spark):
         data = f.read()
     text = gzip.decompress(data)
     assert text.count(b"WARC/1.1\r\n") >= 1 and text.endswith(b"\r\n\r\n")
+    ids = []
+    for archive in archives.collect():
+        with open(archive.path, "rb") as f:
+            ids += [r.headers["warc-record-id"] for r in warc.read_records(f)]
+    assert len(ids) == len(set(ids)) == len(rows)  # also of rows with one key, or none
+
+
+def test_warc_many_archives_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 1_000)
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(string(id), 256), 40) AS html").repartition(25)
+    archives = warc.write_archives(pages)
+    count = archives.count()
+    read = warc.read_archives(archives, payloads=False)
+    tasks = read.selectExpr("spark_partition_id() AS p").distinct().count()
+    assert count > 8 and tasks > count // 2
+    assert read.count() == 400
+
+
+def test_warc_folders_of_spark_schemes(monkeypatch):
+    seen = []
+    monkeypatch.setattr(warc, "fs", type("S", (), {"FileSystem": type("F", (), {"from_uri": staticmethod(seen.append)})}))
+    for folder in ("s3a://b/a", "s3n://b/a", "s3://b/a", "hdfs://h/a", "/tmp/a", "file:/tmp/a"):
+        warc.open_store(folder)
+    assert seen == ["s3://b/a", "s3://b/a", "s3://b/a", "hdfs://h/a", "/tmp/a", "file:/tmp/a"]
 
 
 def member(payload=b"hello there", **changes):
     digest = hashlib.sha256(payload).hexdigest()
-    data = gzip.decompress(warc.format_record(1, "u", payload, len(payload), digest, "response", None))
+    data = gzip.decompress(warc.format_record("<urn:x>", 1, "u", payload, len(payload), digest, "response", None))
     for old, new in changes.values():
         assert old in data
         data = data.replace(old, new, 1)
