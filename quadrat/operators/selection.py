@@ -1,0 +1,89 @@
+"""The k-th smallest key of every group at once, by counting between probes.
+
+Ranking the rows of a group to keep its first k sorts and moves all of them. Here only a small table of groups changes: each round draws some keys of the
+group's open interval as probes, counts the rows between and at the probes in one map-side combined pass, and goes on in the part that holds the wanted rank. The
+interval of every group shrinks about ``PROBES``-fold a round, so groups of a billion rows take about eight passes over the key columns. In the last one the
+interval is a few hundred keys at most, which are sorted. No row is written, sorted or moved; rows are then compared with their group's boundary where they
+are read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quadrat.operators.staging import stage
+
+PROBES = 16
+
+
+def order_key(order: Sequence[str | Column]) -> Column:
+    """The order columns as one value; structs compare field by field, NULLs first."""
+    return F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order)])
+
+
+def boundaries(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], wanted: DataFrame) -> DataFrame:
+    """(by, bound, ties, need) for each group of ``wanted`` (by, n, k): its k-th smallest key.
+
+    ``n`` is the number of rows of the group and 0 < k <= n. ``ties`` rows have the key ``bound``, and ``need`` of them are among the first k. Groups with a
+    NULL in ``by`` are left out.
+    """
+    rows = df.select(*by, order_key(order).alias("_key"))
+    kind = rows.schema["_key"].dataType
+    nothing = F.lit(None).cast(kind)
+    state = stage(
+        wanted.select(*by, F.col("n").alias("_size"), F.col("k").alias("_rank")).withColumns(
+            {
+                "_low": nothing,
+                "_high": nothing,
+                "_probes": F.array().cast(f"array<{kind.simpleString()}>"),
+                "_bound": nothing,
+                "_ties": F.lit(0).cast("long"),
+                "_need": F.lit(0).cast("long"),
+            }
+        ),
+        "probes",
+    )
+    turn = 0
+    while not state.where(F.col("_bound").isNull()).isEmpty():
+        turn += 1
+        state = stage(_narrow(rows, by, state, turn), "probes")
+    return state.select(*by, F.col("_bound").alias("bound"), F.col("_ties").alias("ties"), F.col("_need").alias("need"))
+
+
+def _narrow(rows: DataFrame, by: Sequence[str], state: DataFrame, turn: int) -> DataFrame:
+    """One round for all groups that are still open."""
+    # About PROBES keys of each part are drawn; all of them once the interval is small.
+    step = F.greatest(F.floor(F.col("_size") / (PROBES * (F.size("_probes") + 1))), F.lit(1))
+    still = state.where(F.col("_bound").isNull()).withColumn("_step", step)
+    key = F.col("_key")
+    inside = (F.col("_low").isNull() | (key > F.col("_low"))) & (F.col("_high").isNull() | (key < F.col("_high")))
+    met = rows.join(still.select(*by, "_low", "_high", "_probes", "_step"), list(by)).where(inside)
+    part = F.size(F.filter("_probes", lambda p: p < key)) * 2 + F.array_contains("_probes", key).cast("int")
+    drawn = F.when(F.pmod(F.xxhash64(key, F.lit(turn)), F.col("_step")) == 0, key)
+    counts = met.groupBy(*by, part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"), F.collect_list(drawn).alias("_drawn"))
+    upto = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(upto), F.lit(0)))
+    hit = still.join(counts, list(by)).where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_rows")))
+    place = F.floor(F.col("_part") / 2).cast("int")  # probes below the part
+    at_probe = F.col("_part") % 2 == 1
+    rank = F.col("_rank") - F.col("_before")
+    ordered = F.sort_array("_drawn")
+    all_drawn = F.col("_step") == 1
+    found = F.when(at_probe, F.get("_probes", place)).when(all_drawn, F.get(ordered, (rank - 1).cast("int")))
+    same = (F.size(ordered) - F.size(F.array_remove(ordered, found))).cast("long")
+    below = F.array_position(ordered, found) - 1
+    moved = hit.select(
+        *by,
+        F.col("_rows").alias("_size"),
+        rank.alias("_rank"),
+        F.when(place > 0, F.get("_probes", place - 1)).otherwise(F.col("_low")).alias("_low"),
+        F.coalesce(F.get("_probes", place), F.col("_high")).alias("_high"),
+        F.array_distinct(ordered).alias("_probes"),
+        found.alias("_bound"),
+        F.when(at_probe, F.col("_rows")).otherwise(same).alias("_ties"),
+        F.when(at_probe, rank).otherwise(rank - below).alias("_need"),
+    )
+    return moved.unionByName(state.where(F.col("_bound").isNotNull()))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quadrat.operators.allocate import SubsampleOptions, class_targets
 from quadrat.operators.prepare import CLASS, POINT_KEY, class_counts
 from quadrat.operators.ranking import ranked
+from quadrat.operators.selection import boundaries, order_key
 from quadrat.operators.staging import pin
 
 
@@ -18,21 +19,23 @@ def cap_classes(
 ) -> DataFrame:
     """The first ``target_n`` rows of each class along ``order``; classes without target drop.
 
-    ``targets`` is a pinned class table with the class size ``n``. Only classes with
-    ``target_n < n`` are ranked and shuffled; classes that are kept whole stay where they are read.
-    The rank itself is distributed: no task holds a whole class.
+    ``targets`` is a pinned class table with the class size ``n``. For the classes with ``target_n < n`` the boundary key is found by counting
+    (``selection.boundaries``); all rows are then kept or dropped where they are read. Only rows that share their class's boundary key, of which not all
+    are wanted, are ranked; there are none when the order key is unique.
     """
     cut = (F.col("target_n") < F.col("n")) & (F.col("target_n") > 0)
     whole = F.col("target_n") >= F.col("n")
-    sizes = targets.agg(F.max(F.when(cut, F.col("n"))), F.sum(F.when(whole, F.col("n")))).first()
-    named = df.join(targets.select(*CLASS, "n", "target_n"), CLASS)
-    if not sizes[0]:
-        return named.where(whole).select(*df.columns)
-    first = ranked(named.where(cut), CLASS, order, "_rn")
-    first = first.where(F.col("_rn") <= F.col("target_n")).select(*df.columns)
-    if not sizes[1]:
-        return first
-    return named.where(whole).select(*df.columns).unionByName(first)
+    bounds = boundaries(df, CLASS, order, targets.where(cut).select(*CLASS, "n", F.col("target_n").alias("k")))
+    limits = pin(targets.where(whole | cut).select(*CLASS, whole.alias("_whole")).join(bounds, CLASS, "left"))
+    key = order_key(order)
+    met = df.join(limits, CLASS)
+    kept = met.where(F.col("_whole") | (key < F.col("bound")) | ((key == F.col("bound")) & (F.col("ties") == F.col("need"))))
+    kept = kept.select(*df.columns)
+    if limits.where(F.col("ties") > F.col("need")).isEmpty():
+        return kept
+    shared = met.where((key == F.col("bound")) & (F.col("ties") > F.col("need")))
+    first = ranked(shared, CLASS, order, "_rn").where(F.col("_rn") <= F.col("need"))
+    return kept.unionByName(first.select(*df.columns))
 
 
 def subsample(

@@ -1,0 +1,66 @@
+"""The k-th smallest key of every group, found by counting."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quadrat.operators import selection
+from quadrat.operators.prepare import POINT_KEY
+from quadrat.operators.subsample import cap_classes
+from tests.conftest import rows
+
+
+def check(spark, data, order, wanted):
+    """``data`` has (group, *key), ``wanted`` the rank for each group."""
+    names = [f"c{i}" for i in range(len(data[0]) - 1)]
+    df = spark.createDataFrame(data, f"g string, {order}").repartition(3)
+    groups = {}
+    for g, *key in data:
+        groups.setdefault(g, []).append(tuple((v is not None, v) for v in key))
+    table = spark.createDataFrame([(g, len(groups[g]), k) for g, k in wanted.items()], "g string, n long, k long")
+    found = {r.g: (tuple(r.bound), r.ties, r.need) for r in selection.boundaries(df, ["g"], names, table).collect()}
+    assert set(found) == set(wanted)
+    for g, k in wanted.items():
+        keys = sorted(groups[g])
+        bound = keys[k - 1]
+        want = tuple(v for _, v in bound), keys.count(bound), k - sum(x < bound for x in keys)
+        assert found[g] == want
+
+
+@pytest.mark.parametrize("probes", [4])
+def test_boundaries(spark, monkeypatch, probes):
+    monkeypatch.setattr(selection, "PROBES", probes)
+    rng = random.Random(probes)
+    data = [("big", k * 7 % 1001, None) for k in range(1001)]
+    data += [("ties", rng.choice([1, 2, 2, 2, 2, 5]), "x") for _ in range(600)]
+    data += [("one", 4, "y"), ("same", None, None), ("same", None, None), ("same", None, "z")]
+    check(spark, data, "c0 int, c1 string", {"big": 500, "ties": 300, "one": 1, "same": 2})
+
+
+def test_first_and_last_rank(spark):
+    data = [("a", float(k)) for k in range(50)] + [("b", float(-k)) for k in range(50)]
+    check(spark, data, "c0 double", {"a": 1, "b": 50})
+    empty = spark.createDataFrame([], "g string, n long, k long")
+    assert selection.boundaries(spark.createDataFrame(data, "g string, c0 double"), ["g"], ["c0"], empty).count() == 0
+
+
+def test_cap_keeps_the_exact_number_of_rows_with_equal_keys(spark):
+    data = [("s", "p", "i", k % 5, 0, "a", "") for k in range(100)] + [("s", "p", "i", 0, 0, "b", "x")] * 4
+    df = spark.createDataFrame(data, "site string, project_id string, image_id string, row int, col int, attribute_id string, form_id string")
+    targets = spark.createDataFrame([("a", "", 100, 33), ("b", "x", 4, 4)], "attribute_id string, form_id string, n long, target_n long")
+    kept = cap_classes(df, targets, POINT_KEY)
+    assert kept.columns == df.columns
+    assert rows(kept.groupBy("attribute_id", "row").count()) == [("a", 0, 20), ("a", 1, 13), ("b", 0, 4)]
+
+
+def test_rows_are_neither_sorted_nor_written(spark):
+    df = spark.range(2_000).select(
+        F.lit("s").alias("site"), F.lit("p").alias("project_id"), F.col("id").cast("string").alias("image_id"),
+        F.lit(0).alias("row"), F.lit(0).alias("col"), (F.col("id") % 2).cast("string").alias("attribute_id"), F.lit("").alias("form_id"),
+    )
+    targets = spark.createDataFrame([("0", "", 1000, 10), ("1", "", 1000, 990)], "attribute_id string, form_id string, n long, target_n long")
+    kept = cap_classes(df, targets)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange hashpartitioning" not in plan and "rangepartitioning" not in plan
+    assert kept.count() == 1000
