@@ -58,7 +58,11 @@ _SPLIT = 12.0
 _CODES = np.expm1(np.arange(256) / _SPLIT * np.log(2.0))
 _LOG = np.log(_CODES + 0.4).astype(np.float32)
 _LOG_BUT_ONE = np.log(np.maximum(_CODES - 1.0, 0.0) + 0.4).astype(np.float32)
-_SEEN = np.minimum(np.arange(256) // 12, 7).astype(np.int64)
+#: By the 16-bit number of a slot: its prediction in the logistic domain, the same with a 0 or a 1 taken out, and how much the slot has seen.
+_ZEROS, _ONES = np.divmod(np.arange(1 << 16), 256)
+_STRETCH = _LOG[_ONES] - _LOG[_ZEROS]
+_STRETCH_BUT_ONE = np.stack([_LOG[_ONES] - _LOG_BUT_ONE[_ZEROS], _LOG_BUT_ONE[_ONES] - _LOG[_ZEROS]])
+_SEEN = np.minimum(np.maximum(_ZEROS, _ONES) // 12, 7).astype(np.uint8)
 _SETS = 64
 
 
@@ -346,50 +350,27 @@ class Model:
     weights: np.ndarray
     refined: np.ndarray
 
-    def unpacked(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Each slot's prediction in the logistic domain, and how much the slots of the last two contexts have seen."""
-        if not hasattr(self, "_unpacked"):
-            halves = [(s >> np.uint16(8), s & np.uint16(255)) for s in self.slots]
-            seen = [_SEEN[np.maximum(*h)].astype(np.uint8) for h in halves[-2:]]
-            self._unpacked = [_LOG[ones] - _LOG[zeros] for zeros, ones in halves], seen
-        return self._unpacked
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in vars(self).items() if k != "_unpacked"}
+def _look_up(slots: list[np.ndarray], spelled: Spelled, predictions: np.ndarray, shift: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts + 1, bits) predictions in the logistic domain, and the weight set of each bit; the slots stay packed."""
+    inputs = np.empty((len(slots) + 1, spelled.bits.size), dtype=np.float32)
+    seen = []
+    for k, (row, table, places) in enumerate(zip(inputs, slots, spelled.slots)):
+        codes = np.take(table, places.ravel(), mode="clip").astype(np.int64)
+        if k >= len(slots) - 2:
+            seen.append(np.take(_SEEN, codes))
+        np.take(predictions, codes if shift is None else codes + shift, out=row, mode="clip")
+    inputs[-1] = 0.3
+    return inputs, seen[0] * np.uint8(8) + seen[1]
 
 
 def _stretch(model: Model, spelled: Spelled) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts + 1, bits) predictions in the logistic domain, and the weight set of each bit."""
-    tables, seen = model.unpacked()
-    places = [s.ravel() for s in spelled.slots]
-    inputs = np.empty((len(tables) + 1, places[0].size), dtype=np.float32)
-    for row, table, place in zip(inputs, tables, places):
-        np.take(table, place, out=row, mode="clip")
-    inputs[-1] = 0.3
-    return inputs, np.take(seen[0], places[-2]) * np.uint8(8) + np.take(seen[1], places[-1])
-
-
-def but_one_tables(slots: list[np.ndarray]) -> list[np.ndarray]:
-    """Of each slot two predictions: with a 0 taken out and with a 1 taken out."""
-    out = []
-    for table in slots:
-        zeros, ones = table >> np.uint16(8), table & np.uint16(255)
-        both = np.empty((len(table), 2), dtype=np.float32)
-        both[:, 0] = _LOG[ones] - _LOG_BUT_ONE[zeros]
-        both[:, 1] = _LOG_BUT_ONE[ones] - _LOG[zeros]
-        out.append(both.reshape(-1))
-    return out
+    return _look_up(model.slots, spelled, _STRETCH, None)
 
 
-def _stretch_but_one(tables: list[np.ndarray], seen: list[np.ndarray], spelled: Spelled):
+def _stretch_but_one(slots: list[np.ndarray], spelled: Spelled) -> tuple[np.ndarray, np.ndarray]:
     """``_stretch`` with one occurrence of each word taken out of the slots."""
-    bit = spelled.bits.ravel().astype(np.int64)
-    places = [s.ravel() for s in spelled.slots]
-    inputs = np.empty((len(tables) + 1, bit.size), dtype=np.float32)
-    for row, table, place in zip(inputs, tables, places):
-        np.take(table, place * 2 + bit, out=row, mode="clip")
-    inputs[-1] = 0.3
-    return inputs, np.take(seen[0], places[-2]) * np.uint8(8) + np.take(seen[1], places[-1])
+    return _look_up(slots, spelled, _STRETCH_BUT_ONE.ravel(), spelled.bits.ravel().astype(np.int64) << 16)
 
 
 def _mix(inputs: np.ndarray, chosen: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -404,9 +385,9 @@ def _refine_place(node: np.ndarray, total: np.ndarray) -> np.ndarray:
     return node.ravel() * _STEPS + step
 
 
-def fit_batch(spelled: Spelled, counts: np.ndarray, tables: list, seen: list, state: dict) -> None:
+def fit_batch(spelled: Spelled, counts: np.ndarray, slots: list[np.ndarray], state: dict) -> None:
     """One online step: the batch is predicted, then the weights and the refinement table are moved."""
-    inputs, chosen = _stretch_but_one(tables, seen, spelled)
+    inputs, chosen = _stretch_but_one(slots, spelled)
     chosen = chosen.astype(np.int64)
     weight = np.repeat(counts[spelled.owner].astype(np.float32), 8)
     total = _mix(inputs, chosen, state["weights"])
@@ -549,9 +530,8 @@ def learn(words: DataFrame) -> Model:
             "mass": np.zeros(_SETS),
             "refined": np.zeros((2, 256 * _STEPS)),
         }
-        but_one, (_, seen) = but_one_tables(shared.value), Model(shared.value, None, None).unpacked()
         for tokens, classes, n in _batches_of_pairs(batches):
-            fit_batch(spell(tokens, classes), n, but_one, seen, state)
+            fit_batch(spell(tokens, classes), n, shared.value, state)
         if state["mass"].any():
             packed = [state[k].tobytes() for k in ("weights", "mass", "refined")]
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in packed], ["weights", "mass", "refined"])
