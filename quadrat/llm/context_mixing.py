@@ -41,7 +41,7 @@ from quadrat.operators.staging import stage
 
 BLOCK_BYTES = 4 << 20
 #: Blocks for each bucket of words and grams; a bucket's grams are added up range by range of their keys.
-BLOCKS_PER_BUCKET = 8
+BLOCKS_PER_BUCKET = 4
 _RANGES = 16
 CLASSES = 32
 #: Slots of each context, as powers of two; the last two contexts are the word so far, without and with the class.
@@ -183,21 +183,21 @@ def _unpack_grams(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64), np.frombuffer(rest, "<u4", n, 2 * n)
 
 
-def _add_grams(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For sorted keys and their counts of several blocks, the counts of all blocks at each block's keys; one range of keys after another."""
+def _add_grams(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
+    """For sorted keys and their counts of several blocks, the packed counts of all blocks at each block's keys; one range of keys after another."""
     edges = np.arange(1, _RANGES, dtype=np.uint64) * np.uint64((1 << GRAM_BITS) // _RANGES)
     cuts = [np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]) for keys, _ in parts]
-    out = [np.empty(len(keys), "<i8") for keys, _ in parts]
+    squeeze, out = [zlib.compressobj(1) for _ in parts], [[] for _ in parts]
     for r in range(_RANGES):
         own = [slice(c[r], c[r + 1]) for c in cuts]
         keys, back = np.unique(np.concatenate([k[s] for (k, _), s in zip(parts, own)]), return_inverse=True)
         total = np.zeros(len(keys), dtype=np.int64)
         np.add.at(total, back, np.concatenate([c[s] for (_, c), s in zip(parts, own)]).astype(np.int64))
         start = 0
-        for row, s in zip(out, own):
-            row[s] = total[back[start : start + s.stop - s.start]]
+        for row, pack, s in zip(out, squeeze, own):
+            row.append(pack.compress(total[back[start : start + s.stop - s.start]].tobytes()))
             start += s.stop - s.start
-    return out
+    return [b"".join([*row, pack.flush()]) for row, pack in zip(out, squeeze)]
 
 
 def blocked(documents: DataFrame, key: str, text: str, held_out: Column) -> tuple[DataFrame, int]:
@@ -265,7 +265,7 @@ def count_words(blocks: DataFrame, buckets: int) -> DataFrame:
         np.add.at(total, pair // CLASSES, n)
         bucket = table.column("bucket")[0].as_py()
         sizes = table.column("size").to_pylist()
-        grams = [zlib.compress(n.tobytes(), 1) for n in _add_grams([_unpack_grams(g.as_py(), k) for g, k in zip(table.column("grams"), sizes)])]
+        grams = _add_grams([_unpack_grams(g.as_py(), k) for g, k in zip(table.column("grams"), sizes)])
         rows = [
             (block, bucket, tokens, _ints(total[ids]), None, None, None, size, own)
             for block, tokens, ids, size, own in zip(
