@@ -742,6 +742,27 @@ def _(spark, sf):
     return features.image_points(points(spark, sf))
 
 
+def _walks_sql(key: str) -> str:
+    return f"""WITH {POINTS}, steps AS (
+  SELECT {key}, "row", col, coalesce(abs("row" - lag("row") OVER o) + abs(col - lag(col) OVER o), 0) AS step,
+    row_number() OVER o AS k, count(*) OVER (PARTITION BY {key}) AS n
+  FROM points WINDOW o AS (PARTITION BY {key} ORDER BY "row", col)
+)
+SELECT {key}, count(*) AS points, CAST(max("row") FILTER (k = 1) AS BIGINT) AS first_row, CAST(max(col) FILTER (k = 1) AS BIGINT) AS first_col,
+  CAST(max("row") FILTER (k = n) AS BIGINT) AS last_row, CAST(max(col) FILTER (k = n) AS BIGINT) AS last_col, CAST(sum(step) AS BIGINT) AS length
+FROM steps GROUP BY 1"""
+
+
+@query("image_walks", _walks_sql("image_id"))
+def _(spark, sf):
+    return features.point_walks(points(spark, sf), ["image_id"])
+
+
+@query("project_walks", _walks_sql("project_id"))
+def _(spark, sf):
+    return features.point_walks(points(spark, sf), ["project_id"])
+
+
 _TODO = """WITH todo AS (SELECT DISTINCT l_suppkey, l_orderkey, l_partkey, l_linenumber FROM lineitem
           ANTI JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') d ON l_orderkey = o_orderkey)"""
 

@@ -6,11 +6,14 @@ import logging
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.functions import keys
 from quadrat.functions.numbers import cosine, max_abs_difference
+from quadrat.operators.folding import fold_groups
 from quadrat.operators.prepare import PHYSICAL_KEY
 from quadrat.operators.ranking import exact_percentile
 from quadrat.operators.staging import new_folder, own_table, stage
@@ -87,6 +90,26 @@ def image_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("bucket", "feature_vector").agg(F.count(F.lit(1)).alias("points"))
 
 
+def point_walks(df: DataFrame, by: Sequence[str] = ("bucket", "feature_vector")) -> DataFrame:
+    """Per image, or other group, the way over its points by row and column: points, first and last place, and the length in steps along both axes.
+
+    Points are folded as a stream in their order, so an image of any size may span tasks. Points without row or column are left out.
+    """
+
+    def of_run(batch: pa.RecordBatch) -> tuple:
+        row, col = (batch.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+        length = int(np.abs(np.diff(row)).sum() + np.abs(np.diff(col)).sum())
+        return len(row), int(row[0]), int(col[0]), int(row[-1]), int(col[-1]), length
+
+    def join(a: tuple, b: tuple) -> tuple:
+        gap = abs(b[1] - a[3]) + abs(b[2] - a[4])
+        return a[0] + b[0], a[1], a[2], b[3], b[4], a[5] + b[5] + gap
+
+    placed = df.where(F.col("row").isNotNull() & F.col("col").isNotNull()).select(*by, "row", "col")
+    state = "points long, first_row long, first_col long, last_row long, last_col long, length long"
+    return fold_groups(placed, by, ["row", "col"], of_run, join, state)
+
+
 def _unfinished(rows: DataFrame, existing: DataFrame | None, force: bool) -> DataFrame:
     todo = rows.select("source_id", "image_id", "row", "col")
     if existing is None or force:
