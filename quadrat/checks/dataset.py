@@ -1103,7 +1103,7 @@ points AS (SELECT 'archive' AS site, CAST(source_id AS VARCHAR) AS project_id, C
 rolled AS (SELECT * REPLACE (CASE attribute_id WHEN 'ECONOMY' THEN 'STANDARD' ELSE attribute_id END AS attribute_id) FROM points),
 kept AS (SELECT * FROM rolled WHERE attribute_id IN ('STANDARD', 'MEDIUM', 'LARGE')),
 sizes AS (SELECT attribute_id, count(*) AS n FROM kept GROUP BY 1),
-budget AS (SELECT attribute_id, n, least(n, greatest(100, 6000 // (SELECT count(*) FROM sizes))) AS target_n FROM sizes),
+budget AS (SELECT attribute_id, n, least(n, greatest(100, (SELECT count(*) FROM lineitem) // 10 // (SELECT count(*) FROM sizes))) AS target_n FROM sizes),
 numbered AS (SELECT k.*, target_n, row_number() OVER (PARTITION BY attribute_id ORDER BY site, project_id, image_id, "row", col) AS rn
   FROM kept k JOIN budget USING (attribute_id)),
 cut AS (SELECT * FROM numbered WHERE rn <= target_n),
@@ -1129,7 +1129,7 @@ def _whole(spark, sf):
             "drop_forms": True,
             "rollup_csv": f"{root}/rollups",
             "included_csv": f"{root}/included",
-            "subsample": {"strategy": "balanced", "total_annotations": 6000, "min_per_class": 100},
+            "subsample": {"strategy": "balanced", "total_annotations": table(spark, sf, "lineitem").count() // 10, "min_per_class": 100},
             "weighting": {"weight_ratio_cap": 20.0},
             "ref_val_ratios": ("0.2", "0.1"),
             "percent_missing_allowed": 10,

@@ -92,12 +92,13 @@ def write_annotations_by_source(df: DataFrame, path: str, source: str = "source_
     spark = df.sparkSession
     rows = stage(df, "annotations")
     try:
-        present = spark.read.text(path).select(F.regexp_extract("_metadata.file_path", rf"/{source}=([^/]*)/", 1).alias("_there"))
+        # Of a binary file only its path is wanted, so no content is read.
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        present = files.select(F.regexp_extract("path", rf"/{source}=([^/]*)/", 1).alias("_there"))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
     else:
-        # The folders of a source list hold one file or a few each; their names are all that is kept.
         rows = rows.join(present.distinct(), F.col(source).cast("string") == F.col("_there"), "left_anti")
     rows.write.mode("append").partitionBy(source).csv(path, header=True, emptyValue="")
 
