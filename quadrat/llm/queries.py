@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -262,6 +261,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op13_token_counts")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # the files' place on this machine; the operator takes any path
+
     documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(documents, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select(
