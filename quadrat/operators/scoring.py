@@ -37,15 +37,17 @@ class Head:
     classes: Sequence[str]
 
     def __post_init__(self) -> None:
-        if not len(self.weights):
-            raise ValueError("A head needs at least one layer.")
-        if len(self.weights) != len(self.biases):
-            raise ValueError("weights and biases must have the same length.")
-        if np.ndim(self.a) != 1 or np.shape(self.a) != np.shape(self.b):
-            raise ValueError("a and b must be 1-D and of the same shape.")
-        outputs = np.shape(self.weights[-1])[0]
-        if outputs != len(self.classes) or len(self.a) != len(self.classes):
-            raise ValueError(f"The head has {outputs} outputs for {len(self.classes)} classes.")
+        layers, k = len(self.weights), len(self.classes)
+        outputs = np.shape(self.weights[-1])[0] if layers else 0
+        wrong = {
+            "no layer": layers == 0,
+            f"{layers} weights and {len(self.biases)} biases": layers != len(self.biases),
+            f"{outputs} outputs for {k} classes": outputs != k,
+            f"sigmoid parameters of shapes {np.shape(self.a)} and {np.shape(self.b)} for {k} classes": {np.shape(self.a), np.shape(self.b)} != {(k,)},
+        }
+        found = [what for what, is_so in wrong.items() if is_so]
+        if found:
+            raise ValueError(f"Not a head: {'; '.join(found)}.")
         size = sum(np.asarray(w).nbytes for w in (*self.weights, *self.biases))
         if size > HEAD_BYTES:
             raise ValueError(f"A head of {size} bytes is too large to go to every task; the bound is {HEAD_BYTES}.")

@@ -31,7 +31,7 @@ def read_forms(
     lists = spark.read.schema(schema).json(path, multiLine=multi_line)
     entries = lists.where(F.col("name") == list_name)
     if entries.isEmpty():
-        raise ValueError(f"'{list_name}' not found in {path}")
+        raise ValueError(f"The export at {path} has no list {list_name!r}.")
     return entries.select(F.explode("data").alias("d")).select("d.*")
 
 

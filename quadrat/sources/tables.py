@@ -32,20 +32,14 @@ def read_columns(
 ) -> DataFrame:
     """Parquet columns under contract names; failures name the path and the columns needed."""
     names = {c: (columns or {}).get(c, c) for c in wanted}
-    need = ", ".join(names.values())
     try:
         df = spark.read.parquet(path)
-    except AnalysisException as exc:
-        raise RuntimeError(
-            f"Failed to read {what} parquet at '{path}'. It must be readable and contain "
-            f"columns: {need}. Underlying error: {exc}"
-        ) from exc
-    missing = [n for n in names.values() if n not in df.columns]
-    if missing:
-        raise RuntimeError(
-            f"Failed to read {what} parquet at '{path}'. It must be readable and contain "
-            f"columns: {need}. Missing: {', '.join(missing)}"
-        )
+        absent = [n for n in names.values() if n not in df.columns]
+        reason = f"it has no {', '.join(absent)}" if absent else None
+    except AnalysisException as error:
+        df, reason = None, error.getMessage() or str(error)
+    if reason:
+        raise RuntimeError(f"No usable {what} at {path} (columns wanted: {', '.join(names.values())}): {reason}")
     return df.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 

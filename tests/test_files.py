@@ -57,7 +57,7 @@ def test_exports(spark, tmp_path):
     assert rows(exports.read_taxonomy(spark, str(tmp_path / "taxonomy.json")).where("parent IS NOT NULL")) == [("b", "B", "a")]
     put(tmp_path, "choices.json", json.dumps([{"name": "x", "data": []}, {"name": "growthforms", "data": [{"id": "g", "name": "G"}]}], indent=1))
     assert rows(exports.read_forms(spark, str(tmp_path / "choices.json"))) == [("g", "G")]
-    with pytest.raises(ValueError, match="'other' not found"):
+    with pytest.raises(ValueError, match="no list 'other'"):
         exports.read_forms(spark, str(tmp_path / "choices.json"), "other")
     entry = {"provider_id": "1", "provider_label": "L", "benthic_attribute_id": "a", "benthic_attribute_name": "A", "growth_form_id": None, "growth_form_name": None}
     put(tmp_path, "map.json", json.dumps({"results": [entry, {**entry, "benthic_attribute_id": "b"}]}, indent=1))

@@ -45,11 +45,11 @@ def test_scoring(spark):
 
 def test_head_checks():
     one = [np.ones((2, 3))]
-    with pytest.raises(ValueError, match="at least one layer"):
+    with pytest.raises(ValueError, match="no layer"):
         scoring.Head([], [], np.ones(2), np.ones(2), ["a", "b"])
-    with pytest.raises(ValueError, match="same length"):
+    with pytest.raises(ValueError, match="1 weights and 0 biases"):
         scoring.Head(one, [], np.ones(2), np.ones(2), ["a", "b"])
-    with pytest.raises(ValueError, match="same shape"):
+    with pytest.raises(ValueError, match="sigmoid parameters of shapes"):
         scoring.Head(one, [np.ones(2)], np.ones(2), np.ones(3), ["a", "b"])
     with pytest.raises(ValueError, match="2 outputs for 3 classes"):
         scoring.Head(one, [np.ones(2)], np.ones(3), np.ones(3), ["a", "b", "c"])
