@@ -554,7 +554,7 @@ def score_texts(
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each document.
 
     The model and the word counts are learned from the documents for which ``held_out`` is false. ``base_score`` is the
-    sum of log10((c + 1) / (N + V + 1)) over the words and the end. A NULL or empty text has only its end. Repeated rows are scored and
+    sum of log10((c + 1) / (N + V + 1)) over the words and the end. Training texts are scored with their own words in the counts. A NULL or empty text has only its end. Repeated rows are scored and
     counted each for itself; a NULL ``held_out`` counts as false; an empty table gives an empty one; other columns are left out.
     """
     spark = documents.sparkSession
