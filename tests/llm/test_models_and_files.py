@@ -417,3 +417,23 @@ def test_quality_odd_rows(spark, odd):
         assert len(scored) == len(odd_rows()) and all(0 <= r["__q"] <= 1 for r in scored)
         assert len({r["__q"] for r in scored if r.doc_id in (1, 2, 3)}) == 1
     assert quality.score(odd.limit(0), quality.fit(odd.limit(0), labels)).count() == 0
+
+
+def test_gram_counts_are_added_over_blocks():
+    rng = np.random.default_rng(3)
+    parts = []
+    for n in (500, 0, 1, 800):
+        keys = np.unique(rng.integers(0, 1 << 9, n, dtype=np.uint64) << np.uint64(27))
+        counts = rng.integers(0, 1 << 31, len(keys)).astype("<u4")
+        packed = context_mixing._pack_grams(keys, counts)
+        parts.append(context_mixing._unpack_grams(packed, len(keys)))
+        assert (parts[-1][0] == keys).all() and (parts[-1][1] == counts).all()
+    total = Counter()
+    for _ in range(3):  # beyond 32 bits
+        parts.append(parts[0])
+    for keys, counts in parts:
+        for k, n in zip(keys.tolist(), counts.tolist()):
+            total[k] += n
+    for (keys, _), packed in zip(parts, context_mixing._add_grams(parts)):
+        assert np.frombuffer(zlib.decompress(packed), "<i8").tolist() == [total[k] for k in keys.tolist()]
+    assert max(total.values()) > 1 << 32
