@@ -27,7 +27,7 @@ from quadrat.checks.bindings import (
 )
 from quadrat.checks.evaluation import SCALARS
 from quadrat.functions.keys import class_key, provider_feature_path
-from quadrat.operators import calibrate, features, runs, scoring, train
+from quadrat.operators import calibrate, epochs, features, runs, scoring, train
 from quadrat.operators.staging import staging_root
 from quadrat.operators.taxonomy import class_list, class_table
 from quadrat.operators.weights import class_weights
@@ -369,6 +369,58 @@ def _(spark, sf):
     return scoring.top_label(train.predict(model, points), classes).select("vec_id", "gt", "est", "score")
 
 
+# The first hexadecimal digit of the key's MD5 deals vectors to the three sets. A linear head starts at zero and takes one step of
+# plain descent over all training vectors in each epoch, which SQL can spell out.
+EPOCHS, RATE, PENALTY = 3, 0.5, 0.05
+
+
+def _epoch_sql() -> str:
+    parts = [
+        """t AS (SELECT vec_id, label, CASE WHEN substr(md5(CAST(vec_id AS VARCHAR)), 1, 1) IN ('0', '1') THEN 'val'
+          WHEN substr(md5(CAST(vec_id AS VARCHAR)), 1, 1) IN ('2', '3') THEN 'ref' ELSE 'train' END AS part, embedding FROM embeddings)""",
+        """x AS (SELECT vec_id, label, part, generate_subscripts(embedding, 1) - 1 AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM t
+          UNION ALL SELECT vec_id, label, part, -1, 1.0 FROM t)""",
+        """cw AS (SELECT label, 1.0 / greatest((1.0 - pow(0.9999, CAST(count(*) AS DOUBLE))) / (1.0 - 0.9999), 1e-12) AS weight
+          FROM embeddings GROUP BY 1)""",
+        """mass AS (SELECT count(*) AS n, sum(weight) AS total FROM t JOIN cw USING (label) WHERE part = 'train')""",
+        "w0 AS (SELECT k, j, 0.0 AS w FROM (SELECT DISTINCT label AS k FROM t), (SELECT DISTINCT j FROM x))",
+    ]
+    for e in range(EPOCHS + 1):
+        parts += [
+            f"""z{e} AS (SELECT vec_id, label, part, k, sum(v * w) AS z FROM x JOIN w{e} USING (j) GROUP BY 1, 2, 3, 4)""",
+            f"""p{e} AS (SELECT *, z - m - ln(sum(exp(z - m)) OVER (PARTITION BY vec_id)) AS lp
+              FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS m FROM z{e}))""",
+            f"""g{e} AS (SELECT k, j, sum(weight * (exp(lp) - CASE WHEN k = label THEN 1.0 ELSE 0.0 END) * v) AS g
+              FROM p{e} JOIN x USING (vec_id, label, part) JOIN cw USING (label) WHERE part = 'train' GROUP BY 1, 2)""",
+            f"""w{e + 1} AS (SELECT k, j, w - {RATE} * (g / total + CASE WHEN j < 0 THEN 0.0 ELSE {PENALTY} / n * w END) AS w
+              FROM w{e} JOIN g{e} USING (k, j) CROSS JOIN mass)""",
+            f"""l{e} AS (SELECT sum(CASE WHEN k = label THEN -lp * weight END) / any_value(total)
+              + {PENALTY} / 2 / any_value(n) * (SELECT sum(w * w) FROM w{e} WHERE j >= 0) AS loss
+              FROM p{e} JOIN cw USING (label) CROSS JOIN mass WHERE part = 'train')""",
+            f"""h{e} AS (SELECT part, avg(CASE WHEN best = label THEN 1.0 ELSE 0.0 END) AS accuracy, avg(-own) AS loss FROM
+              (SELECT vec_id, part, label, arg_max(k, (lp, -k)) AS best, max(CASE WHEN k = label THEN lp END) AS own
+               FROM p{e} WHERE part <> 'train' GROUP BY 1, 2, 3) GROUP BY 1)""",
+        ]
+    lines = [
+        f"""SELECT {e} AS epoch, (SELECT {q('accuracy')} FROM h{e + 1} WHERE part = 'ref') AS ref_accuracy,
+          (SELECT {q('accuracy')} FROM h{e + 1} WHERE part = 'val') AS val_accuracy,
+          (SELECT {q('loss')} FROM h{e + 1} WHERE part = 'val') AS val_loss, (SELECT {q('loss')} FROM l{e}) AS training_loss"""
+        for e in range(EPOCHS)
+    ]
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(lines)}"
+
+
+@query("training_epochs", _epoch_sql())
+def _(spark, sf):
+    points, classes, weights = _labelled(spark, sf)
+    digit = F.substring(F.md5(text("vec_id")), 1, 1)
+    part = F.when(digit.isin("0", "1"), "val").when(digit.isin("2", "3"), "ref").otherwise("train")
+    sets = [points.where(part == name) for name in ("train", "ref", "val")]
+    options = epochs.EpochOptions(hidden=(), epochs=EPOCHS, batch_rows=2**40, rate=RATE, l2=PENALTY, method="sgd", patience=2)
+    log = epochs.train_epochs(*sets, classes, ["vec_id"], weights, options).log
+    return tidy(log.drop("run_id", "cumulative_seconds"))
+
+
 # --- from features to metrics ---------------------------------------------------------------------
 
 # The same head over five nations with two forms each: class k is nation k div 2 with form A or R.

@@ -77,6 +77,16 @@ def require_dimension(features: DataFrame, head: Head, column: str = "features")
         raise ValueError(f"features must have {head.input_dim} values; got {len(bad[0][column])}.")
 
 
+def matrix(vectors: pa.Array, inputs: int) -> np.ndarray:
+    """The vectors of an Arrow column as rows of doubles; one of another length, or a NULL, is an error."""
+    sizes = pc.unique(pc.list_value_length(vectors)).to_pylist()
+    if sizes not in ([], [inputs]):
+        raise ValueError(f"features must have {inputs} values; got {sizes}.")
+    # The vectors of a batch lie one after another in memory: no value becomes an object.
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return x.reshape(len(vectors), inputs)
+
+
 def score(features: DataFrame, head: Head, column: str = "features") -> DataFrame:
     """Replace the feature column by ``proba``. A vector of another length fails the task."""
     model = features.sparkSession.sparkContext.broadcast(head)
@@ -85,13 +95,7 @@ def score(features: DataFrame, head: Head, column: str = "features") -> DataFram
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = model.value
         for batch in batches:
-            vectors = batch.column(column)
-            sizes = pc.unique(pc.list_value_length(vectors)).to_pylist()
-            if sizes not in ([], [head.input_dim]):
-                raise ValueError(f"features must have {head.input_dim} values; got {sizes}.")
-            # The vectors of a batch lie one after another in memory: no value becomes an object.
-            x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            proba = head.predict(x.reshape(len(batch), head.input_dim))
+            proba = head.predict(matrix(batch.column(column), head.input_dim))
             ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * proba.shape[1])
             scored = pa.ListArray.from_arrays(ends, pa.array(proba.ravel()))
             yield pa.RecordBatch.from_arrays(
