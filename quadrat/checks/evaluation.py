@@ -907,7 +907,7 @@ def _all_metrics(spark, sf):
         nation_walk(spark, sf),
         PREDICTION_KEY,
     )
-    return plan.evaluate(ctx).scalars
+    return plan.evaluate(ctx, tables=False).scalars
 
 
 SCALARS = f"""{COVER.replace(PREDS, CELLS)}, {PER_SOURCE.split(PREDS + ', ')[1]}, {OVERALL},

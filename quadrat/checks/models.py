@@ -473,7 +473,7 @@ def head_metrics(spark, sf):
     walked = nation_walk(spark, sf)
     classes = class_table(class_list(keys), walked, form_names(spark))
     key = ["bucket", "feature_vector", "row", "col"]
-    return evaluate_head(base.drop("features"), base.select(*key, "features"), head(), classes, walked)
+    return evaluate_head(base.drop("features"), base.select(*key, "features"), head(), classes, walked, tables=False)
 
 
 @query("head_metrics", f"WITH {HEAD_SCALARS} SELECT name, {q('value')} AS value FROM scalars")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,9 @@ from quadrat.operators.staging import pin, stage
 
 logger = logging.getLogger(__name__)
 
+# Groups under way at one time; most of their jobs are small, and would wait for one another.
+AT_ONCE = 4
+
 
 class InvalidEvaluation(ValueError):
     """The predictions do not fit the class list."""
@@ -51,18 +56,21 @@ class Evaluation:
 
     _overall: DataFrame | None = None
     _counted: DataFrame | None = None
+    _lock: Lock = field(default_factory=Lock)
 
     def counted(self) -> DataFrame:
         """Predictions counted by source, image and cell, which the confusion, cover and source metrics start from."""
-        if self._counted is None:
-            self._counted = pin(confusion.counted(self.predictions))
-        return self._counted
+        with self._lock:
+            if self._counted is None:
+                self._counted = pin(confusion.counted(self.predictions))
+            return self._counted
 
     def overall(self) -> DataFrame:
         """The one row of overall scores, which two groups use."""
-        if self._overall is None:
-            self._overall = pin(classification.overall(self.cells))
-        return self._overall
+        with self._lock:
+            if self._overall is None:
+                self._overall = pin(classification.overall(self.cells))
+            return self._overall
 
     def validate(self) -> None:
         if self.cells is None:
@@ -79,18 +87,18 @@ class Evaluation:
 
 @dataclass
 class GroupResult:
-    """One-row tables of scalars and named tables of a metric group."""
+    """One-row tables of scalars, and the named tables of a metric group; a table may be given as what makes it when it is wanted."""
 
     scalars: list[DataFrame] = field(default_factory=list)
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    tables: dict[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
 
 
 def _confusion(ctx: Evaluation) -> GroupResult:
     full = confusion.full_confusion(ctx.cells, ctx.classes)
     return GroupResult(
         tables={
-            "confusion_matrix/frequencies": confusion.wide_confusion(full, ctx.classes, "n"),
-            "confusion_matrix/percents": confusion.wide_confusion(full, ctx.classes, "pct"),
+            "confusion_matrix/frequencies": lambda: confusion.wide_confusion(full, ctx.classes, "n"),
+            "confusion_matrix/percents": lambda: confusion.wide_confusion(full, ctx.classes, "pct"),
         }
     )
 
@@ -100,9 +108,10 @@ def _rounded(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _precision_recall(ctx: Evaluation) -> GroupResult:
-    labels = classification.per_label(ctx.cells, ctx.classes)
-    for c in ("precision", "recall", "f1_score"):
-        labels = labels.withColumn(c, half_even(F.col(c)))
+    def labels() -> DataFrame:
+        scores = classification.per_label(ctx.cells, ctx.classes)
+        return scores.withColumns({c: half_even(F.col(c)) for c in ("precision", "recall", "f1_score")})
+
     macro = _rounded(ctx.overall(), ["precision_macro", "recall_macro", "f1_macro"])
     return GroupResult([macro], {"metrics_per_label": labels})
 
@@ -113,17 +122,18 @@ def _balanced(ctx: Evaluation) -> GroupResult:
 
 
 def _taxonomic(ctx: Evaluation) -> GroupResult:
-    attributed = hierarchy.error_attribution(ctx.cells, ctx.classes, ctx.walked)
-    rolled = hierarchy.root_confusion(ctx.cells, ctx.classes)
+    def attributed() -> DataFrame:
+        return hierarchy.error_attribution(ctx.cells, ctx.classes, ctx.walked)
+
     formed = forms.form_cells(ctx.cells, ctx.classes)
     return GroupResult(
         [hierarchy.branch_error_rates(ctx.cells, ctx.classes), forms.form_accuracy(formed)],
         {
             "taxonomic/error_attribution": attributed,
-            "taxonomic/branch_errors": hierarchy.branch_errors(attributed),
-            "taxonomic/top_level_confusions": hierarchy.root_confusions(rolled),
-            "taxonomic/gf_precision_recall_f1": forms.form_scores(formed),
-            "taxonomic/gf_confusion": forms.form_confusion(formed),
+            "taxonomic/branch_errors": lambda: hierarchy.branch_errors(attributed()),
+            "taxonomic/top_level_confusions": lambda: hierarchy.root_confusions(hierarchy.root_confusion(ctx.cells, ctx.classes)),
+            "taxonomic/gf_precision_recall_f1": lambda: forms.form_scores(formed),
+            "taxonomic/gf_confusion": lambda: forms.form_confusion(formed),
         },
     )
 
@@ -131,32 +141,35 @@ def _taxonomic(ctx: Evaluation) -> GroupResult:
 def _calibration(ctx: Evaluation) -> GroupResult:
     rows = calibration.scored_rows(ctx.predictions, ctx.key)
     bins = pin(calibration.equal_mass_bins(rows, F.lit(calibration.N_BINS)))
-    keyed = calibration.scored_rows(ctx.predictions, ctx.key, ["gt"])
+
+    def by_category() -> DataFrame:
+        return calibration.category_ece(calibration.scored_rows(ctx.predictions, ctx.key, ["gt"]), ctx.classes)
+
     return GroupResult(
         [calibration.ece(bins)],
         {
-            "calibration/per_bin_details": calibration.bin_table(bins),
-            "calibration/per_category_ece": calibration.category_ece(keyed, ctx.classes),
+            "calibration/per_bin_details": lambda: calibration.bin_table(bins),
+            "calibration/per_category_ece": by_category,
         },
     )
 
 
 def _cover(ctx: Evaluation) -> GroupResult:
     table = pin(cover.cover_by_class(ctx.counted(), ctx.classes))
-    return GroupResult([cover.cover_scalars(table)], {"cover/per_class_cover_metrics": table})
+    return GroupResult([cover.cover_scalars(table)], {"cover/per_class_cover_metrics": lambda: table})
 
 
 def _per_source(ctx: Evaluation) -> GroupResult:
     scores = pin(per_source.source_scores(ctx.counted(), ctx.classes))
     span = per_source.source_range(scores)
     named = span.select(*[F.col(c).cast("double").alias(f"per_source/{c}") for c in span.columns])
-    return GroupResult([named], {"per_source/metrics": per_source.per_source(scores)})
+    return GroupResult([named], {"per_source/metrics": lambda: per_source.per_source(scores)})
 
 
 def _probability(ctx: Evaluation) -> GroupResult:
     return GroupResult(
         [probability.log_loss(ctx.probs)],
-        {"probability/per_category_log_loss": probability.category_log_loss(ctx.probs, ctx.classes)},
+        {"probability/per_category_log_loss": lambda: probability.category_log_loss(ctx.probs, ctx.classes)},
     )
 
 
@@ -169,8 +182,8 @@ def _ranking(ctx: Evaluation) -> GroupResult:
     return GroupResult(
         [ranking.topk_scalars(ranks), five],
         {
-            "ranking/per_category_topk": ranking.category_topk(ranks, ctx.classes),
-            "ranking/hierarchical_topk": hier,
+            "ranking/per_category_topk": lambda: ranking.category_topk(ranks, ctx.classes),
+            "ranking/hierarchical_topk": lambda: hier,
         },
     )
 
@@ -221,11 +234,11 @@ class Metrics:
     failed: dict[str, str] = field(default_factory=dict)
 
 
-def evaluate(ctx: Evaluation, groups: Sequence[MetricGroup] = GROUPS) -> Metrics:
-    """All groups whose inputs exist.
+def evaluate(ctx: Evaluation, groups: Sequence[MetricGroup] = GROUPS, tables: bool = True) -> Metrics:
+    """All groups whose inputs exist; without ``tables``, their scalars only.
 
     A group's scalars and tables (of class, category or source size) are written within its guard, so a failure belongs to its group and
-    leaves nothing behind that fails later.
+    leaves nothing behind that fails later. ``AT_ONCE`` groups run side by side; the results come in the order of the groups.
     """
     out = Metrics()
     try:
@@ -234,21 +247,31 @@ def evaluate(ctx: Evaluation, groups: Sequence[MetricGroup] = GROUPS) -> Metrics
         logger.warning("Metrics skipped: invalid evaluation", exc_info=True)
         out.failed["evaluation"] = str(error)
         return out
-    for group in applicable(ctx, groups):
+
+    def run(group: MetricGroup) -> tuple[DataFrame | None, dict[str, DataFrame]] | Exception:
         try:
             result = group.run(ctx)
             rows = None
             for one in result.scalars:
                 rows = long_scalars(one) if rows is None else rows.unionByName(long_scalars(one))
             rows = pin(rows) if rows is not None else None
-            tables = {name: _written(table) for name, table in result.tables.items()}
+            wanted = result.tables if tables else {}
+            return rows, {name: _written(t() if callable(t) else t) for name, t in wanted.items()}
         except Exception as error:
             logger.warning("Metric group '%s' failed", group.name, exc_info=True)
-            out.failed[group.name] = str(error)
+            return error
+
+    chosen = applicable(ctx, groups)
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        results = list(pool.map(run, chosen))
+    for group, result in zip(chosen, results):
+        if isinstance(result, Exception):
+            out.failed[group.name] = str(result)
             continue
+        rows, made = result
         if rows is not None:
             out.scalars = rows if out.scalars is None else out.scalars.unionByName(rows)
-        out.tables.update(tables)
+        out.tables.update(made)
     return out
 
 
@@ -264,6 +287,7 @@ def evaluate_head(
     classes: DataFrame,
     walked: DataFrame,
     groups: Sequence[MetricGroup] = GROUPS,
+    tables: bool = True,
 ) -> Metrics:
     """From validation points and feature vectors to all metric groups.
 
@@ -284,4 +308,4 @@ def evaluate_head(
         "score",
     )
     probs = encode_labels(scored, classes).select(*key, "gt_idx", "proba")
-    return evaluate(Evaluation(predictions, classes, walked, key, probs), groups)
+    return evaluate(Evaluation(predictions, classes, walked, key, probs), groups, tables)

@@ -331,6 +331,26 @@ def test_metric_groups(spark, preds, classes, walked, probs):
     assert plan.evaluate(context(predictions=strange)).scalars is None
 
 
+def test_all_tables_or_scalars_only(spark, preds, classes, walked, probs):
+    def evaluated(tables):
+        return plan.evaluate(plan.Evaluation(preds, classes, walked, ["i"], probs[2]), tables=tables)
+
+    whole, slim = evaluated(True), evaluated(False)
+    assert not whole.failed and not slim.failed and slim.tables == {}
+    assert rows(whole.scalars) == rows(slim.scalars)
+    assert set(whole.tables) == {
+        "confusion_matrix/frequencies", "confusion_matrix/percents", "metrics_per_label", "taxonomic/error_attribution",
+        "taxonomic/branch_errors", "taxonomic/top_level_confusions", "taxonomic/gf_precision_recall_f1",
+        "taxonomic/gf_confusion", "calibration/per_bin_details", "calibration/per_category_ece",
+        "cover/per_class_cover_metrics", "per_source/metrics", "probability/per_category_log_loss",
+        "ranking/per_category_topk", "ranking/hierarchical_topk",
+    }
+    assert sum(r["n"] for r in confusion.confusion(preds).collect()) == preds.count()
+    binned = whole.tables["calibration/per_bin_details"].collect()
+    assert [r["bin"] for r in binned] == list(range(1, len(binned) + 1))
+    assert sum(r["count"] for r in binned) == preds.count()
+
+
 def test_nan_scalars_left_out(spark):
     one = spark.createDataFrame([(1.0, float("nan"), None)], "a double, b double, c double")
     assert rows(plan.long_scalars(one)) == [("a", 1.0)]
