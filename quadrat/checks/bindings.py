@@ -204,13 +204,13 @@ def nation_walk(spark: SparkSession, sf: str) -> DataFrame:
     return paths(nodes(spark, sf, leaves=False))
 
 
-def nation_classes(spark: SparkSession, sf: str) -> DataFrame:
+def nation_classes(spark: SparkSession, sf: str, walked: DataFrame | None = None) -> DataFrame:
     """Every nation without a form and with each form."""
     keyed = table(spark, sf, "nation").select(
         F.concat(F.lit("n"), "n_nationkey").alias("a"), F.explode(F.array(F.lit(""), F.lit("A"), F.lit("R"))).alias("f")
     )
     keys = keyed.select(class_key("a", "f").alias("class_id"))
-    return class_table(class_list(keys), nation_walk(spark, sf), form_names(spark))
+    return class_table(class_list(keys), walked or nation_walk(spark, sf), form_names(spark))
 
 
 def predictions(spark: SparkSession, sf: str, scored: bool = False) -> DataFrame:

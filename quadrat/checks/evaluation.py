@@ -901,10 +901,11 @@ def _(spark, sf):
 
 def _all_metrics(spark, sf):
     # All groups read the predictions, so the joins that make them run once.
+    walked = nation_walk(spark, sf)
     ctx = plan.Evaluation(
         stage(predictions(spark, sf, scored=True), "predictions"),
-        nation_classes(spark, sf),
-        nation_walk(spark, sf),
+        nation_classes(spark, sf, walked),
+        walked,
         PREDICTION_KEY,
     )
     return plan.evaluate(ctx, tables=False).scalars

@@ -7,6 +7,11 @@ grouped by header and each layout is one scan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import BinaryIO
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +25,12 @@ IMAGE_ID = "Image ID"
 NAME = "Name"
 PAGE = "Image Page"
 
+# Bytes read at a time on the way to the end of a file's first line.
+HEAD_BYTES = 1 << 14
+
+# Schemes whose paths begin with a bucket.
+OBJECT_STORES = ("s3", "s3a", "s3n", "gs")
+
 _SOURCE_OF_FILE = r"/(?:s|source_id=)([^/=]+)/[^/]+$"
 _LINE = "_line"
 
@@ -28,8 +39,59 @@ def source_of_file() -> Column:
     return F.regexp_extract("_metadata.file_path", _SOURCE_OF_FILE, 1)
 
 
-def read_headers(spark: SparkSession, glob: str) -> DataFrame:
-    """(file, source_id, columns) of every CSV file that matches; quoted names are read as CSV has them."""
+def first_line(stream: BinaryIO) -> str | None:
+    """The first line of a UTF-8 text, read in pieces up to its end; None for an empty text.
+
+    A line ends with ``\\n``, ``\\r\\n`` or ``\\r``; a byte order mark is not part of it.
+    """
+    held = b""
+    while piece := stream.read(HEAD_BYTES):
+        held += piece
+        ends = [at for at in (held.find(b"\n"), held.find(b"\r")) if at >= 0]
+        if ends:
+            held = held[: min(ends)]
+            break
+    else:
+        if not held:
+            return None
+    return held.removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace")
+
+
+def place(path: str) -> str:
+    """A file's path as its pyarrow file system has it: with the bucket for object stores, else from the root."""
+    scheme, colon, rest = path.partition(":")
+    bucket, _, inner = rest.removeprefix("//").partition("/")
+    return f"{bucket}/{inner}" if scheme in OBJECT_STORES else "/" + (inner if rest.startswith("//") else rest.lstrip("/"))
+
+
+def read_first_lines(spark: SparkSession, glob: str, files: fs.FileSystem | None = None) -> DataFrame:
+    """(file, source_id, header) of every file that matches, its first line; empty files have none.
+
+    Of the scan only paths are wanted, so no content is read there; each task then opens its files in ``files`` and reads up to the
+    first line's end (compressed files are told by their name). A path on the local file system needs no ``files``. Without it, files elsewhere can be
+    opened by Spark alone, which reads them whole.
+    """
+    listed = spark.read.format("binaryFile").load(glob).select(F.col("path").alias("file"), source_of_file().alias("source_id"))
+    if files is None:
+        some = listed.select("file").first()
+        if some is None or not some["file"].startswith("file:"):
+            return scan_first_lines(spark, glob)
+        files = fs.LocalFileSystem()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = []
+            for path in batch.column("file").to_pylist():
+                with files.open_input_stream(place(path), buffer_size=HEAD_BYTES) as stream:
+                    lines.append(first_line(stream))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, pa.string())], ["file", "source_id", "header"])
+
+    heads = listed.mapInArrow(read, "file string, source_id string, header string")
+    return heads.where(F.col("header").isNotNull())
+
+
+def scan_first_lines(spark: SparkSession, glob: str) -> DataFrame:
+    """As ``read_first_lines``, by a scan of all lines."""
     lines = spark.read.text(glob).select(
         F.col("_metadata.file_path").alias("file"),
         source_of_file().alias("source_id"),
@@ -38,10 +100,13 @@ def read_headers(spark: SparkSession, glob: str) -> DataFrame:
         "value",
     )
     # Splits are cut at line ends: one line of each file stays in the task that reads the file's start.
-    first = stage(
-        lines.where(F.col("block") == 0).groupBy("file", "source_id").agg(F.min_by("value", _LINE).alias("header")),
-        "headers",
-    )
+    start = lines.where(F.col("block") == 0)
+    return start.groupBy("file", "source_id").agg(F.min_by("value", _LINE).alias("header"))
+
+
+def read_headers(spark: SparkSession, glob: str, files: fs.FileSystem | None = None) -> DataFrame:
+    """(file, source_id, columns) of every CSV file that matches; quoted names are read as CSV has them."""
+    first = stage(read_first_lines(spark, glob, files), "headers")
     widest = first.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
     cells = F.from_csv("header", F.lit(", ".join(f"c{i} string" for i in range(widest))))
     named = F.array_compact(F.array(*[F.col(f"cells.c{i}") for i in range(widest)]))
@@ -58,9 +123,14 @@ def with_usability(headers: DataFrame) -> DataFrame:
     return headers.withColumn("reason", reason)
 
 
-def read_source_annotations(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
-    """All usable annotation rows (``<root>/s*/annotations.csv``), and the skipped sources with why."""
-    headers = with_usability(read_headers(spark, glob))
+def read_source_annotations(
+    spark: SparkSession, glob: str, files: fs.FileSystem | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """All usable annotation rows (``<root>/s*/annotations.csv``), and the skipped sources with why.
+
+    ``files`` opens the headers in tasks, see ``read_first_lines``.
+    """
+    headers = with_usability(read_headers(spark, glob, files))
     skipped = headers.where(F.col("reason").isNotNull()).select("source_id", "reason")
     # File names of each layout: as many as the scans below list anyway.
     layouts: dict[tuple[str, ...], list[str]] = {}

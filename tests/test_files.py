@@ -1,6 +1,9 @@
+import gzip
+import io
 import json
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from quadrat.functions.keys import provider_feature_path
@@ -44,6 +47,46 @@ def test_source_files(spark, sources):
     assert resolved._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
 
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        piece = super().read(n)
+        self.taken += len(piece)
+        return piece
+
+
+def test_first_lines_are_bounded(spark, tmp_path):
+    for text, want in (
+        (b"", None), (b"\n1", ""), (b"a,b", "a,b"), (b"a,b\r\n1", "a,b"), (b"a,b\r1,2", "a,b"),
+        (b"\xef\xbb\xbfR\xc3\xa4,b\nx", "R\u00e4,b"),
+    ):
+        assert source_files.first_line(Counted(text)) == want
+    large = Counted(b"Row,Column\n" + b"1,2\n" * 5_000_000)
+    assert source_files.first_line(large) == "Row,Column" and large.taken == source_files.HEAD_BYTES
+    wide = ",".join(f"c{i}" for i in range(20_000))
+    longer = Counted((wide + "\n").encode() + b"1\n" * 5_000_000)
+    assert source_files.first_line(longer) == wide and longer.taken < len(wide) + 2 * source_files.HEAD_BYTES
+
+    put(tmp_path, "s1/annotations.csv", "Row,Column\n1,2\n")
+    put(tmp_path, "s2/annotations.csv", "")
+    put(tmp_path, "s b/annotations.csv", "Row\n")
+    put(tmp_path, "s4/annotations.csv", "Name,Row")
+    glob = f"{tmp_path}/s*/annotations.csv"
+    heads = source_files.read_first_lines(spark, glob)
+    assert rows(heads, "source_id", "header") == [("%20b", "Row"), ("1", "Row,Column"), ("4", "Name,Row")]
+    # The listing takes no content; the scan of all lines agrees, as does a file system that is given.
+    assert "ReadSchema: struct<path:string>" in heads._jdf.queryExecution().executedPlan().toString()
+    assert rows(source_files.scan_first_lines(spark, glob), "source_id", "header") == rows(heads, "source_id", "header")
+    assert rows(source_files.read_first_lines(spark, glob, fs.LocalFileSystem())) == rows(heads)
+    assert source_files.place("s3a://bucket/a/b c.csv") == "bucket/a/b c.csv"
+    assert source_files.place("hdfs://host:8020/a/b.csv") == "/a/b.csv"
+    assert source_files.place("file:/a/b.csv") == source_files.place("file:///a/b.csv") == "/a/b.csv"
+    with gzip.open(tmp_path / "z.csv.gz", "wb") as out:
+        out.write(b"Row,Column\n1,2\n")
+    assert [r["header"] for r in source_files.read_first_lines(spark, f"{tmp_path}/z.csv.gz").collect()] == ["Row,Column"]
+
+
 def test_feature_listing(spark, sources):
     listing = tables.list_feature_files(spark, str(sources), "*.featurevector")
     assert listing.count() == 1
