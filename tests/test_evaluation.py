@@ -3,10 +3,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quadrat.evaluation import calibration, classification, confusion, cover, forms, hierarchy, per_source, probability, ranking
 from quadrat.operators import taxonomy
+from quadrat.operators.ranking import ranked
 from quadrat.plans import evaluate as plan
 
 from .conftest import rows
@@ -354,3 +356,37 @@ def test_all_tables_or_scalars_only(spark, preds, classes, walked, probs):
 def test_nan_scalars_left_out(spark):
     one = spark.createDataFrame([(1.0, float("nan"), None)], "a double, b double, c double")
     assert rows(plan.long_scalars(one)) == [("a", 1.0)]
+
+
+def test_bins_rank_only_where_one_ends(spark, monkeypatch):
+    data = [(None if i == 3 else float("nan") if i == 4 else 0.5 if i < 40 else (i * 37 % 100) / 100, i % 2, i) for i in range(200)]
+    scored = spark.createDataFrame(data, "score double, hit long, _key0 long")
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("score", "_key0"))
+    plain = scored.withColumn("bin", F.floor((place * 7 - 1) / 200))
+    columns = ("bin", "count", "hit_sum", "conf_min", "conf_max")
+    want = plain.groupBy("bin").agg(
+        F.count(F.lit(1)).alias("count"), F.sum("hit").alias("hit_sum"), F.min("score").alias("conf_min"), F.max("score").alias("conf_max")
+    )
+    seen = []
+
+    def counting(df, *rest):
+        seen.append(df.count())
+        return ranked(df, *rest)
+
+    monkeypatch.setattr(calibration, "ranked", counting)
+    for steps in (1, 10, 1 << 16):
+        monkeypatch.setattr(calibration, "STEPS", steps)
+        got = calibration.equal_mass_bins(scored, F.lit(7))
+        assert [repr(r) for r in rows(got, *columns)] == [repr(r) for r in rows(want, *columns)]
+    assert seen[0] > seen[-1] and seen[-1] < 60
+
+
+def test_counted_cover_meets_by_image_once(spark):
+    counted = spark.createDataFrame(
+        [("i1", "a", "a", 3), ("i1", "a", "b", 1), ("i2", "b", "b", 2)], "image_key string, gt string, est string, n_points long"
+    )
+    out = cover.image_cover(counted)
+    assert rows(out, "image_key", "class_id", "true_share", "pred_share") == [
+        ("i1", "a", 1.0, 0.75), ("i1", "b", 0.0, 0.25), ("i2", "b", 1.0, 1.0),
+    ]
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
