@@ -111,3 +111,16 @@ def test_lookup_tables_multiply_nothing(spark):
     assert rows(prepare.roll_up(points, spark.createDataFrame(rule * 2, schema))) == [("b", "")]
     with pytest.raises(ValueError, match="rollup"):
         prepare.roll_up(points, spark.createDataFrame([*rule, ("a", "", "c", "")], schema))
+
+
+def test_images_are_counted_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(prepare, "ROWS_AT_ONCE", 10)
+    marked = spark.range(200).selectExpr("if(id < 3, null, concat('f', id % 90)) feature_vector", "id % 90 < 40 _kept")
+    images = prepare.per_image(marked, F.count(F.lit(1)).alias("all"))
+    assert images.rdd.getNumPartitions() == 20
+    one = prepare.retention_of_marked(marked).first()
+    kept = marked.where("_kept")
+    assert (one["annotations_before"], one["images_before"]) == (200, 90)
+    assert (one["annotations_filter"], one["images_filter"]) == (kept.count(), 40)
+    assert prepare.stage_counts(marked, "x").first() == ("x", 200, 90)
+    assert prepare.stage_counts(marked.limit(0), "x").first() == ("x", 0, 0)
