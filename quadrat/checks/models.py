@@ -620,21 +620,21 @@ def _source_files(spark, sf):
     by_id = rows.where("source_id < 12").drop("Name")
     quoted = by_id.where("source_id < 3").withColumnRenamed("Image ID", "Taken, by").withColumn("Image ID", F.col("Taken, by"))
     by_name = rows.where("source_id >= 12").drop("Image ID")
-    sinks.write_annotations_by_source(by_id.where("source_id >= 3").repartition("source_id"), f"{root}/by_id")
-    sinks.write_annotations_by_source(quoted.repartition("source_id"), f"{root}/quoted")  # a header with a quoted name
-    sinks.write_annotations_by_source(by_name.where("source_id < 18").repartition("source_id"), f"{root}/by_name")
+    sinks.write_annotations_by_source(by_id.where("source_id >= 3"), f"{root}/by_id")
+    sinks.write_annotations_by_source(quoted, f"{root}/quoted")  # a header with a quoted name
+    sinks.write_annotations_by_source(by_name.where("source_id < 18"), f"{root}/by_name")
     # Writing again changes nothing for the sources that are there, and adds those that are not.
     sinks.write_annotations_by_source(by_name, f"{root}/by_name")
     listed = (
-        by_name.select("source_id", "Name")
+        rows.where("source_id >= 12")
+        .select("source_id", F.col("Image ID").alias("o"))
         .distinct()
-        .withColumn("o", F.regexp_extract("Name", r"(\d+)", 1).cast("long"))
         .join(orders.where("o_orderstatus <> 'P'"), F.col("o") == F.col("o_orderkey"))
     )
     status = F.when(F.col("o_orderstatus") == "F", " - Confirmed").otherwise(" - Unclassified")
     images = listed.select(
         text("source_id").alias("source_id"),
-        F.concat("Name", status).alias("Name"),
+        F.concat(F.lit("p"), "o", F.lit(".JPG"), status).alias("Name"),
         F.concat(F.lit("/image/"), text("o"), F.lit("/view/")).alias("Image Page"),
     )
     annotations, skipped = source_files.read_source_annotations(spark, f"{root}/*/source_id=*/*.csv")
