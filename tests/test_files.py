@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions.keys import provider_feature_path
 from quadrat.operators.allocate import SubsampleOptions
+from quadrat.operators.staging import staging_scope
 from quadrat.plans.dataset import DatasetOptions, build_dataset, publish
 from quadrat.sources import exports, sinks, source_files, tables
 
@@ -183,3 +184,11 @@ def test_dataset_build(spark, tmp_path):
     assert data.tables["train_summary"].first()["annotations"] == 49
     publish({k: data.tables[k] for k in ("class_counts", "train_summary")}, str(tmp_path / "report"))
     assert spark.read.csv(str(tmp_path / "report/class_counts"), header=True).count() == 2
+
+
+def test_annotations_are_written_without_a_copy(spark, tmp_path):
+    df = spark.createDataFrame([("1", "a"), ("2", "b")], "source_id string, v string")
+    with staging_scope(spark) as scope:
+        sinks.write_annotations_by_source(df, str(tmp_path / "one"))
+        assert scope.folders == []
+    assert spark.read.csv(str(tmp_path / "one"), header=True).count() == 2

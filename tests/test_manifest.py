@@ -96,3 +96,10 @@ def test_flagged_sources(spark):
         "source_id int, is_complete boolean, image_count_match boolean",
     )
     assert rows(tables.flagged_sources(audit)) == [(2,), (3,)]
+
+
+def test_a_new_manifest_is_made_once(raw, tmp_path, monkeypatch):
+    built = manifest.build_manifest(*raw)
+    monkeypatch.setattr(type(built), "isEmpty", lambda self: pytest.fail("made once to look for rows"))
+    sinks.write_manifest(built, str(tmp_path / "m"))
+    assert built.sparkSession.read.parquet(str(tmp_path / "m")).count() == 2
