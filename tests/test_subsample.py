@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quadrat.operators import subsample as subsample_module
 from quadrat.operators.allocate import SubsampleOptions, class_targets
 from quadrat.operators.prepare import POINT_KEY
 from quadrat.operators.ranking import exact_percentile, ranked
@@ -126,3 +127,29 @@ def test_percentile_over_chunks(spark):
     assert exact_percentile(df, "x", 0.5) == 20.5
     assert exact_percentile(df, "x", 1.0) == 81.0
     assert exact_percentile(df.where("x IS NULL"), "x", 0.5) is None
+
+
+def test_only_the_source_at_the_cut_is_ranked(spark, skewed, monkeypatch):
+    options = SubsampleOptions("balanced", 400, 15)
+    columns = ["attribute_id", "form_id", *POINT_KEY]
+    want = rows(subsample(skewed, options)[0], *columns)
+    seen = []
+
+    def counting(df, *rest):
+        seen.append(df.count())
+        return ranked(df, *rest)
+
+    monkeypatch.setattr(subsample_module, "ranked", counting)
+    assert rows(subsample(skewed, options)[0], *columns) == want
+    # Seven sources a class, of which one is cut.
+    assert 0 < sum(seen) <= sum(n // 7 + 1 for n in SIZES)
+
+
+def test_sources_without_a_number_come_first(spark):
+    data = [("a", "", "s", p, f"i{i}", i, 0) for i, p in enumerate([None] * 5 + ["p1"] * 5 + ["p2"] * 5)]
+    points = spark.createDataFrame(
+        data, "attribute_id string, form_id string, site string, project_id string, image_id string, row int, col int"
+    )
+    for total in (3, 5, 8, 15):
+        kept, _ = subsample(points, SubsampleOptions("balanced", total))
+        assert rows(kept, "row") == [(i,) for i in range(total)]
