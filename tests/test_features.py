@@ -84,3 +84,16 @@ def test_flatten_and_ragged(spark):
     ragged = flat.union(spark.createDataFrame([("j", 1, 1, [1.0])], flat.schema))
     with pytest.raises(ValueError, match="1 to 2"):
         tables.check_one_dimension(ragged)
+
+
+def test_listing_is_neither_sorted_nor_needs_to_be_distinct(spark, five, monkeypatch):
+    plans = []
+
+    def kept(df, name="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.cache()
+
+    monkeypatch.setattr(features, "stage", kept)
+    twice = listing(spark, 5).union(listing(spark, 5))
+    assert features.require_features(five, twice).count() == 10
+    assert all("SortMergeJoin" not in p and "Sort " not in p for p in plans)
